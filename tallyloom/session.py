@@ -1,0 +1,27 @@
+"""Session factory: UTC, adaptive execution, Arrow transfer."""
+
+import os
+
+from pyspark.sql import SparkSession
+
+
+def get_session(app: str = "tallyloom", cpus: int | None = None) -> SparkSession:
+    """The active session, or a local one sized by ``cpus`` (all cores by default).
+
+    On a cluster the master, memory and shuffle settings come from spark-submit;
+    only settings that the results depend on (time zone) are fixed here.
+    """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    n = cpus or os.cpu_count() or 2
+    return (
+        SparkSession.builder.appName(app)
+        .master(f"local[{n}]")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.shuffle.partitions", str(n))
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "8g")
+        .getOrCreate()
+    )
