@@ -1,9 +1,11 @@
 """Queries of this subpackage and their SQL, by name."""
 
 from tallyloom.llm.packing import op2_harmonic_packing
+from tallyloom.llm.token_files import op5_token_files
 
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op5_token_files": op5_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}

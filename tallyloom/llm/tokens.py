@@ -17,7 +17,9 @@ import numpy as np
 #: Chunks kept per worker process; past it the cache starts anew. About 120 bytes each.
 CACHE = 600_000
 
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]|<\|")
+#: Space characters beyond ASCII and Latin-1's two, by code point.
+_RARE = [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_ODD = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, *_RARE])) + "]|<[|]")
 _LOADED: dict[str, "Encoder"] = {}
 
 
