@@ -1,11 +1,17 @@
 """Queries of this subpackage and their SQL, by name."""
 
+from tallyloom.llm.chat import OP3_SQL, op3_chat_formatting
+from tallyloom.llm.fingerprints import op9_lookup_sketch
 from tallyloom.llm.packing import op2_harmonic_packing
 from tallyloom.llm.token_files import op5_token_files
 
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op3_chat_formatting": op3_chat_formatting,
     "op5_token_files": op5_token_files,
+    "op9_lookup_sketch": op9_lookup_sketch,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_chat_formatting": OP3_SQL,
+}
