@@ -60,6 +60,7 @@ def chain(conversations: DataFrame) -> DataFrame:
 
 def jump_tables(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """(tables, reach). Table i has (tree, node, up): the ancestor 2**i steps above, where there is one.
+    Only messages whose root is not yet found go on to the next join.
     ``reach`` has (tree, node, up, depth, total): depth and score of the path from the root; ``up`` is null
     but on cycles, which have no root."""
     m = messages.alias("m")
@@ -67,20 +68,19 @@ def jump_tables(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     base = m.join(tops, [F.col("m.tree").eqNullSafe(F.col("t.tree")), F.col("m.parent") == F.col("t.parent")], "left").select(
         F.col("m.tree"), F.col("m.node"), F.when(F.col("__is"), F.col("m.parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce(F.col("m.score"), F.lit(0.0)).cast("double").alias("total")
     )
-    reach = materialize(base, "jump0")
-    tables, n, i = [], reach.count(), 0
+    active = materialize(base, "jump0")
+    known, tables, n, i = active.filter("up IS NULL"), [], active.count(), 0
     while 2**i <= n:  # a longer way up can only be a cycle
         i += 1
-        open_ = reach.filter("up IS NOT NULL").select("tree", "node", "up")
-        if open_.isEmpty():
+        active = active.filter("up IS NOT NULL")
+        if active.isEmpty():
             break
-        tables.append(open_)
-        a, b = reach.alias("a"), reach.alias("b")
-        step = a.join(b, [F.col("a.tree").eqNullSafe(F.col("b.tree")), F.col("a.up") == F.col("b.node")], "left")
-        reach = materialize(
-            step.select(F.col("a.tree"), F.col("a.node"), F.col("b.up"), (F.col("a.depth") + F.coalesce(F.col("b.depth"), F.lit(0))).alias("depth"), (F.col("a.total") + F.coalesce(F.col("b.total"), F.lit(0.0))).alias("total")), f"jump{i}"
-        )
-    return tables, reach
+        tables.append(active.select("tree", "node", "up"))
+        a, b = active.alias("a"), known.unionByName(active).alias("b")
+        step = a.join(b, [F.col("a.tree").eqNullSafe(F.col("b.tree")), F.col("a.up") == F.col("b.node")])
+        active = materialize(step.select("a.tree", "a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total")), f"jump{i}")
+        known = known.unionByName(active.filter("up IS NULL"))
+    return tables, known.unionByName(active.filter("up IS NOT NULL"))
 
 
 def cycles(messages: DataFrame) -> DataFrame:
