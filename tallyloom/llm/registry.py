@@ -3,6 +3,7 @@
 from tallyloom.llm.chat import OP3_SQL, op3_chat_formatting
 from tallyloom.llm.fingerprints import op9_lookup_sketch
 from tallyloom.llm.packing import op2_harmonic_packing
+from tallyloom.llm.quality import op10_distribution_divergence
 from tallyloom.llm.token_files import op5_token_files
 
 QUERIES = {
@@ -10,6 +11,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op5_token_files": op5_token_files,
     "op9_lookup_sketch": op9_lookup_sketch,
+    "op10_distribution_divergence": op10_distribution_divergence,
 }
 
 ORACLE_SQL = {

@@ -15,7 +15,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Chunks kept per worker process; past it the cache starts anew. About 120 bytes each.
-CACHE = 600_000
+CACHE = 700_000
+#: Unseen chunks given to the library in one text; texts looked up at a time.
+GROUP = 200
+SLICE = 256
 
 #: Space characters beyond ASCII and Latin-1's two, by code point.
 _RARE = [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -46,45 +49,62 @@ class Encoder:
         self.size = self.tok.get_vocab_size()
         line = self.tok.encode("\n", add_special_tokens=False).ids
         self.newline = line[0] if line else None  # None: white space is dropped
-        self.chunks = re.compile(r"\S+" if self.newline is None else r" ?\S+|\s+(?!\S)|\s+")
+        self.chunks = str.split if self.newline is None else re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+        self.tok.model._resize_cache(0)  # unseen chunks only: the library's own cache costs more than it saves
         self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
+        """Put the ids of new chunks into the cache: a few dozen chunks a text, as the library's
+        cost a chunk is lowest there."""
         cache = self.cache
         if self.newline is not None:
             for c in [c for c in new if c.isspace()]:
                 cache[c] = self.whole(c)
-            new = [c for c in new if c not in cache]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            e = self.tok.encode("\n".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
+            new = [c for c in new if not c.isspace()]
+        groups = [new[i : i + GROUP] for i in range(0, len(new), GROUP)]
+        for at in range(0, len(groups), 256):
+            some = groups[at : at + 256]
+            texts = ["\n".join(g) for g in some]
             if self.newline is not None:
-                ends = np.flatnonzero(ids == self.newline)
-                begins, ends = np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(ids)]))
+                for g, e in zip(some, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                    ids = np.array(e.ids, "<u4")
+                    ends = (4 * np.flatnonzero(ids == self.newline)).tolist()
+                    raw, b = ids.tobytes(), 0
+                    for c, x in zip(g, [*ends, len(raw)], strict=True):
+                        cache[c] = raw[b:x]
+                        b = x + 4
             else:
-                starts = np.cumsum([0] + [len(c) + 1 for c in part])
-                begins = np.searchsorted(np.array([o[0] for o in e.offsets] or [0])[: len(ids)], starts)
-                begins, ends = begins[:-1], begins[1:]
-            raw = ids.tobytes()
-            for c, b, x in zip(part, (begins * 4).tolist(), (ends * 4).tolist(), strict=True):
-                cache[c] = raw[b:x]
+                for g, e in zip(some, self.tok.encode_batch(texts, add_special_tokens=False), strict=True):
+                    raw = np.array(e.ids, "<u4").tobytes()
+                    begins = np.cumsum([0, *[len(c) + 1 for c in g]])
+                    at_ids = (4 * np.searchsorted(np.array([o[0] for o in e.offsets] or [0])[: len(raw) // 4], begins)).tolist()
+                    for c, b, x in zip(g, at_ids[:-1], at_ids[1:], strict=True):
+                        cache[c] = raw[b:x]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
         texts = list(texts)
-        split = [None if _ODD.search(t) else self.chunks.findall(t) for t in texts]
-        new = {c for s in split if s for c in s} - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE:  # the cache starts anew: this batch's chunks all count as new
+        for at in range(0, len(texts), SLICE):
+            yield from self._slice(texts[at : at + SLICE])
+
+    def _slice(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.cache) > CACHE:
             self.cache.clear()
-            new = {c for s in split if s for c in s}
-        if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        for t, s in zip(texts, split, strict=True):
-            yield self.whole(t) if s is None else b"".join(map(get, s))
+        odd = [bool(_ODD.search(t)) for t in texts]
+        flat: list[str] = []
+        ends = [0]
+        for t, o in zip(texts, odd, strict=True):
+            if not o:
+                flat += self.chunks(t)
+            ends.append(len(flat))
+        got = list(map(self.cache.get, flat))
+        if None in got:
+            holes = [i for i, g in enumerate(got) if g is None]
+            self._learn(list({flat[i] for i in holes}))
+            for i in holes:
+                got[i] = self.cache[flat[i]]
+        for t, o, a, b in zip(texts, odd, ends, ends[1:], strict=False):
+            yield self.whole(t) if o else b"".join(got[a:b])
