@@ -4,12 +4,14 @@ from tallyloom.llm.chat import OP3_SQL, op3_chat_formatting
 from tallyloom.llm.fingerprints import op9_lookup_sketch
 from tallyloom.llm.packing import op2_harmonic_packing
 from tallyloom.llm.quality import op10_distribution_divergence
+from tallyloom.llm.secrets import op7_trigram_secrets
 from tallyloom.llm.token_files import op5_token_files
 
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_token_files": op5_token_files,
+    "op7_trigram_secrets": op7_trigram_secrets,
     "op9_lookup_sketch": op9_lookup_sketch,
     "op10_distribution_divergence": op10_distribution_divergence,
 }
