@@ -4,8 +4,8 @@ Both vocabularies split a text before merging bytes, and no split unit crosses t
 between a chunk and the next: a chunk is a run of non-space characters, with one leading
 space where the vocabulary keeps spaces. So a text's ids are its chunks' ids in a row, and
 each worker asks the library once for chunks that it has not seen, many at a time. Texts
-with rare space characters (on which the two regular-expression engines disagree) or with
-a special token's string go to the library whole.
+with the separators U+001C to U+001F (on which Python and the library disagree) or with
+what may be a special token's string go to the library whole.
 """
 
 import os
@@ -20,9 +20,9 @@ CACHE = 700_000
 GROUP = 200
 SLICE = 256
 
-#: Space characters beyond ASCII and Latin-1's two, by code point.
-_RARE = [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_ODD = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, *_RARE])) + "]|<[|]")
+#: Texts with one of these are not split.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -93,7 +93,7 @@ class Encoder:
     def _slice(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.cache) > CACHE:
             self.cache.clear()
-        odd = [bool(_ODD.search(t)) for t in texts]
+        odd = [any(x in t for x in ODD) for t in texts]
         flat: list[str] = []
         ends = [0]
         for t, o in zip(texts, odd, strict=True):

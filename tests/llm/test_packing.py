@@ -78,3 +78,11 @@ def test_chunks_equal_whole(spark, name):
     enc = Encoder(vocabulary(name))
     texts = ["", " ", "  a", "It's 2 o'clock!!  \n\n Yes\t", "É́té ÑU ﬁ", "a\u0000b", "日本語 テスト", "don't  'LL <|startoftext|>", "\U0001f600 x\r\ny", "Σίσυφος ΟΔΟΣ", "é ́x"]
     assert list(enc.encode(texts)) == [enc.whole(t) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_low_code_point_splits_alike(spark, name):
+    enc = Encoder(vocabulary(name))
+    for form in ("!{0}! {0}{0} x", "  {0} b{0}\n{0}c"):
+        texts = [form.format(chr(c)) for c in range(0x3100)]
+        assert list(enc.encode(texts)) == [enc.whole(t) for t in texts]
