@@ -5,6 +5,7 @@ from tallyloom.llm.fingerprints import op9_lookup_sketch
 from tallyloom.llm.packing import op2_harmonic_packing
 from tallyloom.llm.quality import op10_distribution_divergence
 from tallyloom.llm.secrets import op7_trigram_secrets
+from tallyloom.llm.simhash import op6_anchor_covering
 from tallyloom.llm.token_files import op5_token_files
 from tallyloom.llm.toxicity import op4_toxicity_lexicon
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_toxicity_lexicon": op4_toxicity_lexicon,
     "op5_token_files": op5_token_files,
+    "op6_anchor_covering": op6_anchor_covering,
     "op7_trigram_secrets": op7_trigram_secrets,
     "op9_lookup_sketch": op9_lookup_sketch,
     "op10_distribution_divergence": op10_distribution_divergence,
