@@ -4,12 +4,14 @@ from tallyloom.llm.chat import OP3_SQL, op3_chat_formatting
 from tallyloom.llm.fingerprints import op9_lookup_sketch
 from tallyloom.llm.packing import op2_harmonic_packing
 from tallyloom.llm.quality import op10_distribution_divergence
+from tallyloom.llm.repeats import op1_suffix_repeats
 from tallyloom.llm.secrets import op7_trigram_secrets
 from tallyloom.llm.simhash import op6_anchor_covering
 from tallyloom.llm.token_files import op5_token_files
 from tallyloom.llm.toxicity import op4_toxicity_lexicon
 
 QUERIES = {
+    "op1_suffix_repeats": op1_suffix_repeats,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_toxicity_lexicon": op4_toxicity_lexicon,
