@@ -2,6 +2,7 @@
 
 from tallyloom.llm.chat import OP3_SQL, op3_chat_formatting
 from tallyloom.llm.fingerprints import op9_lookup_sketch
+from tallyloom.llm.mixing import OP8_SQL, op8_fair_queueing
 from tallyloom.llm.packing import op2_harmonic_packing
 from tallyloom.llm.quality import op10_distribution_divergence
 from tallyloom.llm.repeats import op1_suffix_repeats
@@ -18,10 +19,12 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_anchor_covering": op6_anchor_covering,
     "op7_trigram_secrets": op7_trigram_secrets,
+    "op8_fair_queueing": op8_fair_queueing,
     "op9_lookup_sketch": op9_lookup_sketch,
     "op10_distribution_divergence": op10_distribution_divergence,
 }
 
 ORACLE_SQL = {
     "op3_chat_formatting": OP3_SQL,
+    "op8_fair_queueing": OP8_SQL,
 }
