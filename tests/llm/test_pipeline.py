@@ -1,0 +1,64 @@
+from collections import defaultdict
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+from tallyloom.llm import toxicity  # noqa: E402
+from tests.llm.test_mixing import brute_targets  # noqa: E402
+from tests.llm.test_packing import plain  # noqa: E402, F401
+from tests.llm.test_secrets import brute as secrets_of  # noqa: E402
+from tests.llm.test_simhash import brute as classes_of  # noqa: E402
+
+D = "/root/testdata/sf0.001"
+
+
+def test_stages_against_brute_force(spark, plain):  # noqa: F811
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    cols = docs.columns
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "simhash_near_dedup", "secret_scan", "source_mixing", "packing"]
+    f = dict(corpus_pipeline.STAGES)
+
+    model = toxicity.train(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    scores = dict(zip(texts, toxicity.score_texts(model, texts.values())))
+    out = corpus_pipeline.materialize(f["toxicity"](spark, docs, D), "t")
+    assert out.columns == cols and {r.doc_id for r in out.collect()} == {k for k, s in scores.items() if s < 0.3}
+
+    rows = sorted((r.doc_id, r.text) for r in out.collect())
+    best = {k for k, _, c in classes_of(rows) if k == str(c)}
+    out = corpus_pipeline.materialize(f["simhash_near_dedup"](spark, out, D), "n")
+    assert out.columns == cols and sorted(str(r.doc_id) for r in out.collect()) == sorted(best)
+
+    before = {r.doc_id: r.text for r in out.collect()}
+    out = corpus_pipeline.materialize(f["secret_scan"](spark, out, D), "s")
+    after = {r.doc_id: r for r in out.collect()}
+    assert out.columns == cols and after.keys() == before.keys()
+    for k, r in after.items():
+        assert secrets_of(r.text)[1] == "" and r.n_chars == len(r.text)
+        assert r.text == before[k] or secrets_of(before[k])[1] or "[SECRET]" in r.text
+
+    sizes = defaultdict(int)
+    for r in after.values():
+        sizes[r.source] += len(r.text.split())
+    out = corpus_pipeline.materialize(f["source_mixing"](spark, out, D), "m")
+    assert out.columns == cols
+    mixed, words = out.collect(), defaultdict(int)
+    for r in mixed:
+        words[r.source] += len(r.text.split())
+        assert after[r.doc_id].text.split()[: len(r.text.split())] == r.text.split() and r.n_chars == len(r.text)
+    assert all(abs(words[s] - t) < 1 for s, t in brute_targets(sizes).items())
+
+    pieces = f["packing"](spark, out, D).collect()
+    tokens = defaultdict(int)
+    for r in pieces:
+        tokens[r.doc_id] += r.length
+    want = defaultdict(int)
+    for r in mixed:
+        want[r.doc_id] += len(plain(r.text))
+    assert tokens == want
+
+
+def test_run(spark):
+    assert corpus_pipeline.run(spark, D).count() > 0

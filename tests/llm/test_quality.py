@@ -47,7 +47,7 @@ def test_edges(spark):
 def test_divergence(spark):
     d = [((3, 1, 0), (0.5, 0.25, 0.25)), ((0, 0, 0), (0.5, 0.25, 0.25)), ((2, 1, 1), (0.5, 0.25, 0.25)), ((0, 0, 5), (0.5, 0.5, 0.0))]
     for counts, ref in d:
-        got = spark.range(1).select(q.js_distance(q.F.array(*[q.F.lit(x).cast("long") for x in counts]), list(ref)).alias("d")).first().d
+        got = spark.range(1).select(q.js_distance([q.F.lit(x).cast("long") for x in counts], q.F.lit(sum(counts)).cast("long"), list(ref)).alias("d")).first().d
         n = sum(counts)
         if not n:
             assert got is None
