@@ -14,8 +14,8 @@ PREFIX = "IPM"
 
 
 def format_id(day: Column, number: Column, prefix: str = PREFIX) -> Column:
-    """``PREFIX-yyyymmdd-NNNNNN``: padded to six digits, never cut."""
-    return F.format_string("%s-%s-%06d", F.lit(prefix), day, number)
+    """``PREFIX-yyyymmdd-NNNNNN``: padded to six digits, never cut. Null without a day or number."""
+    return F.when(day.isNotNull() & number.isNotNull(), F.format_string("%s-%s-%06d", F.lit(prefix), day, number))
 
 
 def utc_day(ts: Column) -> Column:

@@ -13,7 +13,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def field(text: Column, label: str) -> Column:
     """The paragraph below ``LABEL:``; '' when absent."""
-    return F.trim(F.regexp_extract(text, rf"(?ms)^{label}:[ \t]*\n(.*?)(?=\n[ \t]*\n|\z)", 1))
+    return F.trim(F.regexp_extract(text, rf"(?ms)^{label}:[ \t]*\n(.*?)(?=\s*\z|\n[ \t]*\n)", 1))
 
 
 def asset_records(files: DataFrame) -> DataFrame:
