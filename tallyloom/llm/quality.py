@@ -21,6 +21,9 @@ Results: a null text has no words and is not kept. Repeated rows and equal doc_i
 each on its own. An empty table gives no rows. Extra columns are ignored.
 """
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,32 +121,34 @@ def references(counts: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return out
 
 
-def js_distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2) of a histogram to a reference of known shares. Null for no counts."""
-    n = total(counts)
-    q = F.array(*[F.lit(float(x)) for x in reference])
+def _xlogx(x: Column | float) -> Column:
+    return F.when(x > 0, x * F.log2(x)).otherwise(0.0) if isinstance(x, Column) else F.lit(x * math.log2(x) if x > 0 else 0.0)
 
-    def part(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    terms = F.zip_with(counts, q, lambda c, y: part(c / n, (c / n + y) / 2) + part(y, (c / n + y) / 2))
-    return F.when(n > 0, F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))))
+def js_distance(counts: list[Column], n: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance (base 2) of a histogram with sum ``n`` to a reference of known shares;
+    null where n is 0. One scalar term a bin, so that generated code evaluates it; ``n`` should be
+    a plain column, or it is summed up again for each bin."""
+    p = [c / n for c in counts]
+    terms = [(_xlogx(x) + _xlogx(q)) / 2 - _xlogx((x + F.lit(q)) / 2) for x, q in zip(p, reference, strict=True)]
+    return F.when(n > 0, F.sqrt(F.greatest(reduce(lambda x, y: x + y, terms), F.lit(0.0))))
 
 
 def judged(counts: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """Adds char_distance and word_distance (to the nearest reference; null without references),
     base_failed and kept."""
-    if refs:
-        by_lang = {k: [w in ws.split() for w in ALL] for k, ws in COMMON.items()}
-        own = {k: F.zip_with("hits", F.array(*map(F.lit, by_lang[k])), lambda c, y: F.when(y, c).otherwise(F.lit(0).cast("long"))) for k in refs}
-        bins = {k: F.concat(x, F.array(F.col("n_words") - total(x))) for k, x in own.items()}
-        nearest = lambda d: F.array_min(F.array(*d))
-        counts = counts.withColumns({"char_distance": nearest([js_distance(F.col("chars"), c) for c, _ in refs.values()]), "word_distance": nearest([js_distance(bins[k], w) for k, (_, w) in refs.items()])})
-    else:
-        counts = counts.withColumns({"char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
+    chars = [F.col("chars")[i] for i in range(len(CLASSES) + 1)]
+    own = {k: [i for i, w in enumerate(ALL) if w in COMMON[k].split()] for k in refs}
+    df = counts.withColumns({"__n": total(F.col("chars"))} | {f"__other_{k}": F.col("n_words") - reduce(lambda x, y: x + y, [F.col("hits")[i] for i in at]) for k, at in own.items()})
+    nearest = lambda d: F.least(*d, d[0]) if d else F.lit(None).cast("double")
+    far = {
+        "char_distance": nearest([js_distance(chars, F.col("__n"), c) for c, _ in refs.values()]),
+        "word_distance": nearest([js_distance([*[F.col("hits")[i] for i in own[k]], F.col(f"__other_{k}")], F.col("n_words"), [w[i] for i in own[k]] + [w[-1]]) for k, (_, w) in refs.items()]),
+    }
+    df = df.withColumns(far)
     bad_chars = (F.col("word_chars") >= MIN_CHARS) & F.coalesce(F.col("char_distance") > MAX_CHARS, F.lit(False))
     bad_words = (F.col("n_words") >= MIN_WORDS) & F.coalesce(F.col("word_distance") > MAX_WORDS, F.lit(False))
-    return counts.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad_chars & ~bad_words)
+    return df.drop("__n", *[f"__other_{k}" for k in own]).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad_chars & ~bad_words)
 
 
 def quality(docs: DataFrame) -> DataFrame:
