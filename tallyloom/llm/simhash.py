@@ -9,11 +9,17 @@ its half: one if the half is a code word, else 16, so 32 rows at most a fingerpr
 differ in at most one bit, the code word nearest to the first is within 2 of the second: they
 meet. Fingerprints are compared only with those at the same anchor, with all 64 bits.
 
+For thresholds of 4 to 7 bits the blocks are quarters (one of four differs in at most one bit), the
+code is that on 15 bits, and a fingerprint goes to 8 code words of a quarter. Its 2,048 code words
+tell less apart than the 2**26 of a half, so most anchors are dense (see below): in all 0.2 % of
+the pairs of distinct fingerprints are compared, against some 0.00001 % for 3 bits.
+
 Equal fingerprints are one row before any of this, so exact copies, however many, cost nothing.
 At an anchor only links that join two so far unjoined groups are given out: fewer than its rows,
-however many pairs link. Anchors with over ``DENSE`` fingerprints are compared in four passes
-over the runs that agree in one of four 16-bit quarters (3 differing bits leave one quarter
-equal), so close families do not take all pairs. Links become classes by star rounds (graphs).
+however many pairs link. Anchors with over ``DENSE`` fingerprints are compared in passes
+over the runs that agree in one of four 16-bit pieces (3 differing bits leave one of them
+equal; for up to 7 bits eight 8-bit pieces), so neither crowded anchors nor close families take
+all pairs. Links become classes by star rounds (graphs).
 
 Results: a null or empty text has fingerprint 0 and links like any other. Repeated rows are of
 one class. A null doc_id counts for a class only where it has no other (component_id null). An
@@ -35,7 +41,7 @@ from tallyloom.llm.graphs import components
 SHINGLE = 3
 SEED = 42
 MOST = 3
-DENSE = 4096
+DENSE = 48
 
 
 def shingles(text: str, width: int = SHINGLE) -> list[bytes]:
@@ -89,51 +95,67 @@ def fingerprint_column(width: int = SHINGLE):
     return fingerprint
 
 
-def _masks() -> np.ndarray:
-    """Row s: what to flip in a word of syndrome s to get each code word within 2 of it (-1: none)."""
-    out = np.full((32, 16), -1, np.int64)
-    out[0, 0] = 0
-    for s in range(1, 32):
-        flips = [1 << (s - 1)] + [1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 32) if i < i ^ s]
-        out[s] = flips
-    return out
+class Code:
+    """The perfect Hamming code of length 2**r - 1: which code words are within 2 of a word."""
+
+    def __init__(self, r: int):
+        self.n = (1 << r) - 1
+        # row s: what to flip in a word of syndrome s to get each such code word (-1: none)
+        self.flips = np.full((1 << r, 1 << r - 1), -1, np.int64)
+        self.flips[0, 0] = 0
+        for s in range(1, 1 << r):
+            self.flips[s] = [1 << s - 1] + [1 << i - 1 | 1 << (i ^ s) - 1 for i in range(1, 1 << r) if i < i ^ s]
+        # the XOR of the numbers of the set bits, by byte
+        self.parts = [np.array([self._syndrome(v << 8 * byte) for v in range(256)]) for byte in range(self.n // 8 + 1)]
+
+    def _syndrome(self, word: int) -> int:
+        out = 0
+        for b in range(self.n):
+            if word >> b & 1:
+                out ^= b + 1
+        return out
+
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into x, code word) for all code words within 2."""
+        s = np.zeros(len(x), np.int64)
+        for byte, t in enumerate(self.parts):
+            s ^= t[x >> 8 * byte & 255]
+        flips = self.flips[s]
+        i, j = np.nonzero(flips >= 0)
+        return i, x[i] ^ flips[i, j]
 
 
-def _parity() -> list[np.ndarray]:
-    """Syndrome tables of the four bytes of a 31-bit word: the XOR of the numbers of its set bits."""
-    tables = []
-    for byte in range(4):
-        t = np.zeros(256, np.int64)
-        for v in range(256):
-            for b in range(8):
-                if v >> b & 1 and 8 * byte + b < 31:
-                    t[v] ^= 8 * byte + b + 1
-        tables.append(t)
-    return tables
+CODES = {2: Code(5), 4: Code(4)}
 
 
-MASKS, PARITY = _masks(), _parity()
+def blocks(most: int) -> int:
+    """Blocks of 64 bits of which one differs in at most one bit."""
+    if not 0 <= most <= 7:
+        raise ValueError("thresholds of 0 to 7 bits")
+    return 2 if most <= 3 else 4
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, index of the fingerprint): all anchors of each fingerprint."""
+    n = blocks(most)
+    code, width = CODES[n], 64 // n
     keys, at = [], []
-    for half in (0, 1):
-        x = ((fps >> np.uint64(32 * half)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
-        s = PARITY[0][x & 255] ^ PARITY[1][x >> 8 & 255] ^ PARITY[2][x >> 16 & 255] ^ PARITY[3][x >> 24]
-        flips = MASKS[s]
-        i, j = np.nonzero(flips >= 0)
-        keys.append(x[i] ^ flips[i, j] | half << 31)
+    for k in range(n):
+        i, word = code.near(((fps >> np.uint64(width * k)) & np.uint64((1 << code.n) - 1)).astype(np.int64))
+        keys.append(word | k << 40)
         at.append(i)
     return np.concatenate(keys), np.concatenate(at)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema("anchor long, fp long")
-    for b in batches:
-        fps = b.column(0).to_numpy(zero_copy_only=False)
-        keys, at = anchors(fps.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at])], schema=schema)
+def _replicate(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("anchor long, fp long")
+        for b in batches:
+            fps = b.column(0).to_numpy(zero_copy_only=False)
+            keys, at = anchors(fps.view(np.uint64), most)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at])], schema=schema)
+
+    return run
 
 
 class Forest:
@@ -192,12 +214,14 @@ def links(keys: np.ndarray, fps: np.ndarray, most: int = MOST) -> list[tuple[int
     small = np.repeat((sizes > 1) & ~dense, sizes)
     at = np.flatnonzero(small)
     _compare(forest, at, fps, keys[at], most)
-    for g in np.flatnonzero(dense):
-        part = np.arange(edges[g], edges[g + 1])
-        for q in range(4):
-            quarter = (fps[part] >> np.uint64(16 * q)) & np.uint64(0xFFFF)
-            o = np.argsort(quarter, kind="stable")
-            _compare(forest, part[o], fps, quarter[o], most)
+    part = np.flatnonzero(np.repeat(dense, sizes))
+    if len(part):
+        width = 16 if most <= 3 else 8
+        group = np.repeat(np.arange(len(sizes)), sizes)[part] << 16
+        for q in range(64 // width):
+            run = group | ((fps[part] >> np.uint64(width * q)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            o = np.argsort(run, kind="stable")
+            _compare(forest, part[o], fps, run[o], most)
     return forest.links
 
 
@@ -232,7 +256,7 @@ def _link(most: int):
 
 def class_roots(distinct: DataFrame, most: int = MOST) -> DataFrame:
     """(fp, root) of every distinct fingerprint (column fp) that links to another; root is the smallest of its class."""
-    rows = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+    rows = distinct.select("fp").mapInArrow(_replicate(most), "anchor long, fp long")
     dealt = rows.repartition(partitions(distinct), "anchor").sortWithinPartitions("anchor")
     found = components(dealt.mapInArrow(_link(most), "a long, b long"))
     return found.select(F.col("node").alias("fp"), "root")

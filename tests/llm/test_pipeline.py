@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark, plain):  # noqa: F811
     assert out.columns == cols and {r.doc_id for r in out.collect()} == {k for k, s in scores.items() if s < 0.3}
 
     rows = sorted((r.doc_id, r.text) for r in out.collect())
-    best = {k for k, _, c in classes_of(rows) if k == str(c)}
+    best = {k for k, _, c in classes_of(rows, corpus_pipeline.NEAR) if k == str(c)}
     out = corpus_pipeline.materialize(f["simhash_near_dedup"](spark, out, D), "n")
     assert out.columns == cols and sorted(str(r.doc_id) for r in out.collect()) == sorted(best)
 

@@ -19,7 +19,7 @@ def fp(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def brute(docs):
+def brute(docs, most=3):
     fps = np.array([fp(t) for _, t in docs], np.uint64)
     root = list(range(len(docs)))
 
@@ -29,7 +29,7 @@ def brute(docs):
         return x
 
     for i in range(len(docs)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3) + i + 1:
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= most) + i + 1:
             a, b = find(i), find(int(j))
             root[max(a, b)] = min(a, b)
     low = {}
@@ -48,6 +48,11 @@ def test_whole_table(spark):
     assert got(s.op6_anchor_covering(spark, D)) == brute(docs)
 
 
+def test_wider_threshold(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{D}/documents.parquet").collect()]
+    assert got(s.near_duplicates(spark.read.parquet(f"{D}/documents.parquet"), most=7)) == brute(docs, 7)
+
+
 def test_edges_and_one_of_each(spark):
     docs = [(4, None), (3, ""), (9, " \n"), (7, "A b"), (8, "a B"), (8, "a B"), (5, "x"), (None, "only null"), (None, "only null"), (11, "É é ñ \U0001f600 " * 9000), (1, "One two three four"), (2, "one TWO three four")]
     df = spark.createDataFrame([(*d, "r", 1) for d in docs], "doc_id long, text string, root string, fp int")
@@ -61,36 +66,36 @@ def test_edges_and_one_of_each(spark):
 def test_close_pairs_meet_at_an_anchor():
     rng = np.random.default_rng(3)
     f = rng.integers(0, 2**64, 3000, dtype=np.uint64)
-    for n in range(4):
+    for n in range(8):
         g = f.copy()
         for i in range(len(g)):
             for b in rng.choice(64, n, replace=False):
                 g[i] ^= np.uint64(1 << int(b))
-        ka, ia = s.anchors(f)
-        kb, ib = s.anchors(g)
+        ka, ia = s.anchors(f, 3 if n < 4 else 7)
+        kb, ib = s.anchors(g, 3 if n < 4 else 7)
         a = set(zip(ka.tolist(), ia.tolist()))
         assert {i for k, i in zip(kb.tolist(), ib.tolist()) if (k, i) in a} == set(range(len(f)))
     assert np.bincount(ia).max() <= 32
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.integers(2, 300), st.integers(0, 99), st.booleans())
-def test_links_give_the_classes_of_all_pairs(n, seed, dense):
+@given(st.integers(2, 300), st.integers(0, 99), st.booleans(), st.sampled_from([3, 7]))
+def test_links_give_the_classes_of_all_pairs(n, seed, dense, most):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**64, 4, dtype=np.uint64)[rng.integers(0, 4, n)]
     f = base ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
     keys = np.sort(rng.integers(0, 2, n))
     keep, s.DENSE = s.DENSE, 16 if dense else s.DENSE
     try:
-        found = s.links(keys, f)
+        found = s.links(keys, f, most)
     finally:
         s.DENSE = keep
     one, two = s.Forest(n), s.Forest(n)
     for i, j in found:
-        assert keys[i] == keys[j] and np.bitwise_count(f[i] ^ f[j]) <= 3
+        assert keys[i] == keys[j] and np.bitwise_count(f[i] ^ f[j]) <= most
         one.join(np.array([i]), np.array([j]))
     for i in range(n):
-        j = np.array([x for x in range(i + 1, n) if keys[x] == keys[i] and np.bitwise_count(f[i] ^ f[x]) <= 3], int)
+        j = np.array([x for x in range(i + 1, n) if keys[x] == keys[i] and np.bitwise_count(f[i] ^ f[x]) <= most], int)
         two.join(np.full(len(j), i), j)
     assert [one.find(i) for i in range(n)] == [two.find(i) for i in range(n)]
     assert len(found) < n
