@@ -114,8 +114,8 @@ def _first(path: str, capacity: int, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         table = [cuts(n, capacity) for n in range(capacity)]
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for doc, raw in zip(docs, enc.encode(texts), strict=True):
+            docs = b.column(0).to_pylist()
+            for doc, raw in zip(docs, enc.encode_column(b.column(1)), strict=True):
                 raw += end
                 n, at = len(raw) // 4, 0
                 for length, m in [(capacity, 1)] * (n // capacity) + table[n % capacity]:

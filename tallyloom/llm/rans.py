@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"TLRB"
-LANES = 512
+LANES = 1024
 CHECKPOINT = 128
 SCALE = 20
 LOW = 1 << 31

@@ -24,7 +24,7 @@ from tallyloom.llm import rans
 from tallyloom.llm.common import Sink, arrow_schema, materialize, partitions, read, rows, shared_dir, text_of
 from tallyloom.llm.tokens import encoder, vocabulary
 
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 END_ID = 1
 RAW = "part int, block int, first long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary"
 FILE = "part int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -39,7 +39,7 @@ def _tokenize(path: str, end_id: int, block: int):
         end = np.array([end_id], "<u4").tobytes()
         docs, lengths, raws, n, first, no = [], [], [], 0, 0, 0
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+            for doc, raw in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1)), strict=True):
                 docs.append(doc)
                 lengths.append(len(raw) // 4 + 1)
                 raws += [raw, end]

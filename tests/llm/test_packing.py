@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -77,7 +78,9 @@ def test_cuts():
 def test_chunks_equal_whole(spark, name):
     enc = Encoder(vocabulary(name))
     texts = ["", " ", "  a", "It's 2 o'clock!!  \n\n Yes\t", "É́té ÑU ﬁ", "a\u0000b", "日本語 テスト", "don't  'LL <|startoftext|>", "\U0001f600 x\r\ny", "Σίσυφος ΟΔΟΣ", "é ́x"]
+    texts += ["a", "a b", "a\nb c", "It's, a. B,\nC. d.", "x, y", "x", "Ünï, ñ.", ",", ". ,", "1, 2.", "é, é"]
     assert list(enc.encode(texts)) == [enc.whole(t) for t in texts]
+    assert list(enc.encode_column(pa.array(texts * 400))) == [enc.whole(t) for t in texts] * 400
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -86,3 +89,4 @@ def test_every_low_code_point_splits_alike(spark, name):
     for form in ("!{0}! {0}{0} x", "  {0} b{0}\n{0}c"):
         texts = [form.format(chr(c)) for c in range(0x3100)]
         assert list(enc.encode(texts)) == [enc.whole(t) for t in texts]
+        assert list(enc.encode_column(pa.array(texts))) == [enc.whole(t) for t in texts]
