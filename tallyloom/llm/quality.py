@@ -159,4 +159,33 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return quality(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op10_sql() -> str:
+    """The query in DuckDB's SQL, built from the same classes, words and limits."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    word, has = q(WORD), "lambda x: regexp_matches(x, " + q(WORD) + ")"
+    classes = ", ".join(f"len(regexp_extract_all(t, {q(f'[{c}]')}))" for c in CLASSES.values())
+    hits = " UNION ALL ".join(f"SELECT rid, {q(k)} AS ref, {q(w)} AS bin, len(list_filter(w, lambda x: x = {q(w)})) AS c, n_words AS n FROM f" for k, ws in COMMON.items() for w in ws.split())
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, {word}) AS w, list_filter(string_split(t, chr(10)), {has}) AS lines FROM d),
+i AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM i),
+p AS (SELECT rid, count(DISTINCT i + o) AS n FROM g, (SELECT unnest([0, 1, 2]) AS o) WHERE n > 1 GROUP BY rid),
+b AS (SELECT w.*, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN p USING (rid)),
+f AS (SELECT *, n_words < {MIN_WORDS_BASE} OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{classes}] AS cs FROM b),
+c0 AS (SELECT rid, unnest(range(0, {len(CLASSES) + 1})) AS bin, unnest(cs || [greatest(length(t) - list_sum(cs), 0)]) AS c FROM f),
+c1 AS (SELECT *, sum(c) OVER (PARTITION BY rid) AS n FROM c0),
+h0 AS ({hits}),
+h1 AS (SELECT * FROM h0 UNION ALL SELECT rid, ref, '' AS bin, n - sum(c) AS c, n FROM h0 GROUP BY rid, ref, n),
+good AS (SELECT rid, lang FROM f WHERE NOT base_failed AND lang IN ({", ".join(map(q, COMMON))})),
+cr AS (SELECT lang, bin, CAST(sum(c) AS DOUBLE) / greatest(sum(sum(c)) OVER (PARTITION BY lang), 1) AS q FROM c1 JOIN good USING (rid) GROUP BY lang, bin),
+hr AS (SELECT lang, bin, CAST(sum(c) AS DOUBLE) / greatest(sum(sum(c)) OVER (PARTITION BY lang), 1) AS q FROM h1 JOIN good USING (rid) WHERE ref = lang GROUP BY lang, bin),
+terms AS (SELECT 'c' AS what, rid, lang, CAST(c AS DOUBLE) / n AS p, q FROM c1 JOIN cr USING (bin) WHERE n > 0 UNION ALL SELECT 'w', rid, lang, CAST(c AS DOUBLE) / n, q FROM h1 JOIN hr ON h1.bin = hr.bin AND ref = lang WHERE n > 0),
+j AS (SELECT what, rid, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END / 2 - CASE WHEN p + q > 0 THEN (p + q) / 2 * log2((p + q) / 2) ELSE 0 END), 0)) AS dist FROM terms GROUP BY what, rid, lang),
+m AS (SELECT rid, min(dist) FILTER (WHERE what = 'c') AS cd, min(dist) FILTER (WHERE what = 'w') AS wd FROM j GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (word_chars >= {MIN_CHARS} AND coalesce(cd > {MAX_CHARS}, false)) AND NOT (n_words >= {MIN_WORDS} AND coalesce(wd > {MAX_WORDS}, false)) AS kept FROM f LEFT JOIN m USING (rid)"""
+
+
+OP10_SQL = _op10_sql()

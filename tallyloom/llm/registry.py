@@ -4,9 +4,9 @@ from tallyloom.llm.chat import OP3_SQL, op3_chat_formatting
 from tallyloom.llm.fingerprints import op9_lookup_sketch
 from tallyloom.llm.mixing import OP8_SQL, op8_fair_queueing
 from tallyloom.llm.packing import op2_harmonic_packing
-from tallyloom.llm.quality import op10_distribution_divergence
+from tallyloom.llm.quality import OP10_SQL, op10_distribution_divergence
 from tallyloom.llm.repeats import op1_suffix_repeats
-from tallyloom.llm.secrets import op7_trigram_secrets
+from tallyloom.llm.secrets import OP7_SQL, op7_trigram_secrets
 from tallyloom.llm.simhash import op6_anchor_covering
 from tallyloom.llm.token_files import op5_token_files
 from tallyloom.llm.toxicity import op4_toxicity_lexicon
@@ -26,5 +26,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_chat_formatting": OP3_SQL,
+    "op7_trigram_secrets": OP7_SQL,
     "op8_fair_queueing": OP8_SQL,
+    "op10_distribution_divergence": OP10_SQL,
 }

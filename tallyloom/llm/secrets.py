@@ -17,6 +17,7 @@ candidates are shared, which can only add candidates). Rows with a null doc_id a
 every rule. An empty table gives no rows. Extra columns are ignored, and kept by ``redact``.
 """
 
+import re
 import re._parser as parser
 from dataclasses import dataclass
 from functools import reduce
@@ -229,3 +230,29 @@ def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
     count = lambda i: F.size(F.filter("spans", lambda x: x["kind"] == i)).cast("long")
     return found.select("doc_id", *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)], F.sha2(listed(base, RULES), 256).alias("base_sha256"), listed(F.col("spans"), RULES).alias("spans"))
+
+
+def _op7_sql() -> str:
+    """The query in DuckDB's SQL. Its engine folds the case of non-ASCII letters too, so letters of either
+    case are spelt out."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def spelt(pattern: str) -> str:
+        m = re.search(r"\(\?i:([^)]*)\)", pattern)
+        return pattern if not m else pattern.replace(m[0], "(?:" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in m[1]) + ")")
+
+    parts = []
+    for i, r in enumerate(RULES):
+        p = q(spelt(r.pattern))
+        parts.append(
+            f"SELECT rid, {i} AS k, {q(r.kind)} AS kind, f, v, list_sum(list_transform(between[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(matches[1:j - 1], lambda x: length(x))), 0) AS a, {r.least} AS least FROM "
+            f"(SELECT rid, matches, between, unnest(range(1, len(matches) + 1)) AS j, unnest(matches) AS f, unnest(vals) AS v FROM (SELECT rid, regexp_extract_all(t, {p}) AS matches, regexp_extract_all(t, {p}, {r.value}) AS vals, string_split_regex(t, {p}) AS between FROM d))"
+        )
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+h AS (SELECT rid, CAST(count(*) FILTER (WHERE k = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (WHERE k = 1) AS BIGINT) AS n_access, CAST(count(*) FILTER (WHERE k = 2) AS BIGINT) AS n_hex,
+string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(f) AS BIGINT), ',' ORDER BY a, k) FILTER (WHERE k < {len(BASE)}) AS base, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(f) AS BIGINT), ',' ORDER BY a, k) AS spans FROM s WHERE length(v) >= least GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN h USING (rid)"""
+
+
+OP7_SQL = _op7_sql()
