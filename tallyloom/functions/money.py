@@ -6,6 +6,17 @@ from pyspark.sql import functions as F
 #: Shares of each unit of money; the programme gets what is left.
 RATES = {"operating": "0.10", "direct": "0.10", "secondary": "0.01"}
 
+#: Amounts shown as equivalents of one unit a day.
+EQUIVALENTS = {"day": 1, "week": 7, "month": 30, "year": 365}
+
+
+def equivalent(a: Column) -> Column:
+    """The name of the equivalent that an amount is, or null."""
+    out = F.lit(None).cast("string")
+    for name, n in EQUIVALENTS.items():
+        out = F.when(a == n, name).otherwise(out)
+    return out
+
 
 def valid_amount(a: Column) -> Column:
     """True for a positive finite number; null is invalid."""

@@ -61,6 +61,10 @@ def test_amount_choice_and_urls(spark):
     assert [one(spark, money.parse_amount, x) for x in ("", None, " 2.5 ")] == [0.0, 0.0, 2.5]
 
 
+def test_equivalents(spark):
+    assert [one(spark, money.equivalent, x, "double") for x in (1.0, 7.0, 30.0, 365.0, 2.0, None)] == ["day", "week", "month", "year", None, None]
+
+
 def test_email_and_required(spark):
     good, bad = ["a@b.co", "a+b.c@x-y.example.org"], ["", None, "a@b", ".a@b.co", "a..b@c.de", "a@-b.co", "x" * 65 + "@b.co", "a b@c.de"]
     assert [one(spark, validate.email_ok, x) for x in good + bad] == [True] * 2 + [False] * 8
