@@ -28,13 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tallyloom/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there,
-    and a lost executor costs no recomputation. (checkpoint() would run the plan twice.)"""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyloom/{uuid.uuid4().hex}/{name}"
+    and a lost executor costs no recomputation. (checkpoint() would run the plan twice.)
+    Results read these tables lazily; ``clean`` removes them when the results are stored."""
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote to the shared folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

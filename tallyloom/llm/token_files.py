@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import rans
-from tallyloom.llm.common import Sink, arrow_schema, materialize, partitions, read, rows, shared_dir, text_of
+from tallyloom.llm.common import Sink, arrow_schema, materialize, new_path, partitions, read, rows, text_of
 from tallyloom.llm.tokens import encoder, vocabulary
 
 BLOCK = 1 << 18
@@ -157,8 +157,6 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/tallyloom/{uuid.uuid4().hex}/tokens"
+    path = new_path(spark, "tokens")
     write(read(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
     return read_digests(spark, path)
