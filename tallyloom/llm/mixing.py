@@ -60,16 +60,17 @@ def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     narrow = materialize(named.select("__source", "__size", "__hash"), "sizes")
     digits = max(1, math.ceil(math.log(max(narrow.count(), 1) / SLICE, 16))) if SLICE else 1
     piece = F.substring("__hash", 1, digits)
-    sums = narrow.groupBy("__source", piece.alias("__slice")).agg(F.sum("__size").alias("__n"))
+    # one key for the window and the join: rows with their texts are dealt once
+    key = F.concat(F.coalesce(F.concat(F.lit("s"), "__source"), F.lit("n")), F.lit("/"), piece)
+    sums = narrow.groupBy("__source", piece.alias("__slice"), key.alias("__key")).agg(F.sum("__size").alias("__n"))
     before = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col("__source").alias("__s"), F.col("__slice").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    bases = sums.select(F.col("__source").alias("__s"), "__key", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     targets = source_targets(narrow.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, budget, cap)
     t = targets.select(F.col("source").alias("__t"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    heads = bases.join(t, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
-    inside = Window.partitionBy("__source", "__slice").orderBy("__hash", "__doc", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = named.withColumn("__slice", piece).withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    met = rows.join(heads, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__p")))
-    return met.withColumn("__start", F.col("__base") + F.col("__within")).drop("__s", "__p", "__base", "__within", "__slice")
+    heads = bases.join(t, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t", "__s")
+    inside = Window.partitionBy("__key").orderBy("__hash", "__doc", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = named.withColumn("__key", key).withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    return rows.join(heads, "__key").withColumn("__start", F.col("__base") + F.col("__within")).drop("__key", "__base", "__within")
 
 
 def served(copy: int) -> Column:

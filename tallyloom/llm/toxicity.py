@@ -222,7 +222,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     best = counts.filter((F.col("t") >= LEAST) & (odds(F.col("t") - 1) >= MARGIN)).orderBy(F.desc(odds(F.col("t")) * F.sqrt("t")), "term").limit(TERMS)
     kept = lexicon([(r.term, r.t, r.o) for r in best.collect()], n_toxic, n_other)
     model = Model({k: weight(t, o, n_toxic, n_other) for k, (t, o) in kept.items()})
-    got = np.array([tuple(r) for r in pairs.mapInArrow(_own_inputs(model, kept, n_toxic, n_other), "a double, b double, c double, d double, e double, toxic int").orderBy("a", "b", "c", "d", "e", "toxic").collect()])
+    seen = pairs.mapInArrow(_own_inputs(model, kept, n_toxic, n_other), "a double, b double, c double, d double, e double, toxic int").collect()
+    got = np.array(sorted(tuple(r) for r in seen))  # in one order, so that a rerun adds up to the same model
     model.coefficients = tuple(fit_logistic(got[:, :-1], got[:, -1]).tolist())
     return model
 
