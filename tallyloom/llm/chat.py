@@ -19,7 +19,6 @@ task; nothing else does.
 
 import hashlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window

@@ -5,7 +5,7 @@ A text is split into paragraph units: at newlines, after sentence and clause mar
 (with its repeat number, so a repeated line counts each time) is put into one cell of each of
 three tables; a cell keeps a count, the XOR of digests and the XOR of check hashes. Subtracting
 the sketches of two versions cancels what they share; peeling cells with a single digest left
-recovers the rest. If peeling gets stuck, both sketches are built anew at four times the size.
+recovers the rest. If peeling gets stuck, both sketches are built anew at a larger size.
 
 likeness = 2 * shared / (units of one + units of the other), 1 for equal sketches.
 
@@ -87,9 +87,10 @@ class Sketch:
         if not len(keys):
             return
         at = self._cells(keys)
-        np.add.at(self.count, at, np.tile(sign, HASHES))
-        np.bitwise_xor.at(self.keys, at, np.tile(keys, HASHES))
-        np.bitwise_xor.at(self.check, at, np.tile(_mix(keys, _CHECK), HASHES))
+        check = _mix(keys, _CHECK)
+        np.add.at(self.count, at, np.concatenate([sign] * HASHES))
+        np.bitwise_xor.at(self.keys, at, np.concatenate([keys] * HASHES))
+        np.bitwise_xor.at(self.check, at, np.concatenate([check] * HASHES))
 
     def minus(self, other: "Sketch") -> "Sketch":
         out = Sketch(np.zeros(0, np.uint64), self.size)
@@ -124,17 +125,22 @@ class Sketch:
 def difference(a: np.ndarray, b: np.ndarray, sketch_a: Sketch | None = None, sketch_b: Sketch | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Digests only in a and only in b, through sketches that grow until peeling succeeds.
 
-    The count of units is part of a fingerprint: a first size that cannot hold even the
-    difference of the counts is passed over."""
+    The first try takes the fingerprints themselves. The next size has room for texts without a unit
+    in common; it is passed over to at once where the counts of units, which fingerprints hold too,
+    differ by more than there are cells. Then sizes grow fourfold."""
     size = BASE
-    while 3 * size < abs(len(a) - len(b)):
-        size *= 4
-    while True:
-        x = sketch_a if sketch_a is not None and size == BASE else Sketch(a, size)
-        y = sketch_b if sketch_b is not None and size == BASE else Sketch(b, size)
+    if abs(len(a) - len(b)) <= HASHES * BASE:
+        x = sketch_a if sketch_a is not None else Sketch(a)
+        y = sketch_b if sketch_b is not None else Sketch(b)
         found = x.minus(y).peel()
         if found is not None:
             return found
+    while 2 * HASHES * size < 3 * (len(a) + len(b)):
+        size *= 2
+    while True:
+        found = Sketch(a, size).minus(Sketch(b, size)).peel()
+        if found is not None:
+            return found
         size *= 4
 
 

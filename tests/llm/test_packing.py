@@ -4,7 +4,6 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import types as T
 
 from tallyloom.llm import packing
 from tallyloom.llm.tokens import Encoder, vocabulary
