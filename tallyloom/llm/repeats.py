@@ -284,7 +284,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """The contract's columns, a row per document."""
     texts = _keyed(docs)
     sums = materialize(texts.select("key", "sha"), "sums")
-    least = sums.groupBy("sha").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("sha", "least")
+    firsts = sums.groupBy("sha").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("sha", "least")
+    least = materialize(firsts, "firsts")  # a table of its own, so that the join may split a hot text's rows
     copies = materialize(sums.join(least, "sha").filter("key > least").select("key").distinct(), "copies")
     found = materialize(marks(texts, copies).groupBy("key").agg(F.collect_list("a").alias("a"), F.collect_list("z").alias("z")), "marks")
     cut = found.unionByName(copies.select("key", F.lit(None).cast("array<bigint>").alias("a"), F.lit(None).cast("array<bigint>").alias("z")))
