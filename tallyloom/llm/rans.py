@@ -23,8 +23,8 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"TLRB"
-LANES = 1024
-CHECKPOINT = 128
+LANES = 2048
+CHECKPOINT = 64
 SCALE = 20
 LOW = 1 << 31
 HEAD = struct.Struct("<4sHHQIII")
@@ -132,6 +132,8 @@ def decode(block: bytes, table: Table, first_mark: int = 0, last_mark: int | Non
         if len(low):
             v[low] = (v[low] << np.uint64(32)) | words[pos : pos + len(low)]
             pos += len(low)
+    if stop == steps and ((x != LOW).any() or pos != n_words):  # coders end where encoding began
+        raise ValueError("checksum of a token block does not match: its coders do not end as they began")
     if start == 0 and stop == steps and zlib.crc32(out.astype("<u4").tobytes()) != crc:
         raise ValueError("checksum of a token block does not match")
     return out

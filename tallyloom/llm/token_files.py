@@ -1,8 +1,8 @@
 """Writing and reading token files in ascending doc_id order (operator 5).
 
-Plan: one range shuffle of the texts by doc_id; a map pass tokenizes each range in order and
-writes raw blocks of whole documents; a map pass counts ids; the counts of at most
-``vocabulary`` ids become the shared table; a map pass codes each block on its own. A block's
+Plan: one range shuffle of the texts by doc_id; a map pass tokenizes each range in order, writes
+raw blocks of whole documents and counts ids; the counts of at most ``vocabulary`` ids become
+the shared table; a map pass codes each block on its own. A block's
 first position is its place in its range plus the totals of earlier ranges, of which there
 are as many as partitions. Reading is a map over blocks.
 
@@ -26,7 +26,7 @@ from tallyloom.llm.tokens import encoder, vocabulary
 
 BLOCK = 1 << 18
 END_ID = 1
-RAW = "part int, block int, first long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary"
+RAW = "part int, block int, first long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary, counts binary"
 FILE = "part int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -38,6 +38,14 @@ def _tokenize(path: str, end_id: int, block: int):
         kind = "<u2" if enc.size <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
         docs, lengths, raws, n, first, no = [], [], [], 0, 0, 0
+        total = np.zeros(enc.size + 1, np.int64)
+
+        def block_row() -> tuple:
+            """The gathered documents; their ids are counted into ``total``."""
+            ids = np.frombuffer(b"".join(raws), "<u4").astype(kind)
+            total[:] += np.bincount(ids, minlength=len(total))
+            return part, no, first, n, docs, lengths, ids.tobytes(), None
+
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1)), strict=True):
                 docs.append(doc)
@@ -45,13 +53,14 @@ def _tokenize(path: str, end_id: int, block: int):
                 raws += [raw, end]
                 n += lengths[-1]
                 if n >= block:
-                    ids = np.frombuffer(b"".join(raws), "<u4").astype(kind).tobytes()
-                    if sink.add((part, no, first, n, docs, lengths, ids), len(ids)):
+                    if sink.add(block_row(), 4 * n):
                         yield from sink.flush()
                     first, no = first + n, no + 1
                     docs, lengths, raws, n = [], [], [], 0
         if docs:
-            sink.add((part, no, first, n, docs, lengths, np.frombuffer(b"".join(raws), "<u4").astype(kind).tobytes()))
+            sink.add(block_row())
+        if total.any():
+            sink.add((part, -1, 0, 0, [], [], None, total.astype("<i8").tobytes()))
         yield from sink.flush()
 
     return run
@@ -62,22 +71,17 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for n, raw in rows(batches):
-        c = np.bincount(_ids(raw, n))
-        if len(c) > len(total):
-            c[: len(total)] += total
-            total = c
-        else:
-            total[: len(c)] += c
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], schema=arrow_schema("id long, n long"))
+    """(id, n) from the counts of each range."""
+    for (raw,) in rows(batches):
+        total = np.frombuffer(raw, "<i8")
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], schema=arrow_schema("id long, n long"))
 
 
 def _code(freq: bytes, before: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sink = rans.Table.of(np.frombuffer(freq, "<u4")), Sink(arrow_schema(FILE), 16)
-        for part, no, first, n, docs, lengths, raw in rows(batches):
+        for part, no, first, n, docs, lengths, raw, _ in rows(batches):
             out = rans.encode(_ids(raw, n), table)
             if sink.add((part, no, before[part] + first, n, docs, lengths, out), len(out)):
                 yield from sink.flush()
@@ -92,7 +96,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     order = slim.repartitionByRange(max(partitions(slim), 2), "doc_id").sortWithinPartitions("doc_id", "text")
     raw = materialize(order.mapInArrow(_tokenize(vocabulary_path, end_id, block), RAW), "raw_blocks")
-    counts = raw.select("n_tokens", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.select("counts").filter("counts IS NOT NULL").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = counts.collect()  # at most a row per vocabulary id
     n = np.zeros(max([r.id for r in got], default=-1) + 1, np.int64)
     for r in got:
@@ -102,7 +106,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
     before, at = {}, 0
     for r in sorted(totals, key=lambda r: r.part):
         before[r.part], at = at, at + r.n
-    raw.mapInArrow(_code(freq.tobytes(), before), FILE).write.option("compression", "none").mode("overwrite").parquet(f"{path}/blocks")
+    raw.filter("block >= 0").mapInArrow(_code(freq.tobytes(), before), FILE).write.option("compression", "none").mode("overwrite").parquet(f"{path}/blocks")
     table = [(i, int(f)) for i, f in enumerate(freq.tolist()) if f]
     spark.createDataFrame(table, "id int, freq int").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
 
