@@ -21,13 +21,19 @@ over the runs that agree in one of four 16-bit pieces (3 differing bits leave on
 equal; for up to 7 bits eight 8-bit pieces), so neither crowded anchors nor close families take
 all pairs. Links become classes by star rounds (graphs).
 
+``one_of_each`` takes these classes as candidates only: two texts are near-duplicates when their
+fingerprints link and the Jaccard similarity of their sets of five-word shingles (64-bit hashes) is at
+least 0.8. Texts of equal words are one row. A class of candidates is compared in one task, of over
+``BLOCK`` texts in one task for each pair of its blocks: n texts make n * n / BLOCK rows. Pairs already
+joined by confirmed links are passed over; those that fail never join, so a chain ends at them.
+
 Results: a null or empty text has fingerprint 0 and links like any other. Repeated rows are of
 one class. A null doc_id counts for a class only where it has no other (component_id null). An
 empty table gives no rows. Extra columns are ignored, and kept by ``one_of_each``.
 """
 
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_schema, materialize, partitions, read, text_of
+from tallyloom.llm.common import Sink, arrow_schema, materialize, partitions, read, rows, text_of
 from tallyloom.llm.graphs import components
 
 SHINGLE = 3
 SEED = 42
 MOST = 3
 DENSE = 48
+#: Near-duplicates that are removed: words in a shingle, least similarity, texts in a block.
+WORDS = 5
+LEAST = 0.8
+BLOCK = 512
 
 
 def shingles(text: str, width: int = SHINGLE) -> list[bytes]:
@@ -278,14 +288,85 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MOST) ->
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class, the row of the smallest doc_id
-    (of repeated rows one; null ids last)."""
+def _word_key(text: str) -> bytes:
+    """128 bits that tell texts of different words apart."""
+    return xxhash.xxh128_digest(b" ".join(text.encode().lower().split()))
+
+
+def _marks(width: int):
+    """A column function from texts to (fp, key)."""
+    import pandas as pd
+
+    @F.pandas_udf("fp long, key binary")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        """SimHash and word key of each text."""
+        given = texts.tolist()
+        return pd.DataFrame({"fp": fingerprints(given, width).view(np.int64), "key": [_word_key(t) for t in given]})
+
+    return marks
+
+
+def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    s = shingles(text, words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s)))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two shingle sets have at least this Jaccard similarity; two empty ones do."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (small + large - both)
+
+
+def confirmed(fps: np.ndarray, texts: list[str], most: int, words: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the texts that link by fingerprint and by similarity."""
+    forest, sets = Forest(len(fps)), [shingle_set(t, words) for t in texts]
+    for i in range(len(fps)):
+        for j in (np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= most) + i + 1).tolist():
+            if forest.find(i) != forest.find(j) and similar(sets[i], sets[j], least):
+                forest.join(np.array([i]), np.array([j]))
+    return forest.links
+
+
+def _confirm(most: int, words: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (root, i, j, row, fp, text) sorted by (root, i, j), the texts of one comparison."""
+        sink = Sink(arrow_schema("a long, b long"))
+        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
+            at, fps, texts = zip(*[r[3:] for r in group], strict=True)
+            for i, j in confirmed(np.array(fps, np.int64).view(np.uint64), list(texts), most, words, least):
+                if sink.add((at[i], at[j])):
+                    yield from sink.flush()
+        yield from sink.flush()
+
+    return run
+
+
+def _confirmed_roots(base: DataFrame, best: DataFrame, most: int, words: int, least: float) -> DataFrame:
+    """(row, root) of the distinct texts ``best`` (fp, row) that are confirmed to be near others."""
+    rooted = best.join(class_roots(best.select("fp").distinct(), most), "fp", "left").select("row", "fp", F.coalesce("root", "fp").alias("root"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"))
+    own = rooted.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("row"), "n").cast("int"))
+    # with several blocks, each pair of different ones: that compares the texts of a block too
+    pair = F.explode(F.expr("filter(sequence(0, n - 1), x -> n = 1 or x <> own)")).alias("x")
+    dealt = own.select("root", "row", "fp", "own", pair).select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "row", "fp")
+    met = dealt.join(base.select(F.col("__row").alias("row"), "__text"), "row").select("root", "i", "j", "row", "fp", "__text")
+    met = met.repartition(partitions(base), "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return components(met.mapInArrow(_confirm(most, words, least), "a long, b long")).select(F.col("node").alias("row"), "root")
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, most: int = MOST, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class of confirmed links, the row of the
+    smallest doc_id (of repeated rows one; null ids last)."""
     names = docs.columns
-    taken = docs.select(*[F.col(c).alias(f"__in_{k}") for k, c in enumerate(names)], F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__id"), F.monotonically_increasing_id().alias("__row"), fingerprint_column(width)(text_of()).alias("fp"))
-    base = materialize(taken, "with_fingerprints")
-    best = materialize(base.groupBy("fp").agg(F.min(F.struct("__id", "__row")).alias("best")), "distinct")
-    rooted = best.join(class_roots(best, most), "fp", "left").select("best", F.coalesce("root", "fp").alias("root"))
+    taken = docs.select(*[F.col(c).alias(f"__in_{k}") for k, c in enumerate(names)], F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__id"), F.monotonically_increasing_id().alias("__row"), _marks(width)(text_of()).alias("__marks"))
+    base = materialize(taken.select("*", "__marks.fp", "__marks.key").drop("__marks"), "with_fingerprints")
+    text = base.withColumn("__text", text_of(f"__in_{[c.lower() for c in names].index('text')}"))
+    best = materialize(base.groupBy("fp", "key").agg(F.min(F.struct("__id", "__row")).alias("best")).select("fp", "best", F.col("best.__row").alias("row")), "distinct")
+    rooted = best.join(_confirmed_roots(text, best, most, words, least), "row", "left").select("best", F.coalesce("root", "row").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row"))
     return base.join(stay, "__row", "left_semi").select(*[F.col(f"__in_{k}").alias(c) for k, c in enumerate(names)])
 

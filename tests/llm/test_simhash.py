@@ -105,3 +105,40 @@ def test_components(spark):
     edges = [(i + 1, i) for i in range(1, 200)] + [(1000 + i, 1000) for i in range(1, 500)] + [(-5, 7000), (3, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(2, 201)} | {1000 + i: 1000 for i in range(1, 500)} | {7000: -5}
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def confirmed_brute(docs, most):
+    """Ids that stay: components of the pairs that link by fingerprint and have similarity 0.8."""
+    docs = sorted(docs)
+    fps, root = [fp(t) for _, t in docs], list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (_, t) in enumerate(docs):
+        for j in range(i + 1, len(docs)):
+            if (fps[i] ^ fps[j]).bit_count() <= most and jaccard(t, docs[j][1]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [k for i, (k, _) in enumerate(docs) if find(i) == i]
+
+
+def test_removed_documents_are_similar(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = confirmed_brute(texts.items(), 7)
+    keep, s.BLOCK = s.BLOCK, 3
+    try:
+        split = sorted(r.doc_id for r in s.one_of_each(docs, most=7).collect())
+    finally:
+        s.BLOCK = keep
+    assert split == want and sorted(r.doc_id for r in s.one_of_each(docs, most=7).collect()) == want
+    alone = [k for k in texts.keys() - set(want) if max(jaccard(texts[k], t) for x, t in texts.items() if x != k) < 0.8]
+    assert len(want) == 924 and not alone
