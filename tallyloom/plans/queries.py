@@ -291,6 +291,26 @@ def related_nodes(spark: SparkSession, d: str) -> DataFrame:
 RELATED_SQL = f"SELECT DISTINCT a.src, b.dst FROM {_EDGES} a JOIN {_EDGES} b ON a.dst = b.src WHERE a.src <> b.dst"
 
 
+def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier to part, from every row: the edges of the two queries above are a part of these, folded."""
+    return read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+
+
+def node_degree_whole(spark: SparkSession, d: str) -> DataFrame:
+    return graph.in_degree(_whole_edges(spark, d))
+
+
+_WHOLE = "(SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
+DEGREE_WHOLE_SQL = f"SELECT dst AS node, count(*) AS in_degree FROM {_WHOLE} GROUP BY 1"
+
+
+def related_nodes_whole(spark: SparkSession, d: str) -> DataFrame:
+    return graph.two_step_neighbours(_whole_edges(spark, d))
+
+
+RELATED_WHOLE_SQL = f"SELECT DISTINCT a.src, b.dst FROM {_WHOLE} a JOIN {_WHOLE} b ON a.dst = b.src WHERE a.src <> b.dst"
+
+
 def case_checklist(spark: SparkSession, d: str) -> DataFrame:
     p = read_table(spark, d, "part").withColumn("p_brand", F.when(F.col("p_size") > 10, F.col("p_brand")))
     return validate.checklist(p, ["p_name", "p_brand", "p_type"]).select("p_partkey", "n_done", "complete")
@@ -330,5 +350,7 @@ QUERIES = {
     "record_search": (record_search, SEARCH_SQL),
     "node_degree": (node_degree, DEGREE_SQL),
     "related_nodes": (related_nodes, RELATED_SQL),
+    "node_degree_whole": (node_degree_whole, DEGREE_WHOLE_SQL),
+    "related_nodes_whole": (related_nodes_whole, RELATED_WHOLE_SQL),
     "case_checklist": (case_checklist, CHECKLIST_SQL),
 }
