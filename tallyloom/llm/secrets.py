@@ -19,7 +19,7 @@ every rule. An empty table gives no rows. Extra columns are ignored, and kept by
 
 import re
 import re._parser as parser
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 
@@ -31,13 +31,15 @@ from tallyloom.llm.common import read, text_of
 
 @dataclass(frozen=True)
 class Rule:
-    """``value``: the group that must have ``least`` characters (0: the match); base rules come first."""
+    """``value``: the group that must have ``least`` characters (0: the match); base rules come first.
+    ``whole``: what ``redact`` replaces, where that is more than the match; it starts with a match."""
 
     kind: str
     pattern: str
     least: int = 1
     value: int = 0
     base: bool = False
+    whole: str = ""
 
 
 #: The base rules. A greedy run is as long with ``{n,}`` as with ``+``, so the
@@ -47,9 +49,11 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}", base=True),
     Rule("hex", r"[0-9a-f]{32,}", base=True),
 )
-#: Public key formats, in addition.
+PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: Public key formats, in addition. A key's body goes with its first line: up to the END
+#: line (headers with dashes included), or where there is none as far as its Base64 lines go.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", PEM, whole=PEM + r"(?:[^-]*+(?:-(?!-)[^-]*+){0,16}-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[\s\\]{0,4}[A-Za-z0-9+/=]{20,}+){0,400})"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
 )
@@ -217,7 +221,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     slim = docs.withColumnsRenamed({c: f"__in_{k}" for k, c in enumerate(names) if c not in ("doc_id", "text")})
     df = with_candidates(slim, rules)
     for i, r in enumerate(rules):
-        df = with_matches(df, i, r, "text")
+        df = with_matches(df, i, replace(r, pattern=r.whole or r.pattern), "text")
         held = F.transform("__full", _without_value(r))
         df = df.withColumn("__held", held)
         whole = F.array_join(F.transform("__between", lambda b, k: F.concat(b, F.coalesce(F.get("__held", k), F.lit("")))), "")
