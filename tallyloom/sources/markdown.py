@@ -41,7 +41,8 @@ def node_edges(files: DataFrame, node: Column) -> DataFrame:
 
 def glossary(files: DataFrame) -> DataFrame:
     """A row per ``### term`` entry with its bold-labelled fields."""
-    entry = F.explode(F.slice(F.split("text", r"(?m)^###[ \t]+"), 2, 100_000)).alias("entry")
+    parts = F.split("text", r"(?m)^###[ \t]+")
+    entry = F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("entry")
     one = lambda label: F.trim(F.regexp_extract("entry", rf"(?m)^\*\*(?:[^*\n]*?){label}:\*\*[ \t]*(.*)$", 1))
     names = ("Expansion", "Source", "Category", "Meaning", "Usage", "Status", "Related Nodes")
     return files.select("path", entry).select("path", F.trim(F.regexp_extract("entry", r"\A([^\n]*)", 1)).alias("term"), *[one(n).alias(n.lower().replace(" ", "_")) for n in names])

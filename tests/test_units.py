@@ -164,3 +164,8 @@ def test_recent_records_plan(spark):
 def test_sources_need_configuration(spark):
     with pytest.raises(ValueError, match="incomplete"):
         tables.read_jdbc(spark, "", "ideas")
+
+
+def test_glossary_of_many_entries(spark):
+    files = spark.createDataFrame([("a", "head\n" + "### t\n" * 100_002), ("b", ""), ("c", None)], "path string, text string")
+    assert markdown.glossary(files).count() == 100_002
