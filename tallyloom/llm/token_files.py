@@ -4,7 +4,8 @@ Plan: one range shuffle of the texts by doc_id; a map pass tokenizes each range
 raw blocks of whole documents and counts ids; the counts of at most ``vocabulary`` ids become
 the shared table; a map pass codes each block on its own. A block's
 first position is its place in its range plus the totals of earlier ranges, of which there
-are as many as partitions. Reading is a map over blocks.
+are as many as partitions. Coded blocks are dealt back to their ranges, so that files in name
+order, and blocks in a file, have ascending positions. Reading is a map over blocks.
 
 Results: null or empty texts are the end id alone. Repeated rows and equal doc_ids are kept,
 in text order. A null doc_id comes first. An empty table gives an empty file and no rows.
@@ -106,7 +107,9 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
     before, at = {}, 0
     for r in sorted(totals, key=lambda r: r.part):
         before[r.part], at = at, at + r.n
-    raw.filter("block >= 0").mapInArrow(_code(freq.tobytes(), before), FILE).write.option("compression", "none").mode("overwrite").parquet(f"{path}/blocks")
+    coded = raw.filter("block >= 0").mapInArrow(_code(freq.tobytes(), before), FILE)
+    sorted_blocks = coded.repartitionById(max(before, default=0) + 1, "part").sortWithinPartitions("block")
+    sorted_blocks.write.option("compression", "none").mode("overwrite").parquet(f"{path}/blocks")
     table = [(i, int(f)) for i, f in enumerate(freq.tolist()) if f]
     spark.createDataFrame(table, "id int, freq int").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
 

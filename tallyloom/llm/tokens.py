@@ -68,15 +68,16 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Put the ids of new chunks into the cache, many chunks a text for the library. A word with
-        one mark at its end is the word and the mark, to both vocabularies; where white space is
-        dropped, letters are lower-cased too."""
+        one mark at its end is the word and the mark, to both vocabularies, where it is letters alone
+        and stays so in lower case (a dotted capital I does not: its dot would go with the mark);
+        where white space is dropped, letters are lower-cased too."""
         cache, old = self.cache, self.old
         rest = []
         for c in new:
             ids = old.get(c)
             if ids is None and c[-1] in ".,":
                 stem = c[:-1]
-                if stem.lstrip(" ").isalpha() and max(stem) < LATIN:
+                if stem.lstrip(" ").lower().isalpha() and max(stem) < LATIN:
                     ids = cache.get(stem) or old.get(stem)
                     ids = ids and ids + self.punct[c[-1]]
             if ids is None and self.newline is None and c.isascii():

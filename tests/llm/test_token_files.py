@@ -1,11 +1,15 @@
+import glob
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyloom.llm import rans, token_files
+from tallyloom.llm import rans, token_files, tokens
 from tallyloom.llm.tokens import vocabulary
 
 PATH = vocabulary("word_bpe_49k.json")
@@ -39,6 +43,37 @@ def test_edges_and_ids(spark, tmp_path):
     assert token_files.read_digests(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_files_are_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(k * 7 % 500 - 90, f"w{k} and some words " * (k % 40)) for k in range(500)], "doc_id long, text string").repartition(6)
+    token_files.write(df, f"file://{tmp_path}/t", PATH, block=300)
+    starts, ids = [], []
+    for f in sorted(glob.glob(f"{tmp_path}/t/blocks/*.parquet")):
+        t = pq.read_table(f)
+        starts += t.column("start").to_pylist()
+        ids += [k for b in t.column("doc_ids").to_pylist() for k in b]
+    assert len(starts) > 20 and starts == sorted(starts) and ids == sorted(ids) == sorted(r.doc_id for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_do_not_depend_on_what_was_seen_before(name):
+    """Every letter below U+3100 alone, then with marks, in one warm encoder, then random words of them."""
+    from tokenizers import Tokenizer
+
+    lib, enc = Tokenizer.from_file(vocabulary(name)), tokens.Encoder(vocabulary(name))
+    texts = []
+    for c in map(chr, range(0x41, 0x3100)):
+        texts += [c, f"{c}.", f"{c},", f"a{c}", f"a{c}.", f"x {c},", f"{c}b."]
+    rng = random.Random(4)
+    pool = [chr(c) for c in range(0x41, 0x3100)] + [chr(c) for c in range(0x41, 0x250)] * 12 + list("İıſßŉǅªº'") * 200
+    for _ in range(20_000):
+        w = "".join(rng.choice(pool) for _ in range(rng.randint(1, 4)))
+        texts.append(rng.choice([w, f"{w}.", f"{w},", f"{w} {w}. {w},", f"{w}'s {w}.\n{w}"]))
+    want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time every chunk has been met
+        assert [t for t, a, b in zip(texts, enc.encode(texts), want, strict=True) if a != b] == []
+        assert [t for t, a, b in zip(texts, enc.encode_column(pa.array(texts)), want, strict=True) if a != b] == []
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 200_000), st.integers(1, 50_000), st.integers(0, 9))
 def test_block_round_trip(n, symbols, seed):
