@@ -7,7 +7,8 @@ by spaces), with exception phrases: a hit inside an exception phrase does not co
 logistic function of the matched weights and of their share of the text's words.
 
 Learn: lexicon weights are smoothed log-odds of document frequencies in toxic and other labelled
-texts, for words and word beginnings of 4 to 9 letters; the logistic function is fitted on the
+texts, for words and word beginnings of 4 to 9 letters; ``TERMS``, a parameter of the model, is the most
+that a lexicon has, the surest first (``train(..., terms=None)`` keeps all); the logistic function is fitted on the
 same texts with each text's own contribution to the counts taken out, so a term that it alone
 brings gains nothing. Rows learned from: at most ``SAMPLE`` labelled rows (those with the
 smallest hashes of doc_id) for which crc32(doc_id) mod 4 is not 2. Labels, lang, source and doc_id
@@ -56,16 +57,28 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish",
 
 _FOLD = LOOKALIKES | dict.fromkeys(INVISIBLE, "")
 _SIGNS = str.maketrans(SIGNS)
-_MIXED = re.compile(r"(?<![\w@$])(?=[\w@$!]*[0134578@$!])(?=[\w@$!]*[^\W\d_])[\w@$!]*[\w@$]")
+#: Runs of letters, digits and signs. Each is looked at once, so that junk takes linear time.
+_RUN = re.compile(r"[\w@$!]+")
+_SIGN = re.compile(r"[0134578@$!]")
+_LETTER = re.compile(r"[^\W\d_]")
 _GAPS = re.compile(r"[\W_]+")
 
 
+def _unmasked(run: re.Match) -> str:
+    """A run with letters for its digits and signs, where it has both; marks at its end stay."""
+    core = run[0].rstrip("!")
+    if not (_SIGN.search(core) and _LETTER.search(core)):
+        return run[0]
+    return core.translate(_SIGNS) + run[0][len(core) :]
+
+
 def fold(text: str) -> str:
     """Folded words with one space around each."""
     t = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
     if not t.isascii():
         t = t.translate(_FOLD)
-    t = _MIXED.sub(lambda m: m[0].translate(_SIGNS), t)
+    if _SIGN.search(t):
+        t = _RUN.sub(_unmasked, t)
     return f" {_GAPS.sub(' ', t).strip()} "
 
 
@@ -93,9 +106,8 @@ class Model:
         a = ahocorasick.Automaton()
         for t, w in self.terms.items():
             a.add_word(t, (len(t), w))
-        for e in self.exceptions:
-            if (k := fold(e)) not in a:
-                a.add_word(k, (len(k), None))
+        for e in self.exceptions:  # after the terms: a term of the same text gives way
+            a.add_word(k := fold(e), (len(k), None))
         a.make_automaton()
         return a
 
@@ -151,13 +163,13 @@ def weight(toxic: int, other: int, n_toxic: int, n_other: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_other + 1))
 
 
-def lexicon(counts: Iterable[tuple[str, int, int]], n_toxic: int, n_other: int) -> dict[str, tuple[int, int]]:
+def lexicon(counts: Iterable[tuple[str, int, int]], n_toxic: int, n_other: int, terms: int | None = TERMS) -> dict[str, tuple[int, int]]:
     """The terms worth keeping: enough toxic texts, enough log-odds; the surest ones first."""
     good = []
     for term, t, o in counts:
         if t >= LEAST and weight(t - 1, o, n_toxic, n_other) >= MARGIN:
             good.append((-weight(t, o, n_toxic, n_other) * math.sqrt(t), term, t, o))
-    return {term: (t, o) for _, term, t, o in sorted(good)[:TERMS]}
+    return {term: (t, o) for _, term, t, o in sorted(good)[:terms]}
 
 
 def held_out(doc_id: object) -> bool:
@@ -209,8 +221,8 @@ def _own_inputs(model: Model, kept: dict[str, tuple[int, int]], n_toxic: int, n_
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The lexicon and the coefficients; TERMS terms and SAMPLE input rows reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, terms: int | None = TERMS) -> Model:
+    """The lexicon and the coefficients; ``terms`` terms (None: all) and SAMPLE input rows reach the driver."""
     sample = materialize(training_rows(docs, labels), "toxicity_sample")
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
@@ -219,8 +231,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     pairs = sample.select("text", F.col("toxic").cast("int").alias("toxic")).repartition(max(2, partitions(sample)))
     counts = pairs.mapInArrow(_count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     odds = lambda t: F.log((t + 0.5) / (n_toxic + 1)) - F.log((F.col("o") + 0.5) / (n_other + 1))
-    best = counts.filter((F.col("t") >= LEAST) & (odds(F.col("t") - 1) >= MARGIN)).orderBy(F.desc(odds(F.col("t")) * F.sqrt("t")), "term").limit(TERMS)
-    kept = lexicon([(r.term, r.t, r.o) for r in best.collect()], n_toxic, n_other)
+    good = counts.filter((F.col("t") >= LEAST) & (odds(F.col("t") - 1) >= MARGIN))
+    best = good if terms is None else good.orderBy(F.desc(odds(F.col("t")) * F.sqrt("t")), "term").limit(terms)
+    kept = lexicon([(r.term, r.t, r.o) for r in best.collect()], n_toxic, n_other, terms)
     model = Model({k: weight(t, o, n_toxic, n_other) for k, (t, o) in kept.items()})
     seen = pairs.mapInArrow(_own_inputs(model, kept, n_toxic, n_other), "a double, b double, c double, d double, e double, toxic int").collect()
     got = np.array(sorted(tuple(r) for r in seen))  # in one order, so that a rerun adds up to the same model
