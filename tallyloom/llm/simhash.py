@@ -9,23 +9,20 @@ its half: one if the half is a code word, else 16, so 32 rows at most a fingerpr
 differ in at most one bit, the code word nearest to the first is within 2 of the second: they
 meet. Fingerprints are compared only with those at the same anchor, with all 64 bits.
 
-For thresholds of 4 to 7 bits the blocks are quarters (one of four differs in at most one bit), the
-code is that on 15 bits, and a fingerprint goes to 8 code words of a quarter. Its 2,048 code words
-tell less apart than the 2**26 of a half, so most anchors are dense (see below): in all 0.2 % of
-the pairs of distinct fingerprints are compared, against some 0.00001 % for 3 bits.
-
 Equal fingerprints are one row before any of this, so exact copies, however many, cost nothing.
 At an anchor only links that join two so far unjoined groups are given out: fewer than its rows,
-however many pairs link. Anchors with over ``DENSE`` fingerprints are compared in passes
-over the runs that agree in one of four 16-bit pieces (3 differing bits leave one of them
-equal; for up to 7 bits eight 8-bit pieces), so neither crowded anchors nor close families take
-all pairs. Links become classes by star rounds (graphs).
-
-``one_of_each`` takes these classes as candidates only: two texts are near-duplicates when their
-fingerprints link and the Jaccard similarity of their sets of five-word shingles (64-bit hashes) is at
-least 0.8. Texts of equal words are one row. A class of candidates is compared in one task, of over
-``BLOCK`` texts in one task for each pair of its blocks: n texts make n * n / BLOCK rows. Pairs already
-joined by confirmed links are passed over; those that fail never join, so a chain ends at them.
+however many pairs link. Anchors with over ``DENSE`` fingerprints are compared in passes over runs
+that agree in a piece of the half that is not anchored, where an anchor's rows are no more alike
+than any others: equal anchored halves leave one of four 8-bit pieces equal, halves that differ in
+one bit leave one of three 11-bit pieces equal. Links become classes by star rounds (graphs).
+
+``one_of_each`` removes near-duplicates of five-word similarity. Its fingerprints are of two-word shingles
+and have 128 bits, so that the code covers four blocks: texts of similarity 0.8 to 0.85 agree but for 5 bits of
+64 and meet at an anchor of one block with probability 0.97 (0.99 and more above). Rows that meet are
+candidates when the word without the block differs in at most ``FAR`` bits. A class of candidates
+is compared exactly: a link is a Jaccard similarity of the sets of five-word shingles (64-bit hashes) of
+at least 0.8. Texts of equal words are one row. A class is compared in one task, of over ``BLOCK``
+texts or ``BYTES`` in one task for each pair of its blocks: n distinct texts make n * n / BLOCK rows at most.
 
 Results: a null or empty text has fingerprint 0 and links like any other. Repeated rows are of
 one class. A null doc_id counts for a class only where it has no other (component_id null). An
@@ -48,10 +45,15 @@ SHINGLE = 3
 SEED = 42
 MOST = 3
 DENSE = 48
-#: Near-duplicates that are removed: words in a shingle, least similarity, texts in a block.
+#: Near-duplicates that are removed: words in a shingle, least similarity.
 WORDS = 5
 LEAST = 0.8
-BLOCK = 512
+#: Their candidates: words in a fingerprint's shingle, most differing bits of the other 64.
+CLOSE_SHINGLE = 2
+FAR = 14
+#: Texts and bytes that are compared in one task.
+BLOCK = 1024
+BYTES = 32 << 20
 
 
 def shingles(text: str, width: int = SHINGLE) -> list[bytes]:
@@ -62,35 +64,66 @@ def shingles(text: str, width: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*(w[i:] for i in range(width)), strict=False)))
 
 
-def fingerprints(texts: Iterable[str], width: int = SHINGLE) -> np.ndarray:
-    """Unsigned 64-bit fingerprint of each text."""
+#: Eight bits of a hash, one a byte, so that one addition counts eight of them.
+_LANES = np.uint64(0x0101010101010101)
+#: Hashes added up in bytes: the most that fit.
+_RUN = 255
+
+
+def bit_counts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes have each of 64 bits; text i has the next n[i] > 0 hashes."""
+    ends = np.cumsum(n)
+    runs = -(-n // _RUN)
+    of = np.repeat(np.arange(len(n)), runs)
+    inside = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
+    starts = (ends - n)[of] + _RUN * inside
+    firsts = np.cumsum(runs) - runs
+    out = np.empty((len(n), 64), np.int64)
+    for k in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(k)) & _LANES, starts)
+        out[:, k::8] = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), firsts, axis=0, dtype=np.int64)
+    return out
+
+
+def _more(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further 64 bits of each hash."""
+    if not k:
+        return h
+    x = h + np.uint64(0x9E3779B97F4A7C15 * k & 2**64 - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(texts: Iterable[str], width: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """Unsigned fingerprint of each text: (texts, words) of 64 bits."""
     out, held, sizes = [], [], []
 
     def close() -> None:
-        if not sizes:
-            return
-        n = np.array(sizes)
-        h = np.concatenate(held) if held else np.zeros(0, np.uint64)
-        counts = np.zeros((len(n), 64), np.int64)
+        n = np.array(sizes, np.int64)
+        fp = np.zeros((len(n), words), np.uint64)
         full = np.flatnonzero(n)
         if len(full):
-            starts = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[full] = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        on = (2 * counts > n[:, None]).astype(np.uint8)
-        out.append(np.packbits(on, axis=1, bitorder="little").view("<u8").ravel())
+            h = np.concatenate(held)
+            for k in range(words):
+                on = (2 * bit_counts(_more(h, k), n[full]) > n[full, None]).astype(np.uint8)
+                fp[full, k] = np.packbits(on, axis=1, bitorder="little").view("<u8").ravel()
+        out.append(fp)
         held.clear()
         sizes.clear()
 
+    size = 0
     for t in texts:
         s = shingles(t, width)
         if s:
             held.append(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s)))
         sizes.append(len(s))
-        if sum(sizes[-64:]) > 1 << 15 or len(sizes) >= 64:
+        size += len(s)
+        if size > 1 << 15 or len(sizes) >= 256:
             close()
+            size = 0
     close()
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out)
 
 
 def fingerprint_column(width: int = SHINGLE):
@@ -100,7 +133,7 @@ def fingerprint_column(width: int = SHINGLE):
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         """SimHash of each text; null as the empty text."""
-        return pd.Series(fingerprints(t or "" for t in texts.tolist()).view(np.int64))
+        return pd.Series(fingerprints((t or "" for t in texts.tolist()), width)[:, 0].view(np.int64))
 
     return fingerprint
 
@@ -135,37 +168,27 @@ class Code:
         return i, x[i] ^ flips[i, j]
 
 
-CODES = {2: Code(5), 4: Code(4)}
-
+CODE = Code(5)
+HALF = np.uint64(0xFFFFFFFF)
 
-def blocks(most: int) -> int:
-    """Blocks of 64 bits of which one differs in at most one bit."""
-    if not 0 <= most <= 7:
-        raise ValueError("thresholds of 0 to 7 bits")
-    return 2 if most <= 3 else 4
 
-
-def anchors(fps: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, index of the fingerprint): all anchors of each fingerprint."""
-    n = blocks(most)
-    code, width = CODES[n], 64 // n
+def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, index of the fingerprint): all anchors of each fingerprint, of both halves. Bits 40 on of an
+    anchor number the half."""
     keys, at = [], []
-    for k in range(n):
-        i, word = code.near(((fps >> np.uint64(width * k)) & np.uint64((1 << code.n) - 1)).astype(np.int64))
+    for k in range(2):
+        i, word = CODE.near(((fps >> np.uint64(32 * k)) & np.uint64((1 << CODE.n) - 1)).astype(np.int64))
         keys.append(word | k << 40)
         at.append(i)
     return np.concatenate(keys), np.concatenate(at)
 
 
-def _replicate(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("anchor long, fp long")
-        for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False)
-            keys, at = anchors(fps.view(np.uint64), most)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at])], schema=schema)
-
-    return run
+def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema("anchor long, fp long")
+    for b in batches:
+        fps = b.column(0).to_numpy(zero_copy_only=False)
+        keys, at = anchors(fps.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at])], schema=schema)
 
 
 class Forest:
@@ -201,73 +224,82 @@ class Forest:
                 self.links.append((a, b))
 
 
-def _compare(forest: Forest, order: np.ndarray, fps: np.ndarray, group: np.ndarray, most: int) -> None:
-    """Compare all pairs of equal ``group`` (sorted) at every distance along ``order``."""
-    i, lag = np.arange(len(order)), 0
+def _compare(forest: Forest, order: np.ndarray, fps: np.ndarray, group: np.ndarray, most: int) -> int:
+    """Compare all pairs of equal ``group`` (sorted) at every distance along ``order``; how many there were."""
+    i, lag, pairs = np.arange(len(order)), 0, 0
     while True:
         lag += 1
         i = i[i + lag < len(order)]
         i = i[group[i] == group[i + lag]]
         if not len(i):
-            return
+            return pairs
+        pairs += len(i)
         a, b = order[i], order[i + lag]
         near = np.bitwise_count(fps[a] ^ fps[b]) <= most
         forest.join(a[near], b[near])
 
 
-def links(keys: np.ndarray, fps: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fingerprints of equal key; ``keys`` is sorted."""
+def links(keys: np.ndarray, fps: np.ndarray, most: int = MOST) -> tuple[list[tuple[int, int]], int]:
+    """A spanning forest of the links among fingerprints that meet at anchors ``keys`` (sorted), and how many pairs
+    were compared. Every link is found at an anchor of a half in which it differs in at most one bit."""
     forest = Forest(len(keys))
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(edges)
     dense = sizes > DENSE
     small = np.repeat((sizes > 1) & ~dense, sizes)
     at = np.flatnonzero(small)
-    _compare(forest, at, fps, keys[at], most)
+    pairs = _compare(forest, at, fps, keys[at], most)
     part = np.flatnonzero(np.repeat(dense, sizes))
     if len(part):
-        width = 16 if most <= 3 else 8
-        group = np.repeat(np.arange(len(sizes)), sizes)[part] << 16
-        for q in range(64 // width):
-            run = group | ((fps[part] >> np.uint64(width * q)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            o = np.argsort(run, kind="stable")
-            _compare(forest, part[o], fps, run[o], most)
-    return forest.links
+        group = np.repeat(np.arange(len(sizes)), sizes)[part]
+        upper = (keys[part] >> 40).astype(np.uint64)  # 1: the upper half is anchored
+        own, rest = (fps[part] >> (np.uint64(32) * upper)) & HALF, (fps[part] >> (np.uint64(32) * (np.uint64(1) - upper))) & HALF
+        passes = [(own, 8 * q, 8) for q in range(4)] + [(np.zeros_like(own), b, w) for b, w in ((0, 11), (11, 11), (22, 10))]
+        for same, shift, width in passes:
+            piece = (rest >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            o = np.lexsort((piece, same, group))
+            new = (group[o][1:] != group[o][:-1]) | (same[o][1:] != same[o][:-1]) | (piece[o][1:] != piece[o][:-1])
+            pairs += _compare(forest, part[o], fps, np.cumsum(np.concatenate(([False], new))), most)
+    return forest.links, pairs
+
+
+def _runs(batches: Iterator[pa.RecordBatch], size: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, in runs of about ``size`` rows that keep its values together."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        n += b.num_rows
+        if n >= size:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            if cut:
+                yield [c[:cut] for c in cols]
+            held = [[c[cut:] for c in cols]]
+            n = 0 if cut else n // 2
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _link(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (anchor, fp) sorted by anchor; an anchor may span batches, its rows are held together."""
+        """Rows (anchor, fp) sorted by anchor."""
         schema = arrow_schema("a long, b long")
-        keys, fps, held = [], [], 0
-
-        def give(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            got = links(k, f.view(np.uint64), most)
+        for keys, fps in _runs(batches):
+            got, _ = links(keys, fps.view(np.uint64), most)
             if got:
                 i, j = np.array(got).T
-                yield pa.RecordBatch.from_arrays([pa.array(f[i]), pa.array(f[j])], schema=schema)
-
-        for b in batches:
-            keys.append(b.column(0).to_numpy(zero_copy_only=False))
-            fps.append(b.column(1).to_numpy(zero_copy_only=False))
-            held += len(keys[-1])
-            if held >= 200_000:
-                k, f = np.concatenate(keys), np.concatenate(fps)
-                cut = int(np.searchsorted(k, k[-1], "left"))
-                if cut:
-                    yield from give(k[:cut], f[:cut])
-                keys, fps = [k[cut:]], [f[cut:]]
-                held = 0 if cut else held // 2
-        if keys:
-            yield from give(np.concatenate(keys), np.concatenate(fps))
+                yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], schema=schema)
 
     return run
 
 
 def class_roots(distinct: DataFrame, most: int = MOST) -> DataFrame:
     """(fp, root) of every distinct fingerprint (column fp) that links to another; root is the smallest of its class."""
-    rows = distinct.select("fp").mapInArrow(_replicate(most), "anchor long, fp long")
-    dealt = rows.repartition(partitions(distinct), "anchor").sortWithinPartitions("anchor")
+    if not 0 <= most <= 3:
+        raise ValueError("thresholds of 0 to 3 bits")
+    rows = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+    dealt = rows.repartition(partitions(distinct), "anchor").sortWithinPartitions("anchor", "fp")
     found = components(dealt.mapInArrow(_link(most), "a long, b long"))
     return found.select(F.col("node").alias("fp"), "root")
 
@@ -294,50 +326,99 @@ def _word_key(text: str) -> bytes:
 
 
 def _marks(width: int):
-    """A column function from texts to (fp, key)."""
+    """A column function from texts to (w0, w1, key)."""
     import pandas as pd
 
-    @F.pandas_udf("fp long, key binary")
+    @F.pandas_udf("w0 long, w1 long, key binary")
     def marks(texts: pd.Series) -> pd.DataFrame:
-        """SimHash and word key of each text."""
+        """SimHash of 128 bits and word key of each text."""
         given = texts.tolist()
-        return pd.DataFrame({"fp": fingerprints(given, width).view(np.int64), "key": [_word_key(t) for t in given]})
+        fp = fingerprints(given, width, 2).view(np.int64)
+        return pd.DataFrame({"w0": fp[:, 0], "w1": fp[:, 1], "key": [_word_key(t) for t in given]})
 
     return marks
 
 
+CLOSE = "anchor long, other long, row long"
+
+
+def _close_replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (w0, w1, row) to the anchors of the blocks of both words, each with the word that is not anchored."""
+    schema = arrow_schema(CLOSE)
+    for b in batches:
+        words, row = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], b.column(2).to_numpy(zero_copy_only=False)
+        for k in (0, 1):
+            keys, at = anchors(words[k].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys | k << 48), pa.array(words[1 - k][at]), pa.array(row[at])], schema=schema)
+
+
+def _close_link(far: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of CLOSE sorted by anchor; gives a spanning forest of the candidates."""
+        schema = arrow_schema("a long, b long")
+        for keys, other, row in _runs(batches):
+            forest = Forest(len(keys))
+            _compare(forest, np.arange(len(keys)), other.view(np.uint64), keys, far)
+            if forest.links:
+                i, j = np.array(forest.links).T
+                yield pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(row[j])], schema=schema)
+
+    return run
+
+
+def candidate_roots(best: DataFrame, far: int = FAR) -> DataFrame:
+    """(row, root): classes of candidates of the distinct texts (w0, w1, row), lone ones left out."""
+    rows = best.select("w0", "w1", "row").mapInArrow(_close_replicate, CLOSE)
+    dealt = rows.repartition(partitions(best), "anchor").sortWithinPartitions("anchor", "row")
+    return components(dealt.mapInArrow(_close_link(far), "a long, b long")).select(F.col("node").alias("row"), "root")
+
+
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     s = shingles(text, words)
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s)))
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two shingle sets have at least this Jaccard similarity; two empty ones do."""
-    small, large = sorted((len(a), len(b)))
-    if small < least * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (small + large - both)
-
-
-def confirmed(fps: np.ndarray, texts: list[str], most: int, words: int, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the texts that link by fingerprint and by similarity."""
-    forest, sets = Forest(len(fps)), [shingle_set(t, words) for t in texts]
-    for i in range(len(fps)):
-        for j in (np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= most) + i + 1).tolist():
-            if forest.find(i) != forest.find(j) and similar(sets[i], sets[j], least):
-                forest.join(np.array([i]), np.array([j]))
+def similar_links(texts: list[str], words: int = WORDS, least: float = LEAST) -> list[tuple[int, int]]:
+    """A spanning forest of the links of all pairs of texts whose shingle sets have at least this Jaccard
+    similarity; two empty ones do. A text's shared shingles are counted for all others at once, by postings;
+    texts of which too few shingles are in any other are passed over."""
+    sets = [shingle_set(t, words) for t in texts]
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    forest = Forest(n)
+    blank = np.flatnonzero(sizes == 0)
+    forest.join(np.full(len(blank), blank[0] if len(blank) else 0), blank)
+    if not sizes.any():
+        return forest.links
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    many = np.bincount(ids)
+    begin = np.cumsum(many) - many
+    ends = np.cumsum(sizes)
+    left = n - len(forest.links)
+    for i in range(n):
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        own = own[many[own] > 1]
+        if left == 1 or not len(own) or len(own) < least * sizes[i]:
+            continue
+        c = many[own]
+        at = np.repeat(begin[own] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        both = np.bincount(owner[at], minlength=n)[i + 1 :]
+        near = np.flatnonzero(both >= least * (sizes[i] + sizes[i + 1 :] - both)) + i + 1
+        near = near[sizes[near] > 0]
+        before = len(forest.links)
+        forest.join(np.full(len(near), i), near)
+        left -= len(forest.links) - before
     return forest.links
 
 
-def _confirm(most: int, words: int, least: float):
+def _confirm(words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (root, i, j, row, fp, text) sorted by (root, i, j), the texts of one comparison."""
+        """Rows (root, i, j, row, text) sorted by (root, i, j), the texts of one comparison."""
         sink = Sink(arrow_schema("a long, b long"))
         for _, group in groupby(rows(batches), key=lambda r: r[:3]):
-            at, fps, texts = zip(*[r[3:] for r in group], strict=True)
-            for i, j in confirmed(np.array(fps, np.int64).view(np.uint64), list(texts), most, words, least):
+            at, texts = zip(*[r[3:] for r in group], strict=True)
+            for i, j in similar_links(list(texts), words, least):
                 if sink.add((at[i], at[j])):
                     yield from sink.flush()
         yield from sink.flush()
@@ -345,28 +426,30 @@ def _confirm(most: int, words: int, least: float):
     return run
 
 
-def _confirmed_roots(base: DataFrame, best: DataFrame, most: int, words: int, least: float) -> DataFrame:
-    """(row, root) of the distinct texts ``best`` (fp, row) that are confirmed to be near others."""
-    rooted = best.join(class_roots(best.select("fp").distinct(), most), "fp", "left").select("row", "fp", F.coalesce("root", "fp").alias("root"))
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"))
+def _confirmed_roots(base: DataFrame, best: DataFrame, far: int, words: int, least: float) -> DataFrame:
+    """(row, root) of the distinct texts ``best`` (w0, w1, row, size) that are confirmed to be near others."""
+    rooted = best.join(candidate_roots(best, far), "row", "left").select("row", "size", F.coalesce("root", "row").alias("root"))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BYTES)).cast("int")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1").select("root", parts.alias("n"))
     own = rooted.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("row"), "n").cast("int"))
     # with several blocks, each pair of different ones: that compares the texts of a block too
     pair = F.explode(F.expr("filter(sequence(0, n - 1), x -> n = 1 or x <> own)")).alias("x")
-    dealt = own.select("root", "row", "fp", "own", pair).select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "row", "fp")
-    met = dealt.join(base.select(F.col("__row").alias("row"), "__text"), "row").select("root", "i", "j", "row", "fp", "__text")
+    dealt = own.select("root", "row", "own", pair).select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "row")
+    met = dealt.join(base.select(F.col("__row").alias("row"), "__text"), "row").select("root", "i", "j", "row", "__text")
     met = met.repartition(partitions(base), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return components(met.mapInArrow(_confirm(most, words, least), "a long, b long")).select(F.col("node").alias("row"), "root")
+    return components(met.mapInArrow(_confirm(words, least), "a long, b long")).select(F.col("node").alias("row"), "root")
 
 
-def one_of_each(docs: DataFrame, width: int = SHINGLE, most: int = MOST, words: int = WORDS, least: float = LEAST) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = CLOSE_SHINGLE, far: int = FAR, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class of confirmed links, the row of the
     smallest doc_id (of repeated rows one; null ids last)."""
     names = docs.columns
     taken = docs.select(*[F.col(c).alias(f"__in_{k}") for k, c in enumerate(names)], F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__id"), F.monotonically_increasing_id().alias("__row"), _marks(width)(text_of()).alias("__marks"))
-    base = materialize(taken.select("*", "__marks.fp", "__marks.key").drop("__marks"), "with_fingerprints")
+    base = materialize(taken.select("*", "__marks.w0", "__marks.w1", "__marks.key").drop("__marks"), "with_fingerprints")
     text = base.withColumn("__text", text_of(f"__in_{[c.lower() for c in names].index('text')}"))
-    best = materialize(base.groupBy("fp", "key").agg(F.min(F.struct("__id", "__row")).alias("best")).select("fp", "best", F.col("best.__row").alias("row")), "distinct")
-    rooted = best.join(_confirmed_roots(text, best, most, words, least), "row", "left").select("best", F.coalesce("root", "row").alias("root"))
+    firsts = text.groupBy("w0", "w1", "key").agg(F.min(F.struct("__id", "__row")).alias("best"), F.max(F.octet_length("__text")).alias("size"))
+    best = materialize(firsts.select("w0", "w1", "best", "size", F.col("best.__row").alias("row")), "distinct")
+    rooted = best.join(_confirmed_roots(text, best, far, words, least), "row", "left").select("best", F.coalesce("root", "row").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row"))
     return base.join(stay, "__row", "left_semi").select(*[F.col(f"__in_{k}").alias(c) for k, c in enumerate(names)])
 

@@ -8,7 +8,7 @@ from tallyloom.llm import toxicity  # noqa: E402
 from tests.llm.test_mixing import brute_targets  # noqa: E402
 from tests.llm.test_packing import plain  # noqa: E402, F401
 from tests.llm.test_secrets import brute as secrets_of  # noqa: E402
-from tests.llm.test_simhash import brute as classes_of  # noqa: E402
+from tests.llm.test_simhash import confirmed_brute  # noqa: E402
 
 D = "/root/testdata/sf0.001"
 
@@ -27,9 +27,9 @@ def test_stages_against_brute_force(spark, plain):  # noqa: F811
     assert out.columns == cols and {r.doc_id for r in out.collect()} == {k for k, s in scores.items() if s < 0.3}
 
     rows = sorted((r.doc_id, r.text) for r in out.collect())
-    best = {k for k, _, c in classes_of(rows, corpus_pipeline.NEAR) if k == str(c)}
+    best = confirmed_brute(rows)
     out = corpus_pipeline.materialize(f["simhash_near_dedup"](spark, out, D), "n")
-    assert out.columns == cols and sorted(str(r.doc_id) for r in out.collect()) == sorted(best)
+    assert out.columns == cols and sorted(r.doc_id for r in out.collect()) == best
 
     before = {r.doc_id: r.text for r in out.collect()}
     out = corpus_pipeline.materialize(f["secret_scan"](spark, out, D), "s")
