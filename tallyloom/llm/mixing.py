@@ -5,14 +5,19 @@ A target stops at twice its source's size; what is over is shared again by weigh
 with sources by cap over weight ascending, source j is capped when the level reached with the
 j-1 before it capped exceeds its own ratio; one pass over a table of sources.
 
-Queue: each source's documents are shuffled by a hash of doc_id and queued twice, one pass after the
-other. A document's virtual finish time is its source's words up to its end over its source's
-target. All sources are served at these rates, so at virtual time 1 each has given out its target, and
-the total is the budget: there the globally sorted mix is cut. Of a document in service at the
-cut the words served so far count.
+Queue: each source's documents are shuffled by a hash of doc_id and text and queued twice, one pass after the
+other. A queued document's virtual finish time is its source's words up to its end over its source's
+target. As packets do in a network, a long document waits in slices of ``QUANTUM`` words, each with the finish
+time of its own end, so that no source runs further ahead of its target than that. The slices are sorted
+by finish time over all sources, and the mix is what comes before the total budget (the sum of the targets).
 
-Running sums are two-level: sums per (source, slice of the hash), then within a slice. A
-source with a third of all rows is many slices, each of about ``SLICE`` rows.
+The global sort is by ranges: all sources are served at the rates of their targets, so equal steps of virtual
+time hold equal numbers of words. A range of about ``RANGE`` words is sorted in a task; the totals of
+ranges, a row each, give its first position; ranges beyond the budget are not sorted.
+
+Running sums inside a source are two-level: sums per (source, slice of the hash), then within a slice. A
+source with a third of all rows is many slices, each of about ``SLICE`` rows. Rows equal in doc_id and
+text share a slice.
 
 Results: a null text has 0 words; size 0 takes 0. Null sources are one source. Repeated rows are
 queued each. With no words at all every target is 0. An empty table gives no rows. Extra columns are
@@ -24,13 +29,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WORD, materialize, read, text_of
+from tallyloom.llm.common import WORD, materialize, partitions, read, text_of
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
 SEED = "mix"
 SLICE = 20_000
+QUANTUM = 128
+RANGE = 1_000_000
 
 
 def word_count() -> Column:
@@ -52,64 +59,91 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise((F.col("all") - F.col("cap_sum")) / F.col("w_free") * F.col("w")).alias("target"))
 
 
-def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with __size, __start (words of its source before it), __source_size and __target.
+def _sizes(docs: DataFrame, seed: str) -> DataFrame:
+    """(row, doc, source, size, hash): what the queue needs of each row, without its text."""
+    doc = F.col("doc_id").cast("long")
+    name = F.concat(F.lit(seed), F.coalesce(doc.cast("string"), F.lit("null")), F.lit("/"), text_of())
+    return docs.select("row", doc.alias("doc"), "source", word_count().alias("size"), F.md5(name.cast("binary")).alias("hash"))
+
 
-    Sizes are written first, narrow, so that counting them does not read the texts again."""
-    named = docs.withColumns({"__size": word_count(), "__source": F.col("source"), "__doc": F.col("doc_id").cast("long"), "__hash": F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))})
-    narrow = materialize(named.select("__source", "__size", "__hash"), "sizes")
+def queue(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
+    """The written table ``_sizes`` with ``start`` (words of its source queued before it), source_size and target."""
     digits = max(1, math.ceil(math.log(max(narrow.count(), 1) / SLICE, 16))) if SLICE else 1
-    piece = F.substring("__hash", 1, digits)
-    # one key for the window and the join: rows with their texts are dealt once
-    key = F.concat(F.coalesce(F.concat(F.lit("s"), "__source"), F.lit("n")), F.lit("/"), piece)
-    sums = narrow.groupBy("__source", piece.alias("__slice"), key.alias("__key")).agg(F.sum("__size").alias("__n"))
-    before = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col("__source").alias("__s"), "__key", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    targets = source_targets(narrow.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, budget, cap)
-    t = targets.select(F.col("source").alias("__t"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    heads = bases.join(t, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t", "__s")
-    inside = Window.partitionBy("__key").orderBy("__hash", "__doc", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = named.withColumn("__key", key).withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    return rows.join(heads, "__key").withColumn("__start", F.col("__base") + F.col("__within")).drop("__key", "__base", "__within")
-
-
-def served(copy: int) -> Column:
-    """Words that the mix takes of a document on its source's pass ``copy`` (0 or 1)."""
-    left = F.floor("__target") - F.col("__start") - F.col("__source_size") * copy
-    return F.least(F.col("__size"), F.greatest(left, F.lit(0))).cast("long")
-
-
-def taken(docs: DataFrame) -> DataFrame:
+    piece = F.substring("hash", 1, digits)
+    key = F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.lit("/"), piece)
+    sums = narrow.groupBy("source", piece.alias("slice"), key.alias("key")).agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(F.col("source").alias("s"), "key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    t = source_targets(narrow.select("source", "size"), weights, budget, cap).withColumnRenamed("source", "t")
+    heads = bases.join(t, F.col("s").eqNullSafe(F.col("t"))).drop("t", "s")
+    inside = Window.partitionBy("key").orderBy("hash", "doc", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = narrow.withColumn("key", key).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return within.join(heads, "key").withColumn("start", F.col("base") + F.col("within")).drop("key", "base", "within")
+
+
+def served(queued: DataFrame, cap: int = CAP) -> DataFrame:
+    """(row, pass, words, at): what the truncated mix takes of each queued document, and its first position in it.
+
+    ``queued`` is a written table."""
+    budget = queued.select("source", "source_size", "target").distinct().agg(F.sum("target").alias("budget")).first()
+    total = math.floor(budget.budget or 0)
+    ranges = max(1, math.ceil(total / RANGE))
+    n = F.col("n").cast("long")
+    waiting = queued.filter("size > 0").select("row", "hash", "doc", "size", "start", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("pass"))
+    slices = waiting.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / QUANTUM))))
+    words = F.least(F.lit(QUANTUM), F.col("size") - F.col("slice") * QUANTUM).cast("long")
+    end = F.col("start") + F.col("source_size") * F.col("pass") + F.col("slice") * QUANTUM + F.col("n")
+    timed = slices.withColumn("n", words).withColumn("finish", end / F.col("target"))
+    timed = timed.select("row", "hash", "doc", "pass", "slice", n.alias("n"), "finish", F.floor(F.col("finish") * ranges).alias("range"))
+    totals = materialize(timed.groupBy("range").agg(F.sum("n").alias("n")), "ranges")
+    bases = totals.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")).filter(F.col("base") < total)
+    order = Window.partitionBy("range").orderBy("finish", "hash", "doc", "row", "pass", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    placed = timed.join(bases, "range").withColumn("at", F.col("base") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    mix = placed.filter(F.col("at") < total).withColumn("n", F.least(n, F.lit(total) - F.col("at")))
+    return mix.groupBy("row", "pass").agg(F.sum("n").alias("words"), F.min("at").alias("at"))
+
+
+def taken(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken), a row per document."""
-    q = queued(docs.select("doc_id", "source", "text"))
-    return q.select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), sum((served(i) for i in range(CAP)), F.lit(0).cast("long")).alias("taken"))
+    numbered = docs.select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())
+    q = materialize(queue(materialize(_sizes(numbered, seed), "sizes")), "queue")
+    sums = served(q).groupBy("row").agg(F.sum("words").cast("long").alias("taken"))
+    return q.join(sums, "row", "left").select(F.col("doc").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``, globally sorted by virtual finish time: a row for
-    each time that a document is taken. A document that the cut falls into keeps its first words."""
+def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """The mix itself, with the columns of ``docs``, in the queue's order: a row for each time that a
+    document is taken, by its first position. A document that the cut falls into keeps its first words."""
     names = docs.columns
-    kept = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"__in_{k}") for k, c in enumerate(names)])
-    q = queued(kept)
-    copies = q.withColumn("__copy", F.explode(F.array(*[F.struct(F.lit(i).alias("pass"), served(i).alias("words")) for i in range(CAP)]))).filter("__copy.words > 0")
-    whole = F.col("__copy.words") == F.col("__size")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("__copy.words").cast("int")), " ")
-    text = F.when(whole, F.col("text")).otherwise(cut)
-    finish = (F.col("__start") + F.col("__source_size") * F.col("__copy.pass") + F.col("__size")) / F.col("__target")
-    ready = copies.withColumns({"__text": text, "__finish": finish, "__pass": F.col("__copy.pass")})
-    out = {c: F.col("__text") if c == "text" else F.when(whole, F.col(f"__in_{k}")).otherwise(F.length("__text").cast("long")) if c == "n_chars" else F.col(f"__in_{k}") for k, c in enumerate(names)}
-    return ready.orderBy("__finish", "__hash", "__pass").select(*[v.alias(c) for c, v in out.items()])
+    kept = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"__in_{k}") for k, c in enumerate(names) if c.lower() != "text"])
+    base = materialize(kept.withColumn("row", F.monotonically_increasing_id()).withColumn("__size", word_count()), "numbered")
+    places = materialize(served(materialize(queue(materialize(_sizes(base, seed), "sizes")), "queue")), "served")
+    parts = partitions(docs)
+    last = places.agg(F.max("at")).first()[0] or 0
+    to = places.select("row", "pass", "words", "at", F.floor(F.col("at") * parts / F.lit(last + 1)).cast("int").alias("__to"))
+    taken_rows = base.join(to, "row")
+    whole = F.col("words") == F.col("__size")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("words").cast("int")), " ")
+    # copies of a range of positions meet in a task, in order: the ranges are known, so nothing is sampled
+    ready = taken_rows.repartitionById(parts, "__to").sortWithinPartitions("at").withColumn("__text", F.when(whole, F.col("text")).otherwise(cut))
+    out = {c: F.col("__text") if c.lower() == "text" else F.when(whole, F.col(f"__in_{k}")).otherwise(F.length("__text").cast("long")) if c.lower() == "n_chars" else F.col(f"__in_{k}") for k, c in enumerate(names)}
+    return ready.select(*[v.alias(c) for c, v in out.items()])
 
 
 def op8_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(read(spark, sf_dir, "documents"))
 
 
-OP8_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+OP8_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w, CAST(source_size * 2 AS DOUBLE) AS cap FROM s),
 b AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS a, sum(w) OVER () AS w_all, coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(w) OVER o, 0) AS w_before FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, (a - cap_before) / (w_all - w_before) > cap / w AS capped FROM b),
 t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE (a - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () * w END AS target FROM c),
-q AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(least(size, greatest(floor(target) - start, 0)) + least(size, greatest(floor(target) - start - source_size, 0)) AS BIGINT) AS taken FROM q"""
+q AS (SELECT row_number() OVER () AS rid, d.doc_id, d.size, d.h, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, unnest([0, 1]) AS pass FROM q WHERE size > 0),
+z AS (SELECT *, unnest(range(0, (size - 1) // QUANTUM + 1)) AS slice FROM p),
+n AS (SELECT rid, h, doc_id, pass, slice, least(QUANTUM, size - slice * QUANTUM) AS n, CAST(start + source_size * pass + slice * QUANTUM + least(QUANTUM, size - slice * QUANTUM) AS DOUBLE) / target AS finish FROM z),
+g AS (SELECT rid, n, coalesce(sum(n) OVER (ORDER BY finish, h, doc_id, pass, slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM n),
+k AS (SELECT rid, sum(greatest(least(n, (SELECT floor(sum(target)) FROM t) - pos), 0)) AS taken FROM g GROUP BY rid)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (rid)""".replace("QUANTUM", str(QUANTUM))
