@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 
 from tallyloom.llm import quality as q
@@ -44,18 +45,61 @@ def test_edges(spark):
     assert q.quality(df.limit(0)).count() == 0
 
 
+def plain_distance(counts, shares):
+    n = sum(counts)
+    p = [x / n for x in counts]
+    m = [(a + b) / 2 for a, b in zip(p, shares)]
+    kl = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m) if a)
+    return math.sqrt(max(0, (kl(p) + kl(shares)) / 2))
+
+
 def test_divergence(spark):
-    d = [((3, 1, 0), (0.5, 0.25, 0.25)), ((0, 0, 0), (0.5, 0.25, 0.25)), ((2, 1, 1), (0.5, 0.25, 0.25)), ((0, 0, 5), (0.5, 0.5, 0.0))]
-    for counts, ref in d:
-        got = spark.range(1).select(q.js_distance([q.F.lit(x).cast("long") for x in counts], q.F.lit(sum(counts)).cast("long"), list(ref)).alias("d")).first().d
-        n = sum(counts)
-        if not n:
-            assert got is None
-            continue
-        p = [x / n for x in counts]
-        m = [(a + b) / 2 for a, b in zip(p, ref)]
-        kl = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m) if a)
-        assert abs(got - math.sqrt(max(0, (kl(p) + kl(ref)) / 2))) < 1e-9
+    d = [([3, 1, 0], [0.5, 0.25, 0.25]), ([0, 0, 0], [0.5, 0.25, 0.25]), ([2, 1, 1], [0.5, 0.25, 0.25]), ([0, 0, 5], [0.5, 0.5, 0.0]), ([1, 1, 1], None)]
+    df = spark.createDataFrame([(i, c, sum(c), r) for i, (c, r) in enumerate(d)], "i int, c array<long>, c_n long, r array<double>")
+    for row in df.withColumn("d", q.js_distance("c", "r")).orderBy("i").collect():
+        if not sum(row.c) or row.r is None:
+            assert row.d is None
+        else:
+            assert abs(row.d - plain_distance(row.c, row.r)) < 1e-9
+
+
+def test_verdicts_against_plain_counts(spark):
+    """Common words, references, distances and verdicts of the whole table, recomputed."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rows = {r.doc_id: (r.lang, r.text or "", *brute(r.text)) for r in docs.collect()}
+    plain = {k: re.findall(r"[^\W_]+", t.lower()) for k, (_, t, *_) in rows.items()}
+    failed = {k: r[2] < 50 or 100 * r[6] > 50 * r[2] for k, r in rows.items()}
+    words = {}
+    for lang in {r[0] for r in rows.values()}:
+        seen = collections.Counter(w for k, r in rows.items() if r[0] == lang and r[2] >= 50 for w in set(plain[k]))
+        if seen and max(seen.values()) >= q.LEAST_TEXTS:
+            words[lang] = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: q.COMMON]]
+    assert {r.lang: list(r.common) for r in q.common_words(docs).collect()} == words and "the" in words["en"]
+    hist = {}
+    for k, r in rows.items():
+        if r[0] in words:
+            c = collections.Counter(plain[k])
+            hist[k] = [c[w] for w in words[r[0]]] + [len(plain[k]) - sum(c[w] for w in words[r[0]])]
+    total = {lang: [sum(x) for x in zip(*[h for k, h in hist.items() if rows[k][0] == lang and not failed[k]])] for lang in words}
+    shares = {lang: [x / sum(t) for x in t] for lang, t in total.items()}
+    for r in q.quality(docs).collect():
+        if r.doc_id in hist and sum(hist[r.doc_id]):
+            assert abs(r.word_distance - plain_distance(hist[r.doc_id], shares[r.lang])) < 1e-9
+        else:
+            assert r.word_distance is None
+        assert r.kept == (not failed[r.doc_id] and not (r.word_chars >= 200 and r.char_distance > q.MAX_CHARS) and not (r.n_words >= 100 and (r.word_distance or 0) > q.MAX_WORDS))
+
+
+def test_languages_without_a_reference_are_judged_by_classes(spark):
+    rng = random.Random(2)
+    say = lambda ws, n: " ".join(rng.choice(ws) + rng.choice(["", "", ",", "."]) for _ in range(n))
+    english = "the of and to a in is it for as was with on at from by".split() + [f"word{i}" for i in range(30)]
+    russian = "и в не на что он как это по из у за от так бы но".split() + [f"слово{chr(0x430 + i)}" for i in range(30)]
+    rows = [(i, say(english, 150), "en") for i in range(30)] + [(100 + i, say(russian, 150), "ru") for i in range(25)]
+    rows += [(200, say(russian, 150), "be"), (201, say(russian, 150), None), (300, say([f"x{i}" for i in range(90)], 150), "en")]
+    out = {r.doc_id: r for r in q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {k for k, r in out.items() if not r.kept} == {300}
+    assert out[200].word_distance is None and out[201].word_distance is None and out[100].word_distance < 0.2
 
 
 def test_junk_goes_and_prose_stays(spark):
@@ -64,5 +108,7 @@ def test_junk_goes_and_prose_stays(spark):
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(prose + junk)], "doc_id long, text string, lang string")
     kept = {r.doc_id for r in q.quality(df).filter("kept").collect()}
     assert kept == set(range(20))
-    plan = q.judged(q.base_columns(df), {})._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Exchange" not in plan
+    common = spark.createDataFrame([("en", ["the"])], "lang string, common array<string>")
+    refs = spark.createDataFrame([("en", [0.5] * 7, [0.5, 0.5])], "lang string, chars_share array<double>, hits_share array<double>")
+    plan = q.judged(q.base_columns(df, common), refs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
