@@ -5,15 +5,17 @@ A text is split into paragraph units: at newlines, after sentence and clause mar
 (with its repeat number, so a repeated line counts each time) is put into one cell of each of
 three tables; a cell keeps a count, the XOR of digests and the XOR of check hashes. Subtracting
 the sketches of two versions cancels what they share; peeling cells with a single digest left
-recovers the rest. If peeling gets stuck, both sketches are built anew at a larger size.
+recovers the rest. If peeling gets stuck, both sketches are built anew at a larger size. Digests that
+are equal or collide never peel; after ``GROWTHS`` sizes the digests themselves are subtracted.
 
 likeness = 2 * shared / (units of one + units of the other), 1 for equal sketches.
 
 The printed fingerprint is the sketch at its base size (24 cells), which is a function of the
 text alone: equal texts have equal fingerprints.
 
-Plan of the query: one range shuffle of the texts by doc_id. A row that begins a range also goes
-to the end of the range before it, so each range knows every row's successor.
+Plan of the query: one shuffle of the texts by ranges of doc_id, a range a task. A row that begins a range also
+goes to the end of the range before it, so each range knows every row's successor. Rows that share a doc_id,
+or have none, are of one range.
 
 Results: a null or empty text has no units; two such texts have likeness 1. Rows are ordered by
 (doc_id, text), nulls first; repeated rows follow one another. A lone row is its own successor.
@@ -35,6 +37,8 @@ from tallyloom.llm.common import Sink, arrow_schema, partitions, read, text_of
 BASE = 8
 HASHES = 3
 UNIT = 64
+#: Larger sizes that are tried.
+GROWTHS = 4
 _EDGES = re.compile(r"\n|(?<=[.!?;:,])\s")
 _BLOCKS = re.compile(r".{1,%d}" % UNIT, re.S)
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -127,7 +131,8 @@ def difference(a: np.ndarray, b: np.ndarray, sketch_a: Sketch | None = None, ske
 
     The first try takes the fingerprints themselves. The next size has room for texts without a unit
     in common; it is passed over to at once where the counts of units, which fingerprints hold too,
-    differ by more than there are cells. Then sizes grow fourfold."""
+    differ by more than there are cells. Then sizes grow fourfold, GROWTHS times: what does not peel then
+    never will, and the multisets are subtracted as they are."""
     size = BASE
     if abs(len(a) - len(b)) <= HASHES * BASE:
         x = sketch_a if sketch_a is not None else Sketch(a)
@@ -137,11 +142,18 @@ def difference(a: np.ndarray, b: np.ndarray, sketch_a: Sketch | None = None, ske
             return found
     while 2 * HASHES * size < 3 * (len(a) + len(b)):
         size *= 2
-    while True:
+    for _ in range(GROWTHS):
         found = Sketch(a, size).minus(Sketch(b, size)).peel()
         if found is not None:
             return found
         size *= 4
+    return _subtracted(a, b)
+
+
+def _subtracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate((a, b)), return_inverse=True)
+    more = np.bincount(back[: len(a)], minlength=len(keys)) - np.bincount(back[len(a) :], minlength=len(keys))
+    return np.repeat(keys, np.maximum(more, 0)), np.repeat(keys, np.maximum(-more, 0))
 
 
 def likeness(a: np.ndarray, b: np.ndarray, sketch_a: Sketch | None = None, sketch_b: Sketch | None = None) -> float:
@@ -221,7 +233,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")))
     )
     dealt = joined.select(F.explode(deal).alias("to"), "doc_id", "text").select("to.part", "to.guest", "doc_id", "text")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(_compare, OUT)
+    return dealt.repartitionById(n, "part").sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(_compare, OUT)
 
 
 def op9_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
