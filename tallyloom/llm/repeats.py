@@ -11,10 +11,13 @@ Every byte is removed that a 100-byte string covers which also starts earlier. P
    the others' windows are known to start earlier. One shuffle by hash.
 4. Each hash's contexts are sorted by deep-shallow suffix sorting, forward and backward, and every
    window but the first of its kind is marked. A task holds the distinct contexts of one hash
-   at a time.
+   at a time, up to ``HOT`` bytes. An anchor with more of them (a short passage before very many different
+   texts) gives out its windows one by one instead, by a 128-bit digest; their firsts are
+   minima, added up before the shuffle, so that such windows meet in no task.
 5. Marked intervals meet their text (one shuffle by document) and are cut out.
 
-Bytes are compared exactly; a hash only decides what is compared.
+Bytes are compared exactly, but for the windows of hot anchors; a hash only decides what is compared.
+A task holds some 40 bytes of arrays for a byte of the block at hand: BLOCK, or the longest text.
 
 Results: a null text is empty. Documents are ordered by doc_id, nulls first. Repeated rows (equal
 doc_id and text) are one document: all get its result. Rows that share a doc_id, or have none, but
@@ -23,9 +26,11 @@ not the text are ordered by the text's SHA-256. An empty table gives no rows. Ex
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +41,10 @@ from tallyloom.llm.suffixes import SPAN, anchors, later_windows, take
 BLOCK = 1 << 20
 SORTED = 4 << 20
 REMEMBERED = 200_000
+HOT = 64 << 20
 #: Anchors gathered before a task gives them out.
 GATHERED = 1_000_000
-MARK = "key long, a long, z long"
+_RAW = "key long, a long, z long, digest binary"
 _ANCHOR = "h long, key long, pos long"
 _CONTEXT = "h long, key long, pos long, low int, high int, bytes binary"
 
@@ -173,12 +179,24 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(schema, pa.nulls(len(s), pa.int64()), key[s], place[s], low[s].astype(np.int32), high[s].astype(np.int32), pa.nulls(len(s), pa.binary()))
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, a, z): byte ranges covered by windows that start earlier elsewhere. Rows come sorted by h,
-    decided ones (h null) first."""
-    schema = arrow_schema(MARK)
+def _windows(batches: list[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts, with its digest."""
+    sink = Sink(schema, 1 << 16)
+    for b in batches:
+        for _, key, pos, low, high, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for o in range(low, high + 1):
+                if sink.add((key, pos - o, pos - o + SPAN, xxhash.xxh128_digest(raw[high - o : high - o + SPAN]))):
+                    yield from sink.flush()
+    yield from sink.flush()
+
+
+def _mark(batches: Iterator[pa.RecordBatch], most: int, step: int) -> Iterator[pa.RecordBatch]:
+    """(key, a, z, digest): byte ranges covered by windows that start earlier elsewhere; those with a digest are
+    windows of hot anchors, to be decided. Rows come sorted by h, decided ones (h null) first."""
+    schema = arrow_schema(_RAW)
     held: list[pa.RecordBatch] = []
     size = 0
+    hot: int | None = None
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         h, key, pos, low, high = (t.column(i).to_numpy().astype(np.int64) for i in range(5))
@@ -194,20 +212,25 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = take(np.frombuffer(raw.buffers()[2], np.uint8), off[:-1][o], (off[1:] - off[:-1])[o])
         least, most = later_windows(data, offsets, h[o], key[o], pos[o], low[o], high[o])
         hit = most >= 0
-        yield _batch(schema, key[o][hit], (pos[o] - most)[hit], (pos[o] - least)[hit] + SPAN)
+        yield _batch(schema, key[o][hit], (pos[o] - most)[hit], (pos[o] - least)[hit] + SPAN, pa.nulls(int(hit.sum()), pa.binary()))
 
     for b in batches:
         decided = b.column(0).is_null()
         if decided.true_count:
             d = b.filter(decided)
             key, pos, low, high = (d.column(i).to_numpy().astype(np.int64) for i in range(1, 5))
-            yield _batch(schema, key, pos - high, pos - low + SPAN)
+            yield _batch(schema, key, pos - high, pos - low + SPAN, pa.nulls(len(key), pa.binary()))
             b = b.filter(decided.to_numpy(zero_copy_only=False) == False) if decided.true_count < b.num_rows else b.slice(0, 0)  # noqa: E712
+        if hot is not None and b.num_rows:
+            n = int(np.searchsorted(b.column(0).to_numpy(), hot, "right"))
+            yield from _windows([b.slice(0, n)], schema)
+            b = b.slice(n)
         if not b.num_rows:
             continue
+        hot = None
         held.append(b)
         size += b.column(5).nbytes
-        if size >= SORTED:
+        if size >= step:
             t = pa.Table.from_batches(held)
             h = t.column(0).to_numpy()
             cut = int(np.searchsorted(h, h[-1], "left"))
@@ -215,7 +238,11 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from work(t.slice(0, cut))
                 t = t.slice(cut)
             held = t.combine_chunks().to_batches()
-            size = sum(x.column(5).nbytes for x in held) if cut else size // 2
+            last = sum(x.column(5).nbytes for x in held)
+            size = last if cut else size // 2
+            if last >= most:
+                yield from _windows(held, schema)
+                hot, held, size = int(h[-1]), [], 0
     if held:
         yield from work(pa.Table.from_batches(held))
 
@@ -277,7 +304,13 @@ def marks(texts: DataFrame, copies: DataFrame) -> DataFrame:
     contexts = met.mapInArrow(_contexts, _CONTEXT)
     deal = F.coalesce("h", F.xxhash64("key", "pos"))
     dealt = contexts.repartition(n, deal).sortWithinPartitions(F.asc_nulls_first("h"))
-    return dealt.mapInArrow(_mark, MARK)
+    raw = materialize(dealt.mapInArrow(partial(_mark, most=HOT, step=SORTED), _RAW), "raw_marks")
+    sure, open_ = raw.filter("digest IS NULL").select("key", "a", "z"), raw.filter("digest IS NOT NULL")
+    if open_.isEmpty():
+        return sure
+    at = F.struct("key", "a")
+    firsts = materialize(open_.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "firsts_of_windows")
+    return sure.unionByName(open_.join(firsts, "digest").filter(at > F.col("first")).select("key", "a", "z"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:

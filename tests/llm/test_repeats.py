@@ -57,14 +57,33 @@ def test_made_texts(spark, seed):
     ids = random.Random(seed).sample(range(-50, 1000), len(texts))
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in zip(ids, texts)], "doc_id long, text string, key int, sha string").repartition(5)
     docs = sorted((i, i, t.encode()) for i, t in zip(ids, texts))
-    keep = repeats.BLOCK, repeats.SORTED, repeats.REMEMBERED, repeats.GATHERED
+    keep = repeats.BLOCK, repeats.SORTED, repeats.REMEMBERED, repeats.GATHERED, repeats.HOT
     assert got(repeats.repeats(df)) == brute(docs)
     rows = df.select("doc_id", repeats.F.col("text").cast("binary").alias("text")).collect()
     try:  # small limits: the same marks without Spark
         repeats.BLOCK, repeats.SORTED, repeats.REMEMBERED, repeats.GATHERED = 500, 3000, 3, 40
         assert local(rows) == brute(docs)
+        repeats.HOT = 2000
+        assert local(rows) == brute(docs)
+    finally:
+        repeats.BLOCK, repeats.SORTED, repeats.REMEMBERED, repeats.GATHERED, repeats.HOT = keep
+
+
+def test_a_short_passage_before_very_many_texts(spark):
+    """One 40-byte passage before different texts: its anchors' contexts do not fit one comparison, and
+    the same rows come out. Some texts share what follows."""
+    rng = random.Random(9)
+    tail = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(3000)]
+    texts = ["The passage that stands at every beginning: " + (tail[i] if i % 10 else tail[i % 30]) for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    want = brute([(i, i, t.encode()) for i, t in enumerate(texts)])
+    keep, repeats.HOT, repeats.SORTED = (repeats.HOT, repeats.SORTED), 10_000, 5_000
+    try:
+        assert got(repeats.repeats(df)) == want
+        plan = repeats.marks(df.selectExpr("doc_id AS key", "cast(text AS binary) AS text"), df.limit(0).selectExpr("doc_id AS key"))
+        assert plan._jdf.queryExecution().toString().count("Union") > 0  # the windows of a hot anchor were dealt
     finally:
-        repeats.BLOCK, repeats.SORTED, repeats.REMEMBERED, repeats.GATHERED = keep
+        repeats.HOT, repeats.SORTED = keep
 
 
 def local(rows):
@@ -90,9 +109,15 @@ def local(rows):
     contexts.sort(key=lambda r: (r[0] is not None, r[0] or 0))
     schema = repeats.arrow_schema(repeats._CONTEXT)
     some = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*contexts[i : i + 7]), schema)], schema=schema) for i in range(0, len(contexts), 7)]
-    marks = {}
-    for b in repeats._mark(iter(some)):
-        for k, a, z in zip(*[c.to_pylist() for c in b.columns]):
+    marks, windows = {}, {}
+    for b in repeats._mark(iter(some), repeats.HOT, repeats.SORTED):
+        for k, a, z, digest in zip(*[c.to_pylist() for c in b.columns]):
+            if digest is None:
+                marks.setdefault(k, []).append((a, z))
+            else:
+                windows.setdefault(digest, []).append((k, a, z))
+    for at in windows.values():
+        for k, a, z in sorted(at)[1:]:
             marks.setdefault(k, []).append((a, z))
     out = []
     for k, t in rows:
