@@ -4,18 +4,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Byte set of the server-side trim, field limits.
-SERVER_TRIM = r"[ \t\n\r\x00\x0B]"
+SERVER_TRIM = " \t\n\r\x00\x0B"
+#: What browsers trim (white space, line ends and the byte order mark; not U+0085).
+BROWSER_TRIM = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 LIMITS = {"title": 120, "email": 255, "source": 120, "description": 3000}
 
 
 def server_trim(s: Column) -> Column:
     """Strip space, tab, LF, CR, NUL and VT only; NBSP stays."""
-    return F.regexp_replace(s, rf"^{SERVER_TRIM}+|{SERVER_TRIM}+$", "")
+    return F.btrim(s, F.lit(SERVER_TRIM))
 
 
 def browser_trim(s: Column) -> Column:
     """Strip any Unicode whitespace (and BOM), as browsers do."""
-    return F.regexp_replace(s, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    return F.btrim(s, F.lit(BROWSER_TRIM))
 
 
 def clean(s: Column, limit: int = 3000) -> Column:

@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.money import RATES, allocation, share
+from tallyloom.functions.money import RATES, allocation, amount_text, share, valid_amount
+from tallyloom.functions.text import browser_trim
+from tallyloom.schemas import CONTRIBUTION
 
 
 def with_allocation(df: DataFrame, amount: str) -> DataFrame:
@@ -37,3 +39,35 @@ def payouts_by_month(df: DataFrame, day: str, state: str, amount: str) -> DataFr
 
 def methods_active(df: DataFrame, amount: str) -> DataFrame:
     return df.withColumn("methods_active", F.coalesce(F.col(amount) > 0, F.lit(False)))
+
+
+def contributions(payments: DataFrame) -> DataFrame:
+    """The contribution record of each valid payment, in the columns of CONTRIBUTION. ``payments`` has received_on, amount,
+    payment_path, attribution, verified, service_category, outcome_note, is_public and receipt_status."""
+    paid = payments.filter(valid_amount(F.col("amount").cast("double"))).withColumn("received", F.lit(True))
+    due = commissions(with_allocation(paid, "amount"), "amount", "attribution", "received", "verified")
+    named = due.withColumns({"attribution": F.coalesce("attribution", F.lit("none")), "direct": F.col("direct_commission"), "secondary": F.col("secondary_commission"), "is_public": F.coalesce("is_public", F.lit(False))})
+    return named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CONTRIBUTION])
+
+
+def after_payment(payments: DataFrame, sender: str = "noreply@example.org", name: str = "Records") -> dict[str, DataFrame]:
+    """What follows a payment: ``contributions``, ``ledger`` (the event to append, by payment_id) and ``outbox`` (the mail to
+    the payer's ``email``). Payments without a valid amount leave nothing."""
+    paid = payments.filter(valid_amount(F.col("amount").cast("double")))
+    money = amount_text(F.col("amount"))
+    event = F.to_json(F.struct(money.alias("amount"), "payment_path", F.coalesce("attribution", F.lit("none")).alias("attribution")))
+    body = F.concat(F.lit("Hello,\n\nThank you. We received your contribution of $"), money, F.lit(f".\n\n{name}\n"))
+    return {
+        "contributions": contributions(payments),
+        "ledger": paid.select(F.col("payment_id").cast("string").alias("asset_id"), F.lit("contribution.recorded").alias("event_type"), event.alias("event_payload"), F.col("received_on").cast("timestamp").alias("created_at")),
+        "outbox": paid.select("payment_id", F.col("email").alias("recipient"), F.lit(f"{name}: contribution received").alias("subject"), body.alias("body"), F.lit(f"From: {name} <{sender}>").alias("headers")),
+    }
+
+
+def public_record(records: DataFrame) -> DataFrame:
+    """Money in, its allocation and its outcomes per service category, of public contribution records. Null notes and
+    blank ones are no outcomes."""
+    noted = browser_trim(F.coalesce("outcome_note", F.lit(""))) != ""
+    money = [F.sum(c).alias(c) for c in ("operating", "direct", "secondary", "programme")]
+    shown = records.filter("is_public").groupBy("service_category")
+    return shown.agg(F.sum("amount").alias("money_in"), *money, F.count("*").alias("n"), F.count_if(noted).alias("n_outcomes"))

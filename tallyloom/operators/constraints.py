@@ -17,3 +17,9 @@ def reference_violations(child: DataFrame, parent: DataFrame, child_key: str, pa
 def linked(ideas: DataFrame, assets: DataFrame) -> DataFrame:
     """Ideas with their asset rows."""
     return ideas.join(assets.select("asset_id", "version", F.col("status").alias("asset_status")), "asset_id")
+
+
+def ledger_with_ideas(ledger: DataFrame, ideas: DataFrame) -> DataFrame:
+    """Every ledger row with its idea's title and source; null where no idea has its asset_id (the link is by
+    value and not enforced)."""
+    return ledger.join(ideas.select("asset_id", F.col("title").alias("idea_title"), F.col("source").alias("idea_source")), "asset_id", "left")

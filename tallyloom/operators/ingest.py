@@ -1,9 +1,9 @@
 """Fan-out of accepted submissions to the four tables, the outbox and the rejects.
 
-Publishing is staged: every table of a batch is written below ``<root>/_staged/<batch>``
-and becomes visible only when its marker row is appended to ``<root>/batches``, last.
-A failed batch therefore leaves a gap in the IDs and no rows, as the two-transaction
-original does.
+Publishing is staged: a batch is cleaned and validated once and numbered once, both written; every
+table is derived from what was written, so all of them agree. Tables have a folder ``batch=<name>`` a batch and
+become visible only when its marker row is appended to ``<root>/batches``, last. A failed batch
+therefore leaves a gap in the IDs and no rows, as the two-transaction original does.
 """
 
 from dataclasses import dataclass
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.sequence import PREFIX, assign_ids, next_state
-from tallyloom.operators.validate import clean_submission, split_valid
+from tallyloom.operators.validate import clean_submission, split_valid, status_code
 
+#: Before a batch's name in its folder, so that a name of digits stays a string.
+MARK = "b-"
 TABLES = ("ideas", "assets", "ledger", "audit_log", "outbox", "rejects", "asset_sequences", "replies")
 
 
@@ -44,7 +46,7 @@ def audit_log(df: DataFrame) -> DataFrame:
 
 
 def outbox(df: DataFrame, config: Config) -> DataFrame:
-    """Acknowledgement mails as rows; delivery happens outside."""
+    """Acknowledgement mails as rows; delivery happens outside. The mail's wording."""
     name, sender = config.mail_name, config.mail_from
     return df.select(
         "asset_id",
@@ -59,30 +61,49 @@ def replies(df: DataFrame) -> DataFrame:
     return df.select("asset_id", F.to_json(F.struct(F.lit(True).alias("ok"), "asset_id", F.lit(False).alias("mail_sent"))).alias("reply"))
 
 
+def fan_out(numbered: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
+    """The tables that are one row a numbered submission."""
+    return {"ideas": ideas(numbered), "assets": assets(numbered), "ledger": ledger(numbered), "audit_log": audit_log(numbered), "outbox": outbox(numbered, config), "replies": replies(numbered)}
+
+
+def _numbered(good: DataFrame, ts: str, tiebreak: str, state: DataFrame | None, config: Config) -> DataFrame:
+    return assign_ids(good, ts, tiebreak, state, config.prefix).withColumn("created_at", F.col(ts))
+
+
 def ingest(submissions: DataFrame, ts: str, tiebreak: str, state: DataFrame | None = None, config: Config = Config()) -> dict[str, DataFrame]:
-    """Clean, validate, number and fan out one batch. Keys: see TABLES."""
+    """Clean, validate, number and fan out one batch, lazily. Keys: see TABLES. ``publish`` does it in written steps."""
     good, bad = split_valid(clean_submission(submissions))
-    numbered = assign_ids(good, ts, tiebreak, state, config.prefix).withColumn("created_at", F.col(ts))
-    return {
-        "ideas": ideas(numbered),
-        "assets": assets(numbered),
-        "ledger": ledger(numbered),
-        "audit_log": audit_log(numbered),
-        "outbox": outbox(numbered, config),
-        "replies": replies(numbered),
-        "rejects": bad,
-        "asset_sequences": next_state(good, ts, state),
-    }
-
-
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, batch: str) -> None:
+    return fan_out(_numbered(good, ts, tiebreak, state, config), config) | {"rejects": bad, "asset_sequences": next_state(good, ts, state)}
+
+
+def publish(submissions: DataFrame, ts: str, tiebreak: str, root: str, batch: str, state: DataFrame | None = None, config: Config = Config()) -> None:
     """Write all tables of the batch, then its marker. Writing the same batch again replaces it."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/_staged/{batch}/{name}")
+    spark = submissions.sparkSession
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        path = f"{root}/{name}/batch={MARK}{batch}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    cleaned = clean_submission(submissions)
+    coded = put(cleaned.withColumn("status_code", status_code(cleaned)), "coded")
+    good, bad = coded.filter("status_code = 200"), coded.filter("status_code <> 200")
+    numbered = put(_numbered(good, ts, tiebreak, state, config), "numbered")
+    for name, df in (fan_out(numbered, config) | {"rejects": bad, "asset_sequences": next_state(good, ts, state)}).items():
+        put(df, name)
     spark.createDataFrame([(batch,)], "batch string").write.mode("append").parquet(f"{root}/batches")
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of table ``name`` of all published batches (one read, batch list is one row a batch)."""
-    done = sorted({r.batch for r in spark.read.schema("batch string").parquet(f"{root}/batches").collect()})
-    return spark.read.parquet(*[f"{root}/_staged/{b}/{name}" for b in done])
+    """Rows of table ``name`` of all published batches, with the column ``batch``: a semi-join with the markers, so no
+    list of batches is gathered."""
+    done = spark.read.schema("batch string").parquet(f"{root}/batches")
+    rows = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").withColumn("batch", F.substring("batch", len(MARK) + 1, 2**31 - 1))
+    return rows.join(done, "batch", "left_semi")
+
+
+def state_before(spark: SparkSession, root: str, batch: str) -> DataFrame:
+    """(sequence_date, last_number) as the published batches with smaller names left it. A batch that is run again
+    after its marker was written is numbered from the same state, so its IDs do not change."""
+    earlier = read_published(spark, root, "asset_sequences").filter(F.col("batch") < batch)
+    return earlier.groupBy("sequence_date").agg(F.max("last_number").alias("last_number"))

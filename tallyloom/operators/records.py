@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import browser_trim
+
 PUBLIC = ("asset_id", "title", "source", "status", "created_at")
 
 
@@ -35,6 +37,12 @@ def labelled(issues: DataFrame, label: str) -> DataFrame:
     return issues.filter((F.col("kind") == "issue") & (F.col("state") == "open") & F.array_contains("labels", label))
 
 
+def with_node(ideas: DataFrame, node: str, known: tuple[str, ...]) -> DataFrame:
+    """Adds ``assigned_node``: the trimmed form field where it names a known node, else null."""
+    name = browser_trim(F.coalesce(F.col(node), F.lit("")))
+    return ideas.withColumn("assigned_node", F.when(name.isin(*known), name))
+
+
 def public_only(df: DataFrame, visibility: str = "visibility") -> DataFrame:
     return df.filter(F.col(visibility) == "public")
 

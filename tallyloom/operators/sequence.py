@@ -22,7 +22,7 @@ def utc_day(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd")
 
 
-def assign_ids(df: DataFrame, ts: str, tiebreak: str, state: DataFrame | None = None, prefix: str = PREFIX, slot_seconds: int = 60) -> DataFrame:
+def assign_ids(df: DataFrame, ts: str, tiebreak: str, state: DataFrame | None = None, prefix: str = PREFIX, slot_seconds: int = 1) -> DataFrame:
     """Adds ``sequence_date``, ``sequence_number`` (long) and ``asset_id`` in order of (ts, tiebreak) per UTC day.
 
     ``state`` has (sequence_date, last_number); days it lacks start at 1. Rows with a

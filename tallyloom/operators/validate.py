@@ -29,6 +29,7 @@ REQUIRED = {
     "mail_form": ("originator", "email", "title", "description"),
     "membership": ("username", "email", "postal"),
     "glossary": ("term", "expansion"),
+    "glossary_typed": ("term",),
 }
 
 

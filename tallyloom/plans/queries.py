@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import money, text
 from tallyloom.operators import accounting, constraints, graph, ingest, records, sequence, validate
+from tallyloom.sources import intake, markdown
 from tallyloom.sources.tables import read_table
 
 
@@ -61,15 +62,50 @@ REQUIRED_SQL = "SELECT conv_id, turn, CASE WHEN role = 'system' OR conv_id % 5 =
 
 
 def _address() -> Column:
-    k = F.col("c_custkey")
-    return F.when(k % 7 == 0, F.concat(F.lit("a..b@x"), k.cast("string"), F.lit(".org"))).when(k % 5 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit("@host"))).otherwise(F.concat(F.lit("c+"), k.cast("string"), F.lit("@sub.example.org")))
+    """Addresses of seven kinds, by the first of these that divides the key: 7, 5, 11, 13, 17, 19."""
+    k, c = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    bad = {7: F.concat(F.lit("a..b@x"), c, F.lit(".org")), 5: F.concat(F.lit("c"), c, F.lit("@host")), 11: F.concat(F.lit(".c"), c, F.lit("@x.org")), 13: F.concat(F.lit("c"), c, F.lit("@-x.org")), 17: F.concat(F.lit("c" * 65), c, F.lit("@x.org")), 19: F.concat(F.lit("c "), c, F.lit("@x.org"))}
+    out = F.when(F.lit(False), c)
+    for n, address in bad.items():
+        out = out.when(k % n == 0, address)
+    return out.otherwise(F.concat(F.lit("c+o'x."), c, F.lit("@sub.example-1.org")))
 
 
 def email_check(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "customer").select("c_custkey", validate.email_ok(_address()).alias("ok"))
 
 
-EMAIL_SQL = "SELECT c_custkey, regexp_full_match(CASE WHEN c_custkey % 7 = 0 THEN 'a..b@x' || c_custkey || '.org' WHEN c_custkey % 5 = 0 THEN 'c' || c_custkey || '@host' ELSE 'c+' || c_custkey || '@sub.example.org' END, '" + validate.EMAIL[1:-1].replace("'", "''") + "') AS ok FROM customer"
+EMAIL_SQL = "SELECT c_custkey, NOT (c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 17 = 0 OR c_custkey % 19 = 0) AS ok FROM customer"
+
+
+def intake_status(spark: SparkSession, d: str) -> DataFrame:
+    """Request bodies as JSON text: some are cut off, some are a list or a number, some are not posted."""
+    k = F.col("event_id")
+    body = F.to_json(F.struct(F.concat(F.lit(" idea\t "), "event_type").alias("title"), F.when(k % 7 == 0, "nohost").otherwise("u@example.org").alias("email"), F.col("event_type").alias("source"), F.lit("x").alias("more")))
+    raw = F.when(k % 10 == 0, F.substring(body, 1, 12)).when(k % 10 == 1, F.lit("[1]")).when(k % 10 == 2, F.lit("7")).otherwise(body)
+    ev = read_table(spark, d, "events").select("event_id", raw.alias("raw"), F.when(k % 4 == 3, "GET").otherwise("POST").alias("method"))
+    cleaned = validate.clean_submission(intake.parse_submissions(ev, "raw"))
+    return cleaned.select("event_id", "title", F.col("corrupt").isNotNull().alias("corrupt"), validate.status_code(cleaned).alias("status_code"))
+
+
+INTAKE_SQL = """SELECT event_id, CASE WHEN event_id % 10 IN (0, 1, 2) THEN '' ELSE 'idea ' || event_type END AS title, event_id % 10 IN (0, 2) AS corrupt,
+CASE WHEN event_id % 4 = 3 THEN 405 WHEN event_id % 10 IN (0, 1, 2) OR event_id % 7 = 0 THEN 400 ELSE 200 END AS status_code FROM events"""
+
+
+def form_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Customers fill in each form: blanks, white space and bad addresses by key."""
+    k = F.col("c_custkey")
+    name, blank = F.col("c_name"), F.lit(" \u00a0\t")
+    df = read_table(spark, d, "customer").select(
+        "c_custkey", F.when(k % 3 == 0, blank).otherwise(name).alias("title"), F.when(k % 5 == 0, "x@host").otherwise("x@a.example.org").alias("email"), F.col("c_mktsegment").alias("source"),
+        F.when(k % 4 != 0, name).alias("description"), name.alias("originator"), F.when(k % 7 != 0, name).alias("username"), F.when(k % 11 == 0, blank).otherwise("V1").alias("postal"),
+        name.alias("term"), F.when(k % 13 == 0, "").otherwise(name).alias("expansion"),
+    )
+    return df.select("c_custkey", *[validate.form_complete(df, f).alias(f) for f in ("server", "export_form", "mail_form", "membership", "glossary", "glossary_typed")])
+
+
+FORMS_SQL = """SELECT c_custkey, c_custkey % 3 <> 0 AS server, c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AS export_form, c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AS mail_form,
+c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 5 <> 0 AS membership, c_custkey % 13 <> 0 AS glossary, true AS glossary_typed FROM customer"""
 
 
 def daily_asset_id(spark: SparkSession, d: str) -> DataFrame:
@@ -87,14 +123,15 @@ STATE_SQL = "SELECT strftime(ts, '%Y%m%d') AS sequence_date, CAST(count(*) AS IN
 
 
 def asset_id_continued(spark: SparkSession, d: str) -> DataFrame:
-    """Odd events numbered after even ones: the second batch goes on from the first one's state."""
+    """Two batches of all events: even ones from an empty state, odd ones from the state that the first left."""
     ev = read_table(spark, d, "events")
-    state = sequence.next_state(ev.filter("event_id % 2 = 0"), "ts")
-    return sequence.assign_ids(ev.filter("event_id % 2 = 1"), "ts", "event_id", state).select("event_id", "asset_id")
+    first, second = ev.filter("event_id % 2 = 0"), ev.filter("event_id % 2 = 1")
+    one = sequence.assign_ids(first, "ts", "event_id")
+    two = sequence.assign_ids(second, "ts", "event_id", sequence.next_state(first, "ts"))
+    return one.select("event_id", "asset_id").unionByName(two.select("event_id", "asset_id"))
 
 
-CONTINUED_SQL = """SELECT e.event_id, printf('IPM-%s-%06d', strftime(ts, '%Y%m%d'), coalesce(n, 0) + row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY ts, event_id)) AS asset_id
-FROM events e LEFT JOIN (SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1) s ON strftime(e.ts, '%Y%m%d') = s.day WHERE event_id % 2 = 1"""
+CONTINUED_SQL = """SELECT event_id, printf('IPM-%s-%06d', strftime(ts, '%Y%m%d'), row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY event_id % 2, ts, event_id)) AS asset_id FROM events"""
 
 
 def _submissions(spark: SparkSession, d: str) -> DataFrame:
@@ -135,10 +172,10 @@ AUDIT_SQL = f"SELECT 'u' || user_id || '@example.org' AS actor_email, 'idea.subm
 
 
 def outbox_rows(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.ingest(_submissions(spark, d), "ts", "event_id")["outbox"].select("asset_id", "recipient", "subject", "body")
+    return ingest.ingest(_submissions(spark, d), "ts", "event_id")["outbox"]
 
 
-OUTBOX_SQL = f"SELECT asset_id, 'u' || user_id || '@example.org' AS recipient, 'Records Asset ID: ' || asset_id AS subject, 'Hello,' || chr(10) || chr(10) || 'Your idea has been received by Records.' || chr(10) || chr(10) || 'Asset ID: ' || asset_id || chr(10) || 'Idea Title: idea ' || event_type || chr(10) || chr(10) || 'This acknowledgement confirms receipt and timestamping of your submission.' || chr(10) || chr(10) || 'Records' || chr(10) AS body FROM {_ACCEPTED}"
+OUTBOX_SQL = f"SELECT asset_id, 'u' || user_id || '@example.org' AS recipient, 'Records Asset ID: ' || asset_id AS subject, 'Hello,' || chr(10) || chr(10) || 'Your idea has been received by Records.' || chr(10) || chr(10) || 'Asset ID: ' || asset_id || chr(10) || 'Idea Title: idea ' || event_type || chr(10) || chr(10) || 'This acknowledgement confirms receipt and timestamping of your submission.' || chr(10) || chr(10) || 'Records' || chr(10) AS body, 'From: Records <noreply@example.org>' || chr(13) || chr(10) || 'Reply-To: noreply@example.org' || chr(13) || chr(10) || 'Content-Type: text/plain; charset=UTF-8' AS headers FROM {_ACCEPTED}"
 
 
 def rejects(spark: SparkSession, d: str) -> DataFrame:
@@ -169,12 +206,28 @@ CHOICE_SQL = "SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 <> 0 AND p_size > 0
 
 
 def payment_url(spark: SparkSession, d: str) -> DataFrame:
-    base = F.when(F.col("o_orderkey") % 2 == 0, "https://pay.example.org/x?amount=3").otherwise("https://pay.example.org/x?a=1")
+    """Links that already have an amount, that do not, that are not filled in yet, and that are none."""
+    k = F.col("o_orderkey") % 5
+    base = F.when(k == 0, "https://pay.example.org/x?amount=3").when(k == 1, "HTTP://pay.example.org/x?a=1").when(k == 2, "https://PASTE_LINK/x").when(k == 3, "ftp://pay.example.org/x").otherwise("https://pay.example.org/x?amount=3&b=2")
     u = money.payment_url(base, F.col("o_totalprice"))
     return read_table(spark, d, "orders").select("o_orderkey", u.alias("url"), money.live_url(u).alias("live"))
 
 
-URL_SQL = r"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'https://pay.example.org/x?amount=' ELSE 'https://pay.example.org/x?a=1&amount=' END || regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '\.?0+$', '') AS url, true AS live FROM orders"
+URL_SQL = r"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'https://pay.example.org/x?amount=' WHEN 1 THEN 'HTTP://pay.example.org/x?a=1&amount=' WHEN 2 THEN 'https://PASTE_LINK/x?amount=' WHEN 3 THEN 'ftp://pay.example.org/x?amount=' ELSE 'https://pay.example.org/x?b=2&amount=' END
+|| regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '\.?0+$', '') AS url, o_orderkey % 5 IN (0, 1, 4) AS live FROM orders"""
+
+
+def payment_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Typed amounts: blank, no number, padded, negative; methods are active once there is an amount."""
+    k, v = F.col("event_id") % 5, F.col("value")
+    typed = F.when(k == 0, "").when(k == 1, "1.2.3").when(k == 2, F.concat(F.lit("  "), v.cast("string"), F.lit(" "))).when(k == 3, (-v).cast("string")).otherwise((v * 1000).cast("string"))
+    ev = read_table(spark, d, "events").select("event_id", money.parse_amount(typed).alias("parsed"))
+    shown = accounting.methods_active(ev.withColumn("amount", money.cents(F.col("parsed"))), "amount")
+    return shown.select("event_id", F.isnan("parsed").alias("no_number"), "methods_active", money.currency(F.col("amount")).alias("text"), money.equivalent(F.col("amount")).alias("equivalent"))
+
+
+PANEL_SQL = """SELECT event_id, event_id % 5 = 1 AS no_number, amount > 0 AS methods_active, '$' || format('{:,.2f}', amount) AS text, CASE amount WHEN 1 THEN 'day' WHEN 7 THEN 'week' WHEN 30 THEN 'month' WHEN 365 THEN 'year' END AS equivalent
+FROM (SELECT event_id, CASE WHEN v > 0 THEN floor(v * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS amount FROM (SELECT event_id, CASE event_id % 5 WHEN 2 THEN value WHEN 3 THEN -value WHEN 4 THEN value * 1000 ELSE 0 END AS v FROM events))"""
 
 
 def encoded_links(spark: SparkSession, d: str) -> DataFrame:
@@ -225,11 +278,12 @@ PAYOUTS_SQL = "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus, CA
 
 
 def reference_violations(spark: SparkSession, d: str) -> DataFrame:
-    bad = constraints.reference_violations(read_table(spark, d, "lineitem"), read_table(spark, d, "orders"), "l_orderkey", "o_orderkey")
-    return bad.agg(F.count("*").alias("n_violations"))
+    """Lines of orders that are pending: those orders are not among the parents."""
+    parents = read_table(spark, d, "orders").filter("o_orderstatus <> 'P'")
+    return constraints.reference_violations(read_table(spark, d, "lineitem"), parents, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
-REFERENCE_SQL = "SELECT count(*) AS n_violations FROM lineitem l WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)"
+REFERENCE_SQL = "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o_orderstatus <> 'P')"
 
 
 def unique_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -247,6 +301,109 @@ def linked_records(spark: SparkSession, d: str) -> DataFrame:
 LINKED_SQL = f"SELECT asset_id, 'idea ' || event_type AS title, '0.1' AS version, 'draft' AS asset_status FROM {_ACCEPTED}"
 
 
+def ledger_links(spark: SparkSession, d: str) -> DataFrame:
+    """Ledger rows with their ideas; ideas of type ``error`` were never stored, so their ledger rows stand alone."""
+    t = ingest.ingest(_submissions(spark, d), "ts", "event_id")
+    return constraints.ledger_with_ideas(t["ledger"], t["ideas"].filter("source <> 'error'")).select("asset_id", "event_type", "idea_title", "idea_source")
+
+
+LEDGER_LINKS_SQL = f"SELECT asset_id, 'idea.locked' AS event_type, CASE WHEN event_type <> 'error' THEN 'idea ' || event_type END AS idea_title, CASE WHEN event_type <> 'error' THEN event_type END AS idea_source FROM {_ACCEPTED}"
+
+
+def ideas_by_node(spark: SparkSession, d: str) -> DataFrame:
+    """The node field of the form: the event type plays it, padded; ``error`` is no known node."""
+    ev = read_table(spark, d, "events").withColumn("node", F.concat(F.lit(" "), "event_type"))
+    known = ("click", "view", "purchase", "signup")
+    return records.with_node(ev, "node", known).groupBy("assigned_node").agg(F.count("*").alias("n"))
+
+
+NODES_SQL = "SELECT CASE WHEN event_type IN ('click', 'view', 'purchase', 'signup') THEN event_type END AS assigned_node, count(*) AS n FROM events GROUP BY 1"
+
+
+def _payments(spark: SparkSession, d: str) -> DataFrame:
+    """Orders play payments; every ninth has no amount."""
+    k = F.col("o_orderkey")
+    return read_table(spark, d, "orders").select(
+        k.alias("payment_id"), F.to_date("o_orderdate").alias("received_on"), F.when(k % 9 != 0, F.col("o_totalprice").cast("decimal(18,2)")).alias("amount"), F.lit("Square").alias("payment_path"),
+        F.when(F.col("o_orderpriority").startswith("1"), "direct promoter").when(F.col("o_orderpriority").startswith("2"), "secondary promoter").alias("attribution"), (k % 2 == 0).alias("verified"),
+        F.col("o_orderpriority").alias("service_category"), F.when(k % 4 == 0, " ").when(k % 4 == 1, "done").alias("outcome_note"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("is_public"),
+        F.lit("sent").alias("receipt_status"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@example.org")).alias("email"),
+    )
+
+
+_PAID = """(SELECT *, CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN CAST(round(a * 0.10, 2) AS DECIMAL(18,2)) ELSE 0 END AS dc, CASE WHEN left(o_orderpriority, 1) = '2' AND o_orderkey % 2 = 0 THEN CAST(round(a * 0.01, 2) AS DECIMAL(18,2)) ELSE 0 END AS sc,
+CASE left(o_orderpriority, 1) WHEN '1' THEN 'direct promoter' WHEN '2' THEN 'secondary promoter' ELSE 'none' END AS who,
+a - CAST(round(a * 0.10, 2) AS DECIMAL(18,2)) - CAST(round(a * 0.10, 2) AS DECIMAL(18,2)) - CAST(round(a * 0.01, 2) AS DECIMAL(18,2)) AS prog, CAST(round(a * 0.10, 2) AS DECIMAL(18,2)) AS op
+FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders) WHERE o_orderkey % 9 <> 0 AND a > 0)"""
+
+
+def contribution_records(spark: SparkSession, d: str) -> DataFrame:
+    c = accounting.contributions(_payments(spark, d))
+    return c.select("received_on", "attribution", "outcome_note", "is_public", "service_category", *[F.col(x).cast("double").alias(x) for x in ("amount", "operating", "direct", "secondary", "programme")])
+
+
+CONTRIBUTIONS_SQL = f"""SELECT CAST(o_orderdate AS DATE) AS received_on, who AS attribution, CASE o_orderkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'done' END AS outcome_note, o_orderstatus = 'F' AS is_public, o_orderpriority AS service_category,
+CAST(a AS DOUBLE) AS amount, CAST(op AS DOUBLE) AS operating, CAST(dc AS DOUBLE) AS direct, CAST(sc AS DOUBLE) AS secondary, CAST(prog AS DOUBLE) AS programme FROM {_PAID}"""
+
+
+def contribution_events(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger event and the mail of each payment."""
+    out = accounting.after_payment(_payments(spark, d))
+    return out["ledger"].join(out["outbox"].withColumn("asset_id", F.col("payment_id").cast("string")), "asset_id").select("asset_id", "event_type", "event_payload", "recipient", "subject", "body")
+
+
+CONTRIBUTION_EVENTS_SQL = rf"""SELECT CAST(o_orderkey AS VARCHAR) AS asset_id, 'contribution.recorded' AS event_type, '{{"amount":"' || m || '","payment_path":"Square","attribution":"' || who || '"}}' AS event_payload, 'c' || o_custkey || '@example.org' AS recipient, 'Records: contribution received' AS subject,
+'Hello,' || chr(10) || chr(10) || 'Thank you. We received your contribution of $' || m || '.' || chr(10) || chr(10) || 'Records' || chr(10) AS body FROM (SELECT *, regexp_replace(CAST(a AS VARCHAR), '\.?0+$', '') AS m FROM {_PAID})"""
+
+
+def public_record(spark: SparkSession, d: str) -> DataFrame:
+    t = accounting.public_record(accounting.contributions(_payments(spark, d)))
+    return t.select("service_category", *[F.col(c).cast("double").alias(c) for c in ("money_in", "operating", "direct", "secondary", "programme")], "n", "n_outcomes")
+
+
+PUBLIC_SQL = f"SELECT o_orderpriority AS service_category, CAST(sum(a) AS DOUBLE) AS money_in, CAST(sum(op) AS DOUBLE) AS operating, CAST(sum(dc) AS DOUBLE) AS direct, CAST(sum(sc) AS DOUBLE) AS secondary, CAST(sum(prog) AS DOUBLE) AS programme, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS n_outcomes FROM {_PAID} WHERE o_orderstatus = 'F' GROUP BY 1"
+
+
+def public_only(spark: SparkSession, d: str) -> DataFrame:
+    o = read_table(spark, d, "orders").withColumn("visibility", F.when(F.col("o_orderstatus") == "F", "public").when(F.col("o_orderstatus") == "O", "private"))
+    return records.public_only(o).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+PUBLIC_ONLY_SQL = "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1"
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Parts written out as Markdown records, a row a file."""
+    k = F.col("p_partkey").cast("string")
+    field = lambda label, v: F.concat(F.lit(f"{label}:\n"), v, F.lit("\n\n"))
+    note = F.when(F.col("p_size") > 25, F.concat(F.lit("## Related Nodes\n\n- "), "p_type", F.lit("\n- Core "), "p_brand", F.lit("\n\n"))).otherwise("")
+    words = F.concat(F.lit("### "), "p_name", F.lit("\n\n**Expansion:** "), "p_type", F.lit("\n**Our Meaning:** of "), "p_brand", F.lit("\n\n### end\n\n**Status:** locked\n"))
+    text = F.concat(F.lit("# Record\n\n"), field("ASSET ID", F.concat(F.lit("X-"), k)), field("TITLE", F.col("p_name")), field("HISTORY", F.concat(F.lit("0.1 first\n0.2 "), "p_brand")), note, words)
+    return read_table(spark, d, "part").select(k.alias("path"), text.alias("text"))
+
+
+def markdown_assets(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.asset_records(_files(spark, d)).select("path", "asset_id", "title", "history", "status")
+
+
+ASSET_FILES_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS path, 'X-' || p_partkey AS asset_id, p_name AS title, '0.1 first' || chr(10) || '0.2 ' || p_brand AS history, '' AS status FROM part"
+
+
+def markdown_edges(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.node_edges(_files(spark, d), F.col("path"))
+
+
+EDGES_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS src, unnest([replace(lower(p_type), ' ', '-'), 'core-' || replace(lower(p_brand), '#', '-')]) AS dst FROM part WHERE p_size > 25"
+
+
+def markdown_glossary(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.glossary(_files(spark, d)).select("path", "term", "expansion", "meaning", "status")
+
+
+GLOSSARY_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS term, p_type AS expansion, 'of ' || p_brand AS meaning, '' AS status FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'end', '', '', 'locked' FROM part"""
+
+
 def record_body(spark: SparkSession, d: str) -> DataFrame:
     c = read_table(spark, d, "customer")
     name = F.when(F.col("c_custkey") % 4 == 0, "  ").otherwise(F.col("c_name"))
@@ -265,22 +422,22 @@ VERSIONS_SQL = "SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus FROM or
 
 
 def record_search(spark: SparkSession, d: str) -> DataFrame:
-    return records.search(read_table(spark, d, "part"), "EEN", "p_name", "p_type").select("p_partkey", "p_name", "p_type")
+    return records.search(read_table(spark, d, "part"), "D WID", "p_name", "p_type").select("p_partkey", "p_name", "p_type")
 
 
-SEARCH_SQL = "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'een') OR contains(lower(p_type), 'een')"
+SEARCH_SQL = "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'd wid') OR contains(lower(p_type), 'd wid')"
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst")).distinct()
+    """Supplier to part stands in for the related-node edges, from every row."""
+    return read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
 def node_degree(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier to part class stands in for the related-node edges."""
     return graph.in_degree(_edges(spark, d))
 
 
-_EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM lineitem WHERE l_linenumber = 1)"
+_EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
 DEGREE_SQL = f"SELECT dst AS node, count(*) AS in_degree FROM {_EDGES} GROUP BY 1"
 
 
@@ -291,26 +448,6 @@ def related_nodes(spark: SparkSession, d: str) -> DataFrame:
 RELATED_SQL = f"SELECT DISTINCT a.src, b.dst FROM {_EDGES} a JOIN {_EDGES} b ON a.dst = b.src WHERE a.src <> b.dst"
 
 
-def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier to part, from every row: the edges of the two queries above are a part of these, folded."""
-    return read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-
-
-def node_degree_whole(spark: SparkSession, d: str) -> DataFrame:
-    return graph.in_degree(_whole_edges(spark, d))
-
-
-_WHOLE = "(SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
-DEGREE_WHOLE_SQL = f"SELECT dst AS node, count(*) AS in_degree FROM {_WHOLE} GROUP BY 1"
-
-
-def related_nodes_whole(spark: SparkSession, d: str) -> DataFrame:
-    return graph.two_step_neighbours(_whole_edges(spark, d))
-
-
-RELATED_WHOLE_SQL = f"SELECT DISTINCT a.src, b.dst FROM {_WHOLE} a JOIN {_WHOLE} b ON a.dst = b.src WHERE a.src <> b.dst"
-
-
 def case_checklist(spark: SparkSession, d: str) -> DataFrame:
     p = read_table(spark, d, "part").withColumn("p_brand", F.when(F.col("p_size") > 10, F.col("p_brand")))
     return validate.checklist(p, ["p_name", "p_brand", "p_type"]).select("p_partkey", "n_done", "complete")
@@ -350,7 +487,17 @@ QUERIES = {
     "record_search": (record_search, SEARCH_SQL),
     "node_degree": (node_degree, DEGREE_SQL),
     "related_nodes": (related_nodes, RELATED_SQL),
-    "node_degree_whole": (node_degree_whole, DEGREE_WHOLE_SQL),
-    "related_nodes_whole": (related_nodes_whole, RELATED_WHOLE_SQL),
+    "intake_status": (intake_status, INTAKE_SQL),
+    "form_checks": (form_checks, FORMS_SQL),
+    "payment_panel": (payment_panel, PANEL_SQL),
+    "ledger_links": (ledger_links, LEDGER_LINKS_SQL),
+    "ideas_by_node": (ideas_by_node, NODES_SQL),
+    "contribution_records": (contribution_records, CONTRIBUTIONS_SQL),
+    "contribution_events": (contribution_events, CONTRIBUTION_EVENTS_SQL),
+    "public_record": (public_record, PUBLIC_SQL),
+    "public_only": (public_only, PUBLIC_ONLY_SQL),
+    "markdown_assets": (markdown_assets, ASSET_FILES_SQL),
+    "markdown_edges": (markdown_edges, EDGES_SQL),
+    "markdown_glossary": (markdown_glossary, GLOSSARY_SQL),
     "case_checklist": (case_checklist, CHECKLIST_SQL),
 }

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The labels of an asset record.
 ASSET_FIELDS = ("ASSET ID", "TITLE", "ORIGINATOR", "CONTRIBUTORS", "STATUS", "VERSION", "DATE LOCKED", "SOURCE", "TERMS", "OUTPUT", "VALUE EVENT", "VALUE TYPE", "DISTRIBUTION", "SETTLEMENT METHOD", "HISTORY")
 
 
@@ -27,7 +28,7 @@ def section(text: Column, heading: str) -> Column:
 
 def bullets(text: Column) -> Column:
     """Trimmed items of a ``- `` list."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[-*][ \t]+(.+?)[ \t]*$"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[-*][ \t]+(.+?)[ \t]*$"), 1), lambda x: F.trim(x))
 
 
 def slug(s: Column) -> Column:

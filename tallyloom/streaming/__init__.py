@@ -3,18 +3,24 @@ handles requests one at a time, so only stateless validation and staged batches
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.operators.ingest import Config, ingest, publish
+from tallyloom.operators.ingest import Config, publish, state_before
 from tallyloom.operators.sequence import next_state
 
 
-def micro_batch_writer(spark: SparkSession, root: str, ts: str, tiebreak: str, state: Callable[[], DataFrame | None], config: Config = Config()) -> Callable[[DataFrame, int], None]:
+def micro_batch_writer(spark: SparkSession, root: str, ts: str, tiebreak: str, config: Config = Config()) -> Callable[[DataFrame, int], None]:
     """For ``writeStream.foreachBatch``: each micro-batch is staged and published under its number,
-    so a batch that is run again after a failure replaces itself. ``state`` gives the counters."""
+    so a batch that is run again after a failure replaces itself. Counters go on from the batches before."""
 
     def write(batch: DataFrame, number: int) -> None:
-        publish(spark, ingest(batch, ts, tiebreak, state(), config), root, f"{number:012d}")
+        name = f"{number:012d}"
+        try:
+            state = state_before(spark, root, name)
+        except AnalysisException:  # nothing is published yet
+            state = None
+        publish(batch, ts, tiebreak, root, name, state, config)
 
     return write
 

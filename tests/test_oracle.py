@@ -31,7 +31,8 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.execute(sql)
     cols = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(cols)
-    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(cols, want.fetchall())
+    found = rows(got.columns, [tuple(r) for r in got.collect()])
+    assert found == rows(cols, want.fetchall()) and found  # an empty result proves nothing
 
 
 def test_edges_of_every_row(spark, tmp_path):
@@ -39,6 +40,6 @@ def test_edges_of_every_row(spark, tmp_path):
     pairs = [(1, 2), (1, 102), (2, 202), (2, 2), (102, 5), (1, 2)]
     spark.createDataFrame([(1, k, s, p) for k, (s, p) in enumerate(pairs, 1)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = lambda name: sorted(tuple(r) for r in QUERIES[name][0](spark, str(tmp_path)).collect())
-    assert got("node_degree_whole") == [(2, 2), (5, 1), (102, 1), (202, 1)]
+    assert got("node_degree") == [(2, 2), (5, 1), (102, 1), (202, 1)]
     edges = set(pairs)
-    assert got("related_nodes_whole") == sorted({(a, d) for a, b in edges for c, d in edges if b == c and a != d})
+    assert got("related_nodes") == sorted({(a, d) for a, b in edges for c, d in edges if b == c and a != d})

@@ -1,6 +1,7 @@
 """Golden values, edge rows and properties of the record operators."""
 
 import datetime as dt
+import time
 from decimal import Decimal
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import money, text
 from tallyloom.operators import accounting, constraints, graph, ingest, records, sequence, validate
-from tallyloom.schemas import LEDGER
+from tallyloom.schemas import CONTRIBUTION, LEDGER
 from tallyloom.sources import intake, markdown, tables
 from tallyloom.streaming import micro_batch_writer
 
@@ -92,8 +93,8 @@ def test_intake_to_published_tables(spark, tmp_path):
     raw = intake.read_submissions(spark, f"{tmp_path}/in").withColumns({"k": F.monotonically_increasing_id(), "ts": F.lit("2024-01-01 10:00:00").cast("timestamp"), "method": F.lit("POST")})
     assert sorted(r.corrupt for r in raw.filter("corrupt is not null").collect()) == ["7", "null", "{"]
     out = ingest.ingest(raw, "ts", "k")
-    ingest.publish(spark, out, f"{tmp_path}/db", "b1")
-    ingest.publish(spark, out, f"{tmp_path}/db", "b1")
+    ingest.publish(raw, "ts", "k", f"{tmp_path}/db", "001")
+    ingest.publish(raw, "ts", "k", f"{tmp_path}/db", "001")
     ideas = ingest.read_published(spark, f"{tmp_path}/db", "ideas").collect()
     assert [(r.asset_id, r.title, r.status) for r in ideas] == [("IPM-20240101-000001", "A b", "draft")]
     assert ingest.read_published(spark, f"{tmp_path}/db", "rejects").count() == 6
@@ -105,14 +106,58 @@ def test_intake_to_published_tables(spark, tmp_path):
     assert {r.status_code for r in ingest.ingest(wrong, "ts", "k")["rejects"].collect()} == {405}
 
 
+SUBMITTED = "k long, title string, email string, source string, description string, ts timestamp"
+
+
 def test_stream_publishes_batches(spark, tmp_path):
-    spark.createDataFrame([(1, "t", "a@b.co", "s", "d", dt.datetime(2024, 1, 1))], "k long, title string, email string, source string, description string, ts timestamp").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("k long, title string, email string, source string, description string, ts timestamp").parquet(f"{tmp_path}/in")
-    write = micro_batch_writer(spark, f"{tmp_path}/db", "ts", "k", lambda: None)
+    spark.createDataFrame([(1, "t", "a@b.co", "s", "d", dt.datetime(2024, 1, 1))], SUBMITTED).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SUBMITTED).parquet(f"{tmp_path}/in")
+    write = micro_batch_writer(spark, f"{tmp_path}/db", "ts", "k")
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert ingest.read_published(spark, f"{tmp_path}/db", "assets").first().version == "0.1"
 
 
+def test_a_replayed_batch_keeps_its_ids(spark, tmp_path):
+    """The marker was written, the stream's own commit was not: the batch comes again, even after a later one."""
+    rows = lambda a, n: spark.createDataFrame([(i, f"t{i}", "a@b.co", "s", "d", dt.datetime(2024, 1, 1)) for i in range(a, a + n)], SUBMITTED)
+    write = micro_batch_writer(spark, f"{tmp_path}/db", "ts", "k")
+    ids = lambda: {r.title: r.asset_id for r in ingest.read_published(spark, f"{tmp_path}/db", "ideas").collect()}
+    write(rows(0, 3), 0)
+    write(rows(10, 2), 1)
+    first = ids()
+    assert sorted(first.values()) == [f"IPM-20240101-{i:06d}" for i in range(1, 6)] and first["t10"].endswith("4")
+    write(rows(10, 2), 1)
+    write(rows(0, 3), 0)
+    assert ids() == first
+    write(rows(20, 1), 2)
+    assert ids()["t20"] == "IPM-20240101-000006"
+
+
+def test_unpublished_batches_are_not_read(spark, tmp_path):
+    raw = spark.createDataFrame([(1, "t", "a@b.co", "s", "d", dt.datetime(2024, 1, 1))], SUBMITTED)
+    ingest.publish(raw, "ts", "k", f"{tmp_path}/db", "b1")
+    raw.write.parquet(f"{tmp_path}/db/ideas/batch=b-half")
+    assert [r.batch for r in ingest.read_published(spark, f"{tmp_path}/db", "ideas").collect()] == ["b1"]
+
+
+def test_trims_take_linear_time(spark):
+    began = time.perf_counter()
+    long = "x" + " " * 1_000_000 + "\u00a0" * 1_000_000 + "x"
+    df = spark.createDataFrame([(long,), ("!" * 1_000_000,), (" " * 1_000_000,)], "s string")
+    out = df.select(F.length(text.server_trim(F.col("s"))).alias("a"), F.length(text.browser_trim(F.col("s"))).alias("b"), F.length(text.clean(F.col("s"))).alias("c")).collect()
+    assert [tuple(r) for r in out] == [(len(long), len(long), 3), (1_000_000, 1_000_000, 3000), (0, 0, 0)]
+    assert time.perf_counter() - began < 10
+
+
+def test_after_payment(spark):
+    rows = [(1, dt.date(2024, 1, 2), Decimal("7.00"), "tap", None, True, "Intake", None, None, "sent", "a@b.co"), (2, dt.date(2024, 1, 2), None, "tap", "none", True, "Intake", "x", True, "sent", "a@b.co"), (3, dt.date(2024, 1, 3), Decimal("100"), "tap", "secondary promoter", True, "Intake", "housed", True, "sent", "c@b.co")]
+    df = spark.createDataFrame(rows, "payment_id long, received_on date, amount decimal(18,2), payment_path string, attribution string, verified boolean, service_category string, outcome_note string, is_public boolean, receipt_status string, email string")
+    out = accounting.after_payment(df)
+    assert [r.body.split("$")[1].split(".\n")[0] for r in out["outbox"].orderBy("payment_id").collect()] == ["7", "100"]
+    assert [(f.name, f.dataType) for f in out["contributions"].schema] == [(f.name, f.dataType) for f in CONTRIBUTION] and out["contributions"].count() == 2
+    assert [(float(r.money_in), float(r.secondary), r.n, r.n_outcomes) for r in accounting.public_record(out["contributions"]).collect()] == [(100.0, 1.0, 1, 1)]
+
+
 def test_records(spark):
     h = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")], "k string, v int, t string")
     assert sorted(map(tuple, records.current_versions(h, "k", "v").collect())) == [("a", 3, "z"), ("b", 1, "q")]
