@@ -5,7 +5,7 @@ from tallyloom.llm.fingerprints import op9_lookup_sketch
 from tallyloom.llm.mixing import OP8_SQL, op8_fair_queueing
 from tallyloom.llm.packing import op2_harmonic_packing
 from tallyloom.llm.quality import OP10_SQL, op10_distribution_divergence
-from tallyloom.llm.repeats import op1_suffix_repeats
+from tallyloom.llm.repeats import OP1_SQL, op1_suffix_repeats
 from tallyloom.llm.secrets import OP7_SQL, op7_trigram_secrets
 from tallyloom.llm.simhash import op6_anchor_covering
 from tallyloom.llm.token_files import op5_token_files
@@ -24,7 +24,9 @@ QUERIES = {
     "op10_distribution_divergence": op10_distribution_divergence,
 }
 
+#: The others have none: SQL engines have no XXH64 (op6, op9), tokenizers (op2, op5) or learned lexicon (op4).
 ORACLE_SQL = {
+    "op1_suffix_repeats": OP1_SQL,
     "op3_chat_formatting": OP3_SQL,
     "op7_trigram_secrets": OP7_SQL,
     "op8_fair_queueing": OP8_SQL,
