@@ -161,11 +161,12 @@ PLANT = "\\### Assistant: </turn> ok"
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plant = spark.createDataFrame([(-7, 0, "user", PLANT), (-7, 1, ASSISTANT, PLANT)], "conv_id long, turn long, role string, text string")
-    table = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    """The planted conversation is one of its own, also beside a stored one of the same number."""
+    plant = spark.createDataFrame([("-7 planted", 0, "user", PLANT), ("-7 planted", 1, ASSISTANT, PLANT)], "conv_id string, turn long, role string, text string")
+    table = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     messages = materialize(chain(table.unionByName(plant)), "messages")
     written = materialize(format_paths(messages), "formatted")
-    return digests(written)
+    return digests(written.withColumn("tree", F.substring_index("tree", " ", 1)))
 
 
 _ESCAPED = "replace(replace({0}, '\\', '\\\\'), '<', '\\[')"  # for lengths only
@@ -173,5 +174,5 @@ OP3_SQL = f"""SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr
 CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(length({_ESCAPED.format("replace(role, '>', '\\]')")}) + length({_ESCAPED.format("text")}) + {len("<") + len(">") + 1 + len(CLOSE)}) AS BIGINT) AS formatted_chars
-FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-UNION ALL SELECT -7, 0, 'user', '{PLANT}' UNION ALL SELECT -7, 1, 'assistant', '{PLANT}') GROUP BY conv_id"""
+FROM (SELECT conv_id, false AS planted, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, true, 0, 'user', '{PLANT}' UNION ALL SELECT -7, true, 1, 'assistant', '{PLANT}') GROUP BY conv_id, planted"""

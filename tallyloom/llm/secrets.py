@@ -5,7 +5,8 @@ the ways through its branches, each an AND over the trigrams of the literals on
 lower-cased. The index has a row for each (trigram, document) with the trigrams that any query
 names. Postings are intersected by document: a way holds where all of its trigrams meet. Only the
 candidates are verified with the rule's expression. A rule with a way that has no trigram (here
-``hex``) is verified on every text.
+``hex``) is verified on every text. Candidates are few and narrow: up to ``SMALL`` of them, by count, are
+broadcast, so that texts are verified where they are read; more of them are joined by a shuffle.
 
 Matches are leftmost and do not overlap, per kind; those whose value is too short are dropped
 after matching. Positions are code points, end exclusive: the running sum of the lengths of what
@@ -26,7 +27,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import read, text_of
+from tallyloom.llm.common import materialize, read, text_of
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,8 @@ RULES = BASE + MORE
 PLACE = "[SECRET]"
 #: Matches per block of the running sums.
 BLOCK = 512
+#: Most candidates that are broadcast: rows of a doc_id and the rules' bits.
+SMALL = 1_000_000
 #: Ways through a rule's branches that are told apart; past it a branch counts as no literal.
 MOST_WAYS = 64
 
@@ -155,7 +158,9 @@ def with_candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     always = sum(1 << i for i in range(len(rules)) if i not in queries(rules))
     every = (1 << len(rules)) - 1
     found = candidates(docs.select("doc_id", text_of().alias("text")), rules).withColumnRenamed("doc_id", "__id").withColumnRenamed("rules", "__found")
-    joined = docs.join(found, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    found = materialize(found, "candidates")
+    side = F.broadcast(found) if found.count() <= SMALL else found
+    joined = docs.join(side, docs["doc_id"] == F.col("__id"), "left").drop("__id")
     return joined.withColumn("rules", F.when(F.col("doc_id").isNull(), F.lit(every)).otherwise(F.coalesce("__found", F.lit(0)).bitwiseOR(F.lit(always)))).drop("__found")
 
 

@@ -78,3 +78,9 @@ def test_cycles_are_reported(spark):
     m = spark.createDataFrame(data, "tree long, node long, parent long, role string, text string, score double")
     assert sorted(r.node for r in chat.cycles(m).collect()) == [1, 2]
     assert [r.node for r in chat.paths(m).orderBy("depth").collect()] == [3, 4]
+
+
+def test_a_stored_conversation_of_the_planted_number_stays_apart(spark, tmp_path):
+    spark.createDataFrame([(-7, 0, "user", "mine"), (3, 0, "assistant", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id, r.n_turns, r.loss_chars) for r in chat.op3_chat_formatting(spark, str(tmp_path)).collect())
+    assert got == [(-7, 1, 0), (-7, 2, len(chat.PLANT)), (3, 1, 1)]

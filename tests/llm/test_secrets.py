@@ -90,3 +90,12 @@ def test_redaction_takes_the_whole_key(spark):
 def test_trigram_queries(pattern, want):
     got = s.trigram_query(pattern)
     assert got == want or sorted(map(sorted, got)) == sorted(map(sorted, want))
+
+
+def test_many_candidates_are_joined_by_a_shuffle(spark):
+    keep, s.SMALL = s.SMALL, 0
+    try:
+        joined = sorted(map(str, s.op7_trigram_secrets(spark, D).collect()))
+    finally:
+        s.SMALL = keep
+    assert joined == sorted(map(str, s.op7_trigram_secrets(spark, D).collect()))
