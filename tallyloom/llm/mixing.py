@@ -35,7 +35,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
 SEED = "mix"
-SLICE = 20_000
+SLICE = 2_000
 QUANTUM = 128
 RANGE = 1_000_000
 
