@@ -211,6 +211,19 @@ def test_sources_need_configuration(spark):
         tables.read_jdbc(spark, "", "ideas")
 
 
+def test_jdbc_round_trip(spark, tmp_path):
+    """The database that comes with Spark plays the relational one."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    if not spark._jvm.java.lang.ClassLoader.getSystemClassLoader().getResource("org/apache/derby/iapi/jdbc/AutoloadedDriver.class"):
+        pytest.skip("no database driver")
+    df = spark.createDataFrame([(1, "A", dt.datetime(2024, 1, 1, 2, 3, 4)), (2, None, None)], "k long, name string, ts timestamp")
+    tables.write_jdbc(df, url, "ideas", driver=driver)
+    tables.write_jdbc(df.filter("k = 2"), url, "ideas", driver=driver)  # appends
+    back = tables.read_jdbc(spark, url, "ideas", driver=driver, partitionColumn="k", lowerBound="1", upperBound="3", numPartitions="2")
+    assert back.rdd.getNumPartitions() == 2
+    assert sorted(tuple(r) for r in back.filter("name IS NOT NULL").collect()) == [(1, "A", dt.datetime(2024, 1, 1, 2, 3, 4))] and back.count() == 3
+
+
 def test_glossary_of_many_entries(spark):
     files = spark.createDataFrame([("a", "head\n" + "### t\n" * 100_002), ("b", ""), ("c", None)], "path string, text string")
     assert markdown.glossary(files).count() == 100_002
