@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import money, text
 from tallyloom.operators import accounting, constraints, graph, ingest, records, sequence, validate
+from tallyloom.schemas import LIFECYCLE
 from tallyloom.sources import intake, markdown
 from tallyloom.sources.tables import read_table
 
@@ -413,6 +414,71 @@ def record_body(spark: SparkSession, d: str) -> DataFrame:
 BODY_SQL = "SELECT c_custkey, 'Hello,' || chr(10) || chr(10) || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Name: ' || c_name || chr(10) || chr(10) END || 'Segment: ' || c_mktsegment AS body, 'Name: ' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS line, upper(c_mktsegment) AS postal FROM customer"
 
 
+def issue_links(spark: SparkSession, d: str) -> DataFrame:
+    """The idea as a Markdown record, and the link that opens an issue with it filled in."""
+    title = F.when(F.col("p_size") > 40, "  ").otherwise(F.col("p_name"))
+    md = text.idea_markdown(title, "LOCK", [("ORIGIN", [text.line_or_blank("Brand", F.col("p_brand"))]), ("STATUS", [F.lit("Status: Draft"), F.lit("Version: 1.0")])])
+    p = read_table(spark, d, "part").select("p_partkey", md.alias("body"), title.alias("title"))
+    return p.select("p_partkey", "body", text.query_url("https://example.org/new", title=F.col("title"), labels=F.lit("Draft,Core System")).alias("url"))
+
+
+ISSUE_SQL = """SELECT p_partkey, '# LOCK' || r || '## IDEA' || chr(10) || CASE WHEN p_size > 40 THEN 'Untitled idea' ELSE p_name END || r || '## ORIGIN' || chr(10) || 'Brand: ' || p_brand || r || '## STATUS' || chr(10) || 'Status: Draft' || chr(10) || 'Version: 1.0' AS body,
+'https://example.org/new?title=' || CASE WHEN p_size > 40 THEN '++' ELSE replace(url_encode(p_name), '%20', '+') END || '&labels=Draft%2CCore+System' AS url FROM (SELECT *, chr(10) || chr(10) || '---' || chr(10) || chr(10) AS r FROM part)"""
+
+
+def open_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Orders play issues: status the state, priority the labels."""
+    o = read_table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "pull").otherwise("issue").alias("kind"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"), F.when(F.col("o_orderkey") % 4 != 1, F.split("o_orderpriority", "-")).alias("labels"))
+    return records.labelled(o, "URGENT").select("o_orderkey")
+
+
+ISSUES_SQL = "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus = 'O' AND o_orderkey % 4 <> 1 AND list_contains(string_split(o_orderpriority, '-'), 'URGENT')"
+
+
+def lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Stages by number, and the gate that opens where all conditions hold (null: not held)."""
+    k = F.col("o_orderkey")
+    stage = F.when(k % 5 == 0, "Lock").when(k % 5 == 1, "History").when(k % 5 == 2, "unknown").when(k % 5 == 3, "Idea")
+    held = validate.gate(F.col("o_totalprice") > 1000, F.col("o_orderstatus") != "P", F.when(k % 7 != 0, F.lit(True)))
+    return read_table(spark, d, "orders").select("o_orderkey", records.stage_number(stage, LIFECYCLE).alias("stage"), held.alias("open"))
+
+
+LIFECYCLE_SQL = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 7 WHEN 2 THEN 0 WHEN 3 THEN 1 END AS stage, o_totalprice > 1000 AND o_orderstatus <> 'P' AND o_orderkey % 7 <> 0 AS open FROM orders"
+
+
+def raw_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned fields stand beside the text as it came."""
+    out = validate.clean_submission(_submissions(spark, d))
+    return out.select("event_id", "title", "raw_title", "source", "raw_source")
+
+
+RAW_SQL = "SELECT event_id, 'idea ' || event_type AS title, ' idea ' || event_type AS raw_title, source, source AS raw_source FROM (SELECT *, CASE WHEN event_id % 10 = 0 THEN '' ELSE event_type END AS source FROM events)"
+
+
+def configured_mail(spark: SparkSession, d: str) -> DataFrame:
+    """IDs and mails under settings of a deployment."""
+    config = ingest.Config("ABC", "office@example.org", "Office", "admin@example.org")
+    return ingest.ingest(_submissions(spark, d), "ts", "event_id", None, config)["outbox"].select("asset_id", "subject", "headers")
+
+
+CONFIGURED_SQL = f"SELECT replace(asset_id, 'IPM', 'ABC') AS asset_id, 'Office Asset ID: ' || replace(asset_id, 'IPM', 'ABC') AS subject, 'From: Office <office@example.org>' || chr(13) || chr(10) || 'Reply-To: admin@example.org' || chr(13) || chr(10) || 'Content-Type: text/plain; charset=UTF-8' AS headers FROM {_ACCEPTED}"
+
+
+def file_index(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as entries of an index file, two a file, and the parts of their names."""
+    k = F.col("p_partkey").cast("string")
+    name = F.concat(F.lit("2024-05-06_"), F.col("p_type"), F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("_of-"), k, F.lit("_draft.md"))
+    entry = F.concat(F.lit("- "), name, F.lit("\n  - Type: note.\n  - Tags: "), F.col("p_type"), F.lit(", core.\n  - Suggested path: `01/"), k, F.lit("/x.md`\n\n"))
+    files = read_table(spark, d, "part").select(F.concat(F.lit("# Index\n\n"), entry, F.lit("- plain.md\n  - Type: image.\n  - Tags: z.\n  - Suggested path: `plain.md`\n")).alias("text"))
+    parts = {c: v for c, v in markdown.file_name_parts(F.col("name")).items()}
+    out = markdown.file_index(files).withColumns(parts)
+    return out.select("name", "type", F.array_join("tags", "|").alias("tags"), "suggested_path", F.size("path_parts").alias("n_parts"), "date", "category", "description", "status")
+
+
+INDEX_SQL = """SELECT '2024-05-06_' || p_type || '_' || replace(p_brand, '#', '-') || '_of-' || p_partkey || '_draft.md' AS name, 'note' AS type, p_type || '|core' AS tags, '01/' || p_partkey || '/x.md' AS suggested_path, 3 AS n_parts, '2024-05-06' AS date, replace(p_brand, '#', '-') AS category, 'of-' || p_partkey AS description, 'draft' AS status FROM part
+UNION ALL SELECT 'plain.md', 'image', 'z', 'plain.md', 1, '', '', '', '' FROM part"""
+
+
 def current_versions(spark: SparkSession, d: str) -> DataFrame:
     o = read_table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
     return records.current_versions(o, "o_custkey", "o_orderdate")
@@ -496,6 +562,12 @@ QUERIES = {
     "contribution_events": (contribution_events, CONTRIBUTION_EVENTS_SQL),
     "public_record": (public_record, PUBLIC_SQL),
     "public_only": (public_only, PUBLIC_ONLY_SQL),
+    "issue_links": (issue_links, ISSUE_SQL),
+    "open_issues": (open_issues, ISSUES_SQL),
+    "lifecycle": (lifecycle, LIFECYCLE_SQL),
+    "raw_kept": (raw_kept, RAW_SQL),
+    "configured_mail": (configured_mail, CONFIGURED_SQL),
+    "file_index": (file_index, INDEX_SQL),
     "markdown_assets": (markdown_assets, ASSET_FILES_SQL),
     "markdown_edges": (markdown_edges, EDGES_SQL),
     "markdown_glossary": (markdown_glossary, GLOSSARY_SQL),
