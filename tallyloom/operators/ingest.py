@@ -102,8 +102,16 @@ def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return rows.join(done, "batch", "left_semi")
 
 
-def state_before(spark: SparkSession, root: str, batch: str) -> DataFrame:
-    """(sequence_date, last_number) as the published batches with smaller names left it. A batch that is run again
-    after its marker was written is numbered from the same state, so its IDs do not change."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def state_before(spark: SparkSession, root: str, batch: str) -> DataFrame | None:
+    """(sequence_date, last_number) as the published batches with smaller names left it; None where nothing is
+    published. A batch that is run again after its marker was written is numbered from the same state, so its IDs do
+    not change."""
+    if not _exists(spark, f"{root}/batches"):
+        return None
     earlier = read_published(spark, root, "asset_sequences").filter(F.col("batch") < batch)
     return earlier.groupBy("sequence_date").agg(F.max("last_number").alias("last_number"))

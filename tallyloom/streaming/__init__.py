@@ -3,7 +3,6 @@ handles requests one at a time, so only stateless validation and staged batches
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.operators.ingest import Config, publish, state_before
@@ -16,11 +15,7 @@ def micro_batch_writer(spark: SparkSession, root: str, ts: str, tiebreak: str, c
 
     def write(batch: DataFrame, number: int) -> None:
         name = f"{number:012d}"
-        try:
-            state = state_before(spark, root, name)
-        except AnalysisException:  # nothing is published yet
-            state = None
-        publish(batch, ts, tiebreak, root, name, state, config)
+        publish(batch, ts, tiebreak, root, name, state_before(spark, root, name), config)
 
     return write
 
