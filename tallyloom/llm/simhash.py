@@ -11,7 +11,8 @@ meet. Fingerprints are compared only with those at the same anchor, with all 64
 
 Equal fingerprints are one row before any of this, so exact copies, however many, cost nothing.
 At an anchor only links that join two so far unjoined groups are given out: fewer than its rows,
-however many pairs link. Anchors with over ``DENSE`` fingerprints are compared in passes over runs
+however many pairs link; pairs inside a tree that is already joined are not compared (past ``LAGS``
+neighbours), so a family of near copies takes no square of its size. Anchors with over ``DENSE`` fingerprints are compared in passes over runs
 that agree in a piece of the half that is not anchored, where an anchor's rows are no more alike
 than any others: equal anchored halves leave one of four 8-bit pieces equal, halves that differ in
 one bit leave one of three 11-bit pieces equal. Links become classes by star rounds (graphs).
@@ -45,6 +46,7 @@ SHINGLE = 3
 SEED = 42
 MOST = 3
 DENSE = 48
+LAGS = 64
 #: Near-duplicates that are removed: words in a shingle, least similarity.
 WORDS = 5
 LEAST = 0.8
@@ -225,10 +227,11 @@ class Forest:
 
 
 def _compare(forest: Forest, order: np.ndarray, fps: np.ndarray, group: np.ndarray, most: int) -> int:
-    """Compare all pairs of equal ``group`` (sorted) at every distance along ``order``; how many there were."""
-    i, lag, pairs = np.arange(len(order)), 0, 0
-    while True:
-        lag += 1
+    """Join all pairs of equal ``group`` (sorted along ``order``) that differ in at most ``most`` bits; how many pairs
+    were compared. Pairs at distances up to LAGS come first. By then a close family is one tree; in groups that go
+    on, the rows outside of the largest tree are compared with all others, the tree's own pairs are not."""
+    i, pairs = np.arange(len(order)), 0
+    for lag in range(1, LAGS + 1):
         i = i[i + lag < len(order)]
         i = i[group[i] == group[i + lag]]
         if not len(i):
@@ -237,6 +240,18 @@ def _compare(forest: Forest, order: np.ndarray, fps: np.ndarray, group: np.ndarr
         a, b = order[i], order[i + lag]
         near = np.bitwise_count(fps[a] ^ fps[b]) <= most
         forest.join(a[near], b[near])
+    for g in np.unique(group[i]).tolist():
+        rows = order[np.searchsorted(group, g, "left") : np.searchsorted(group, g, "right")]
+        roots = forest.roots(rows)
+        trees, size = np.unique(roots, return_counts=True)
+        inner = roots == trees[np.argmax(size)]
+        rows = np.concatenate((rows[~inner], rows[inner]))
+        words, out = fps[rows], int((~inner).sum())
+        for k in range(out):
+            near = np.flatnonzero(np.bitwise_count(words[k + 1 :] ^ words[k]) <= most) + k + 1
+            forest.join(np.full(len(near), rows[k]), rows[near])
+        pairs += out * len(rows) - out * (out + 1) // 2
+    return pairs
 
 
 def links(keys: np.ndarray, fps: np.ndarray, most: int = MOST) -> tuple[list[tuple[int, int]], int]:

@@ -113,6 +113,21 @@ def test_crowded_anchors_do_not_take_all_pairs():
             assert pairs < 0.02 * n * (n - 1) / 2
 
 
+def test_a_close_family_does_not_take_all_pairs():
+    rng = np.random.default_rng(11)
+    n = 4000
+    flips = rng.random((n, 64)) < 0.04
+    f = np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel() ^ np.uint64(987654321)
+    f[:40] = rng.integers(0, 2**64, 40, dtype=np.uint64)  # strangers at the same anchor
+    one, two = s.Forest(n), s.Forest(n)
+    pairs = s._compare(one, np.arange(n), f, np.zeros(n, np.int64), s.FAR)
+    for i in range(n):
+        j = np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= s.FAR) + i + 1
+        two.join(np.full(len(j), i), j)
+    assert [one.find(i) for i in range(n)] == [two.find(i) for i in range(n)]
+    assert pairs < 0.06 * n * (n - 1) / 2
+
+
 def test_pairs_compared_for_candidates_are_few():
     """Random fingerprints: at all anchors together about 64 * 64 / 2**28 of all pairs meet."""
     rng = np.random.default_rng(6)
