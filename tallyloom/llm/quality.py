@@ -68,6 +68,12 @@ def repeated_positions(pairs: str) -> Column:
     return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
 
+def class_count(name: str) -> Column:
+    """Characters of a class in ``text``. Lower-case letters come in runs: those are counted by what is left without them."""
+    c = f"[{CLASSES[name]}]"
+    return (F.length("text") - F.length(F.regexp_replace("text", c + "+", "")) if name == "lower" else F.regexp_count("text", F.lit(c))).cast("long")
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, text); lang is null where there is no such column."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -94,13 +100,14 @@ def base_columns(docs: DataFrame, common: DataFrame) -> DataFrame:
 
     Each select names what the next one uses several times, so nothing is computed twice; an
     array that a lambda looks into is always a column, else it would be built for each element."""
-    a = _texts(docs).join(F.broadcast(common), "lang", "left")
+    lists = common.withColumn("longest", F.array_max(F.transform("common", lambda w: F.length(w))))
+    a = _texts(docs).join(F.broadcast(lists), "lang", "left")
     b = a.select(
-        "doc_id", "lang", "common", F.length("text").cast("long").alias("n_chars"),
+        "doc_id", "lang", "common", "longest", F.length("text").cast("long").alias("n_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"),
-        F.array(*[F.regexp_count("text", F.lit(f"[{c}]")).cast("long") for c in CLASSES.values()]).alias("classes"),
+        F.array(*map(class_count, CLASSES)).alias("classes"),
         F.when(F.col("common").isNotNull(), plain_words("text")).alias("plain"),
     )
     c = b.select(
@@ -108,7 +115,7 @@ def base_columns(docs: DataFrame, common: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows_of(F.col("words")).alias("windows"),
         F.size("plain").cast("long").alias("n_plain"),
-        F.filter("plain", lambda w: F.array_contains("common", w)).alias("found"),
+        F.filter("plain", lambda w: (F.length(w) <= F.col("longest")) & F.array_contains("common", w)).alias("found"),
     )
     d = c.withColumn("pairs", sorted_windows(F.col("windows"))).drop("windows")
     d = d.withColumn("at", repeated_positions("pairs")).drop("pairs")
