@@ -6,6 +6,7 @@ from tallyloom.llm.mixing import OP8_SQL, op8_fair_queueing
 from tallyloom.llm.packing import op2_harmonic_packing
 from tallyloom.llm.quality import OP10_SQL, op10_distribution_divergence
 from tallyloom.llm.repeats import OP1_SQL, op1_suffix_repeats
+from tallyloom.llm.runs import OP11_SQL, op11_branching_tandems
 from tallyloom.llm.secrets import OP7_SQL, op7_trigram_secrets
 from tallyloom.llm.simhash import op6_anchor_covering
 from tallyloom.llm.token_files import op5_token_files
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_fair_queueing": op8_fair_queueing,
     "op9_lookup_sketch": op9_lookup_sketch,
     "op10_distribution_divergence": op10_distribution_divergence,
+    "op11_branching_tandems": op11_branching_tandems,
 }
 
 #: The others have none: SQL engines have no XXH64 (op6, op9), tokenizers (op2, op5) or learned lexicon (op4).
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op7_trigram_secrets": OP7_SQL,
     "op8_fair_queueing": OP8_SQL,
     "op10_distribution_divergence": OP10_SQL,
+    "op11_branching_tandems": OP11_SQL,
 }
