@@ -2,6 +2,7 @@
 
 from tallyloom.llm.chat import OP3_SQL, op3_chat_formatting
 from tallyloom.llm.fingerprints import op9_lookup_sketch
+from tallyloom.llm.manifest import OP13_SQL, op13_subtree_exchange
 from tallyloom.llm.mixing import OP8_SQL, op8_fair_queueing
 from tallyloom.llm.packing import op2_harmonic_packing
 from tallyloom.llm.quality import OP10_SQL, op10_distribution_divergence
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_lookup_sketch": op9_lookup_sketch,
     "op10_distribution_divergence": op10_distribution_divergence,
     "op11_branching_tandems": op11_branching_tandems,
+    "op13_subtree_exchange": op13_subtree_exchange,
 }
 
 #: The others have none: SQL engines have no XXH64 (op6, op9), tokenizers (op2, op5) or learned lexicon (op4).
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op8_fair_queueing": OP8_SQL,
     "op10_distribution_divergence": OP10_SQL,
     "op11_branching_tandems": OP11_SQL,
+    "op13_subtree_exchange": OP13_SQL,
 }
