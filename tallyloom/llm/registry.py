@@ -10,6 +10,7 @@ from tallyloom.llm.repeats import OP1_SQL, op1_suffix_repeats
 from tallyloom.llm.runs import OP11_SQL, op11_branching_tandems
 from tallyloom.llm.secrets import OP7_SQL, op7_trigram_secrets
 from tallyloom.llm.simhash import op6_anchor_covering
+from tallyloom.llm.substrings import OP12_SQL, op12_fm_index
 from tallyloom.llm.token_files import op5_token_files
 from tallyloom.llm.toxicity import op4_toxicity_lexicon
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_lookup_sketch": op9_lookup_sketch,
     "op10_distribution_divergence": op10_distribution_divergence,
     "op11_branching_tandems": op11_branching_tandems,
+    "op12_fm_index": op12_fm_index,
     "op13_subtree_exchange": op13_subtree_exchange,
 }
 
@@ -36,5 +38,6 @@ ORACLE_SQL = {
     "op8_fair_queueing": OP8_SQL,
     "op10_distribution_divergence": OP10_SQL,
     "op11_branching_tandems": OP11_SQL,
+    "op12_fm_index": OP12_SQL,
     "op13_subtree_exchange": OP13_SQL,
 }
