@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.sources.staging import materialize, new_path
+
 
 def in_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
@@ -12,3 +14,26 @@ def two_step_neighbours(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) over two edges, without loops back to src."""
     a, b = edges.select("src", F.col("dst").alias("mid")), edges.select(F.col("src").alias("mid"), "dst")
     return a.join(b, "mid").filter("src <> dst").select("src", "dst").distinct()
+
+
+def hops(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, hops): every node that the sources reach along the edges (src, dst), with the fewest edges from any of them; the sources
+    themselves have 0. ``most`` stops after so many edges. Null ends are no nodes; cycles end where nothing new is found.
+
+    A round joins the last round's new nodes to the edges, and keeps what no round has seen before. Rounds are written, each in a folder
+    of its own, and all are read back as one table, so the plan does not grow with the rounds; the driver sees one yes or no a round."""
+    spark = edges.sparkSession
+    links = materialize(edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst").distinct(), "edges")
+    path = new_path(spark, "hops")
+    new = sources.select(F.col(sources.columns[0]).alias("node")).filter("node IS NOT NULL").distinct()
+    schema = new.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    done = 0
+    while True:
+        new.write.parquet(f"{path}/hops={done}")
+        frontier = spark.read.schema(schema).parquet(f"{path}/hops={done}")
+        if done == most or frontier.isEmpty():
+            break
+        seen = spark.read.schema(f"{schema}, hops int").parquet(path)
+        done += 1
+        new = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+    return spark.read.schema(f"{schema}, hops int").parquet(path)

@@ -1,14 +1,13 @@
-"""Per-day sequential asset IDs without a single-task sort.
+"""Per-day sequential asset IDs without a task that holds a day, or a second.
 
-A plain ``row_number`` over one day puts a bulk load of that day into one task.
-Instead rows are dealt by (day, time slot), numbered inside the slot, and shifted
-by the running count of earlier slots. The slot table has one row for each day and
-slot, so the only window over a whole day sees ``86400 / slot_seconds`` rows.
+Rows are numbered by ranges of (day, time, tiebreak); see ``numbering``. All rows of a bulk load may have one timestamp.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.numbering import number_rows
+
 #: Fixed value: the configured default prefix.
 PREFIX = "IPM"
 
@@ -22,27 +21,21 @@ def utc_day(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd")
 
 
-def assign_ids(df: DataFrame, ts: str, tiebreak: str, state: DataFrame | None = None, prefix: str = PREFIX, slot_seconds: int = 1) -> DataFrame:
+def assign_ids(df: DataFrame, ts: str, tiebreak: str, state: DataFrame | None = None, prefix: str = PREFIX) -> DataFrame:
     """Adds ``sequence_date``, ``sequence_number`` (long) and ``asset_id`` in order of (ts, tiebreak) per UTC day.
 
     ``state`` has (sequence_date, last_number); days it lacks start at 1. Rows with a
-    null timestamp get a null ID. One writer at a time, as there is no row lock.
+    null timestamp get a null ID. One writer at a time, as there is no row lock. The rows are
+    written once on the way, so later steps do not repeat what made them.
     """
-    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    dealt = df.withColumns({"sequence_date": utc_day(F.col(ts)), "__slot": F.floor(seconds / slot_seconds)})
-    counts = dealt.groupBy("sequence_date", "__slot").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("sequence_date").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("sequence_date", "__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    numbered = number_rows(df.withColumn("sequence_date", utc_day(F.col(ts))), ["sequence_date"], [ts, tiebreak], "sequence_number")
+    last = F.lit(0)
     if state is not None:
-        last = state.select("sequence_date", F.col("last_number").cast("long").alias("__last"))
-        shifts = shifts.join(last, "sequence_date", "left").select("sequence_date", "__slot", (F.col("__shift") + F.coalesce("__last", F.lit(0))).alias("__shift"))
-    inside = Window.partitionBy("sequence_date", "__slot").orderBy(ts, tiebreak)
-    return (
-        dealt.join(shifts, ["sequence_date", "__slot"], "left")
-        .withColumn("sequence_number", F.row_number().over(inside) + F.col("__shift"))
-        .withColumn("asset_id", format_id(F.col("sequence_date"), F.col("sequence_number"), prefix))
-        .drop("__slot", "__shift")
-    )
+        numbered = numbered.join(state.select("sequence_date", F.col("last_number").cast("long").alias("__last")), "sequence_date", "left")
+        last = F.coalesce("__last", F.lit(0))
+    number = F.when(F.col("sequence_date").isNotNull(), F.col("sequence_number") + 1 + last)
+    out = numbered.withColumn("sequence_number", number).withColumn("asset_id", format_id(F.col("sequence_date"), F.col("sequence_number"), prefix))
+    return out.select(*[c for c in df.columns if c not in ("sequence_date", "sequence_number", "asset_id")], "sequence_date", "sequence_number", "asset_id")
 
 
 def next_state(df: DataFrame, ts: str, state: DataFrame | None = None) -> DataFrame:

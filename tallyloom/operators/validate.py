@@ -7,14 +7,26 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import LIMITS, browser_trim, clean
 
-_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]"
+_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
+_QUOTED = r'"(?:[\x01-\x08\x0B\x0C\x0E-!#-\[\]-\x7F]|\\[\x00-\x7F])*"'
+_WORD = rf"(?:{_ATOM}|{_QUOTED})"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-EMAIL = rf"^{_ATOM}+(?:\.{_ATOM}+)*@(?:{_LABEL}\.)+{_LABEL}$"
+_LAST = r"[A-Za-z](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+_BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV6 = rf"IPv6:(?:(?:{_HEX}:){{7}}{_HEX}|(?=(?:[0-9A-Fa-f]*:){{2,7}}[0-9A-Fa-f]*\])(?:{_HEX}(?::{_HEX})*)?::(?:{_HEX}(?::{_HEX})*)?)"
+EMAIL = rf"^{_WORD}(?:\.{_WORD})*@(?:(?:{_LABEL}\.)+{_LAST}|\[(?:{_BYTE}(?:\.{_BYTE}){{3}}|{_IPV6})\])$"
+#: Characters of the longest address: a local part of 64, all quoted, and 254 in all otherwise.
+LONGEST = 320
 
 
 def email_ok(s: Column) -> Column:
-    """Unquoted local part of up to 64 characters and a dotted host; null is invalid."""
-    return F.coalesce(s.rlike(EMAIL) & (F.length(F.substring_index(s, "@", 1)) <= 64) & (F.length(s) <= 254), F.lit(False))
+    """Words, plain or quoted, with dots between them, of up to 64 characters (quotes do not count), and a dotted host whose last
+    label begins with a letter, or an IP address in brackets; 254 characters at most. Null is invalid. The pattern sees no more than LONGEST characters."""
+    unquoted = lambda x: F.length(F.regexp_replace(x, r'\\(.)|"', "$1"))
+    local = F.substring(s, F.lit(1), F.length(s) - F.length(F.substring_index(s, "@", -1)) - 1)
+    fits = F.when(F.length(s) <= LONGEST, s.rlike(EMAIL) & (unquoted(local) <= 64) & (unquoted(s) <= 254))
+    return F.coalesce(fits, F.lit(False))
 
 
 def required(*cols: Column) -> Column:

@@ -5,10 +5,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import money, text
-from tallyloom.operators import accounting, constraints, graph, ingest, records, sequence, validate
-from tallyloom.schemas import LIFECYCLE
-from tallyloom.sources import intake, markdown
+from tallyloom.operators import accounting, constraints, graph, ingest, records, sequence, text_index, validate
+from tallyloom.schemas import IDEAS, LEDGER, LIFECYCLE
+from tallyloom.sources import intake, markdown, published
+from tallyloom.sources.staging import materialize, new_path
 from tallyloom.sources.tables import read_table
+from tallyloom.streaming import undelivered
 
 
 def recent_records(spark: SparkSession, d: str) -> DataFrame:
@@ -80,17 +82,26 @@ EMAIL_SQL = "SELECT c_custkey, NOT (c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_
 
 
 def intake_status(spark: SparkSession, d: str) -> DataFrame:
-    """Request bodies as JSON text: some are cut off, some are a list or a number, some are not posted."""
+    """Request bodies as JSON text, of sixteen kinds by key: whole ones, cut-off ones, lists, numbers, with something behind, within white space, with
+    a repeated key, two at once, in another language's quotes, with values that are no text; some are not posted."""
     k = F.col("event_id")
     body = F.to_json(F.struct(F.concat(F.lit(" idea\t "), "event_type").alias("title"), F.when(k % 7 == 0, "nohost").otherwise("u@example.org").alias("email"), F.col("event_type").alias("source"), F.lit("x").alias("more")))
-    raw = F.when(k % 10 == 0, F.substring(body, 1, 12)).when(k % 10 == 1, F.lit("[1]")).when(k % 10 == 2, F.lit("7")).otherwise(body)
-    ev = read_table(spark, d, "events").select("event_id", raw.alias("raw"), F.when(k % 4 == 3, "GET").otherwise("POST").alias("method"))
+    kinds = [
+        F.substring(body, 1, 12), F.lit("[1]"), F.lit("7"), F.concat(body, F.lit(" x")), F.concat(F.lit("\t\n"), body, F.lit("\r\n ")), F.concat(F.lit('{"title":"old",'), F.substring(body, 2, 2**31 - 1)),
+        F.lit("[1],[2]"), F.lit("{'title':'a'}"), F.replace(body, F.concat(F.lit('"source":"'), "event_type", F.lit('"')), F.lit('"source":5.0')), F.replace(body, F.lit('"more":"x"'), F.lit('"description":true')),
+        F.concat(F.lit("\f"), body), F.lit(""), F.concat(body, F.lit(","), body),
+    ]
+    raw = F.when(F.lit(False), body)
+    for i, kind in enumerate(kinds):
+        raw = raw.when(k % 16 == i, kind)
+    ev = read_table(spark, d, "events").select("event_id", raw.otherwise(body).alias("raw"), F.when(k % 4 == 3, "GET").otherwise("POST").alias("method"))
     cleaned = validate.clean_submission(intake.parse_submissions(ev, "raw"))
-    return cleaned.select("event_id", "title", F.col("corrupt").isNotNull().alias("corrupt"), validate.status_code(cleaned).alias("status_code"))
+    return cleaned.select("event_id", "title", "source", "description", F.col("corrupt").isNotNull().alias("corrupt"), validate.status_code(cleaned).alias("status_code"))
 
 
-INTAKE_SQL = """SELECT event_id, CASE WHEN event_id % 10 IN (0, 1, 2) THEN '' ELSE 'idea ' || event_type END AS title, event_id % 10 IN (0, 2) AS corrupt,
-CASE WHEN event_id % 4 = 3 THEN 405 WHEN event_id % 10 IN (0, 1, 2) OR event_id % 7 = 0 THEN 400 ELSE 200 END AS status_code FROM events"""
+#: From the rule: a body is one JSON object or list, with JSON's white space around it and nothing else; the last of equal keys counts.
+INTAKE_SQL = """SELECT event_id, CASE WHEN bad OR k = 1 THEN '' ELSE 'idea ' || event_type END AS title, CASE WHEN bad OR k = 1 THEN '' WHEN k = 8 THEN '5' ELSE event_type END AS source, CASE WHEN k = 9 THEN '1' ELSE '' END AS description, bad AS corrupt,
+CASE WHEN event_id % 4 = 3 THEN 405 WHEN bad OR k = 1 OR event_id % 7 = 0 THEN 400 ELSE 200 END AS status_code FROM (SELECT *, event_id % 16 AS k, event_id % 16 IN (0, 2, 3, 6, 7, 10, 11, 12) AS bad FROM events)"""
 
 
 def form_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +127,15 @@ def daily_asset_id(spark: SparkSession, d: str) -> DataFrame:
 ASSET_ID_SQL = "SELECT event_id, printf('IPM-%s-%06d', strftime(ts, '%Y%m%d'), row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY ts, event_id)) AS asset_id FROM events"
 
 
+def asset_id_one_second(spark: SparkSession, d: str) -> DataFrame:
+    """A bulk load: all events have one timestamp."""
+    ev = read_table(spark, d, "events").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return sequence.assign_ids(ev, "ts", "event_id").select("event_id", "asset_id")
+
+
+ONE_SECOND_SQL = "SELECT event_id, printf('IPM-20240101-%06d', row_number() OVER (ORDER BY event_id)) AS asset_id FROM events"
+
+
 def sequence_state(spark: SparkSession, d: str) -> DataFrame:
     return sequence.next_state(read_table(spark, d, "events"), "ts")
 
@@ -176,7 +196,7 @@ def outbox_rows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.ingest(_submissions(spark, d), "ts", "event_id")["outbox"]
 
 
-OUTBOX_SQL = f"SELECT asset_id, 'u' || user_id || '@example.org' AS recipient, 'Records Asset ID: ' || asset_id AS subject, 'Hello,' || chr(10) || chr(10) || 'Your idea has been received by Records.' || chr(10) || chr(10) || 'Asset ID: ' || asset_id || chr(10) || 'Idea Title: idea ' || event_type || chr(10) || chr(10) || 'This acknowledgement confirms receipt and timestamping of your submission.' || chr(10) || chr(10) || 'Records' || chr(10) AS body, 'From: Records <noreply@example.org>' || chr(13) || chr(10) || 'Reply-To: noreply@example.org' || chr(13) || chr(10) || 'Content-Type: text/plain; charset=UTF-8' AS headers FROM {_ACCEPTED}"
+OUTBOX_SQL = f"SELECT asset_id, 'u' || user_id || '@example.org' AS recipient, 'Records Asset ID: ' || asset_id AS subject, 'Hello,' || chr(10) || chr(10) || 'Your idea has been received by Records.' || chr(10) || chr(10) || 'Asset ID: ' || asset_id || chr(10) || 'Idea Title: idea ' || event_type || chr(10) || chr(10) || 'This acknowledgement confirms receipt and timestamping of your submission.' || chr(10) || chr(10) || 'Records' || chr(10) AS body, 'From: Records <noreply@example.org>' || chr(13) || chr(10) || 'Reply-To: noreply@example.org' || chr(13) || chr(10) || 'Content-Type: text/plain; charset=UTF-8' AS headers, ts AS created_at FROM {_ACCEPTED}"
 
 
 def rejects(spark: SparkSession, d: str) -> DataFrame:
@@ -186,49 +206,99 @@ def rejects(spark: SparkSession, d: str) -> DataFrame:
 REJECTS_SQL = "SELECT event_id, 400 AS status_code FROM events WHERE event_id % 10 = 0"
 
 
+def ideas_published(spark: SparkSession, d: str) -> DataFrame:
+    """All events as two batches, the first of which is written again after the second; read from the published tables."""
+    root, all_ = new_path(spark, "published"), _submissions(spark, d)
+    for batch in (0, 1, 0):
+        ingest.publish(all_.filter(F.col("event_id") % 2 == batch), "ts", "event_id", root, f"{batch:03d}")
+    return published.read_published(spark, root, "ideas", IDEAS)
+
+
+IDEAS_PUBLISHED_SQL = """SELECT printf('IPM-%s-%06d', strftime(ts, '%Y%m%d'), row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY event_id % 2, ts, event_id)) AS asset_id, 'idea ' || event_type AS title, 'u' || user_id || '@example.org' AS originator_email,
+event_type AS source, props AS description, 'draft' AS status, ts AS created_at, printf('%03d', event_id % 2) AS batch FROM events WHERE event_id % 10 <> 0"""
+
+
+def _mails(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The outbox, and delivery events by user: every third fails, every third fails once and is tried again, the others are sent."""
+    mails = ingest.ingest(_submissions(spark, d), "ts", "event_id")["outbox"]
+    kind = F.substring_index(F.substring("recipient", 2, 255), "@", 1).cast("long") % 3
+    tried = mails.select("asset_id", F.explode(F.when(kind == 0, F.array(F.lit(False))).when(kind == 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))).alias("delivered"))
+    return mails, tried
+
+
+def mail_replies(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.replies(*_mails(spark, d))
+
+
+REPLIES_SQL = f"SELECT asset_id, '{{\"ok\":true,\"asset_id\":\"' || asset_id || '\",\"mail_sent\":' || CASE WHEN user_id % 3 = 0 THEN 'false' ELSE 'true' END || '}}' AS reply FROM {_ACCEPTED}"
+
+
+def mails_undelivered(spark: SparkSession, d: str) -> DataFrame:
+    """Every mail comes twice; what is left to send."""
+    mails, tried = _mails(spark, d)
+    return undelivered(mails.unionByName(mails), tried).select("asset_id", "recipient")
+
+
+UNDELIVERED_SQL = f"SELECT asset_id, 'u' || user_id || '@example.org' AS recipient FROM {_ACCEPTED} WHERE user_id % 3 = 0"
+
+
 def days_covered(spark: SparkSession, d: str) -> DataFrame:
     v, day = F.col("value"), F.to_date("ts")
     nxt = money.next_payment(day, v)
     return read_table(spark, d, "events").select("event_id", money.cents(v).alias("amount"), money.days_covered(v).alias("days"), nxt.alias("next_payment"), money.long_date(nxt).alias("next_text"), money.valid_amount(v).alias("active"))
 
 
-DAYS_SQL = """SELECT event_id, amount, CAST(floor(amount) AS INTEGER) AS days, CAST(ts AS DATE) + CAST(greatest(floor(amount), 1) AS INTEGER) AS next_payment,
+DAYS_SQL = """SELECT event_id, amount, CAST(floor(amount) AS BIGINT) AS days, CAST(ts AS DATE) + CAST(greatest(floor(amount), 1) AS INTEGER) AS next_payment,
 strftime(CAST(ts AS DATE) + CAST(greatest(floor(amount), 1) AS INTEGER), '%B %-d, %Y') AS next_text, value > 0 AS active
 FROM (SELECT *, CASE WHEN value > 0 THEN floor(value * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS amount FROM events)"""
 
 
 def amount_choice(spark: SparkSession, d: str) -> DataFrame:
-    custom = F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_size"))
-    choice = F.when(F.col("p_partkey") % 2 == 0, 365)
-    return read_table(spark, d, "part").select("p_partkey", money.choose_amount(custom, choice).alias("amount"))
+    """Custom amounts as typed: nothing, text, numbers of the browser's and of other grammars."""
+    k = F.col("p_partkey")
+    typed = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.col("p_size").cast("string"), F.lit("d"))).when(k % 5 == 2, F.concat(F.lit("\u00a00x"), F.lower(F.hex("p_size")))).when(k % 5 == 3, "-3").otherwise(F.concat(F.lit(" +"), F.col("p_size").cast("string"), F.lit(".5e1 ")))
+    choice = F.when(k % 2 == 0, 365)
+    return read_table(spark, d, "part").select("p_partkey", money.parse_amount(typed).alias("typed"), money.choose_amount(money.parse_amount(typed), choice).alias("amount"))
+
 
+CHOICE_SQL = """SELECT p_partkey, typed, CAST(CASE WHEN k IN (2, 4) AND typed > 0 THEN typed WHEN p_partkey % 2 = 0 THEN 365 ELSE 1 END AS DOUBLE) AS amount
+FROM (SELECT *, p_partkey % 5 AS k, CAST(CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 'NaN'::DOUBLE WHEN 2 THEN p_size WHEN 3 THEN -3 ELSE p_size * 10 + 5 END AS DOUBLE) AS typed FROM part)"""
 
-CHOICE_SQL = "SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 <> 0 AND p_size > 0 THEN p_size WHEN p_partkey % 2 = 0 THEN 365 ELSE 1 END AS DOUBLE) AS amount FROM part"
+
+#: Addresses of payment pages before and after the amount is set, by what browsers do; {n} is the amount. None: no absolute address.
+LINKS = (
+    ("https://pay.example.org/x?amount=3", "https://pay.example.org/x?amount={n}"),
+    ("HTTP://Pay.Example.org:80/x?a=1", "http://pay.example.org/x?a=1&amount={n}"),
+    ("https://PASTE_LINK/x", "https://paste_link/x?amount={n}"),
+    ("ftp://pay.example.org/X", "ftp://pay.example.org/X?amount={n}"),
+    ("https://pay.example.org/x?amount=3&b=2", "https://pay.example.org/x?amount={n}&b=2"),
+    ("https://pay.example.org?b=1&amount=3&c=x+y%20z&amount=4#frag", "https://pay.example.org/?b=1&amount={n}&c=x+y+z#frag"),
+    ("pay.example.org/x", None),
+    ("https://pay.example.org/x?&&q=100%&amount#a?b", "https://pay.example.org/x?q=100%25&amount={n}#a?b"),
+)
 
 
 def payment_url(spark: SparkSession, d: str) -> DataFrame:
-    """Links that already have an amount, that do not, that are not filled in yet, and that are none."""
-    k = F.col("o_orderkey") % 5
-    base = F.when(k == 0, "https://pay.example.org/x?amount=3").when(k == 1, "HTTP://pay.example.org/x?a=1").when(k == 2, "https://PASTE_LINK/x").when(k == 3, "ftp://pay.example.org/x").otherwise("https://pay.example.org/x?amount=3&b=2")
-    u = money.payment_url(base, F.col("o_totalprice"))
-    return read_table(spark, d, "orders").select("o_orderkey", u.alias("url"), money.live_url(u).alias("live"))
+    """Each kind of address with each order's total, and whether the page is live (judged before the amount is set)."""
+    base = F.get(F.array(*[F.lit(a) for a, _ in LINKS]), F.col("o_orderkey") % len(LINKS))
+    return read_table(spark, d, "orders").select("o_orderkey", money.payment_url(base, F.col("o_totalprice")).alias("url"), money.live_url(base).alias("live"))
 
 
-URL_SQL = r"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'https://pay.example.org/x?amount=' WHEN 1 THEN 'HTTP://pay.example.org/x?a=1&amount=' WHEN 2 THEN 'https://PASTE_LINK/x?amount=' WHEN 3 THEN 'ftp://pay.example.org/x?amount=' ELSE 'https://pay.example.org/x?b=2&amount=' END
-|| regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '\.?0+$', '') AS url, o_orderkey % 5 IN (0, 1, 4) AS live FROM orders"""
+_AFTER = ", ".join(f"'{b}'" if b else "NULL" for _, b in LINKS)
+URL_SQL = rf"""SELECT o_orderkey, replace(([{_AFTER}])[1 + o_orderkey % {len(LINKS)}], '{{n}}', regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '\.?0+$', '')) AS url, o_orderkey % {len(LINKS)} NOT IN (2, 3, 6) AS live FROM orders"""
 
 
 def payment_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Typed amounts: blank, no number, padded, negative; methods are active once there is an amount."""
-    k, v = F.col("event_id") % 5, F.col("value")
-    typed = F.when(k == 0, "").when(k == 1, "1.2.3").when(k == 2, F.concat(F.lit("  "), v.cast("string"), F.lit(" "))).when(k == 3, (-v).cast("string")).otherwise((v * 1000).cast("string"))
+    """Typed amounts: blank, no number, padded, negative, far too large; methods are active once there is an amount."""
+    k, v = F.col("event_id") % 8, F.col("value")
+    typed = F.when(k == 0, "").when(k == 1, "1.2.3").when(k == 2, F.concat(F.lit("\u00a0 "), v.cast("string"), F.lit(" "))).when(k == 3, (-v).cast("string")).when(k == 5, "0x1e").when(k == 6, "5f").when(k == 7, "3e9").otherwise((v * 1000).cast("string"))
     ev = read_table(spark, d, "events").select("event_id", money.parse_amount(typed).alias("parsed"))
     shown = accounting.methods_active(ev.withColumn("amount", money.cents(F.col("parsed"))), "amount")
-    return shown.select("event_id", F.isnan("parsed").alias("no_number"), "methods_active", money.currency(F.col("amount")).alias("text"), money.equivalent(F.col("amount")).alias("equivalent"))
+    return shown.select("event_id", F.isnan("parsed").alias("no_number"), "methods_active", money.currency(F.col("amount")).alias("text"), money.equivalent(F.col("amount")).alias("equivalent"), money.days_covered(F.col("parsed")).alias("days"), money.next_payment(F.lit("2024-01-31").cast("date"), F.col("parsed")).isNull().alias("beyond"))
 
 
-PANEL_SQL = """SELECT event_id, event_id % 5 = 1 AS no_number, amount > 0 AS methods_active, '$' || format('{:,.2f}', amount) AS text, CASE amount WHEN 1 THEN 'day' WHEN 7 THEN 'week' WHEN 30 THEN 'month' WHEN 365 THEN 'year' END AS equivalent
-FROM (SELECT event_id, CASE WHEN v > 0 THEN floor(v * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS amount FROM (SELECT event_id, CASE event_id % 5 WHEN 2 THEN value WHEN 3 THEN -value WHEN 4 THEN value * 1000 ELSE 0 END AS v FROM events))"""
+PANEL_SQL = """SELECT event_id, k IN (1, 6) AS no_number, amount > 0 AS methods_active, '$' || format('{:,.2f}', amount) AS text, CASE amount WHEN 1 THEN 'day' WHEN 7 THEN 'week' WHEN 30 THEN 'month' WHEN 365 THEN 'year' END AS equivalent, CAST(floor(amount) AS BIGINT) AS days, amount > 2900000 AS beyond
+FROM (SELECT event_id, k, CASE WHEN v > 0 THEN floor(v * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS amount FROM (SELECT event_id, event_id % 8 AS k, CASE event_id % 8 WHEN 2 THEN value WHEN 3 THEN -value WHEN 4 THEN value * 1000 WHEN 5 THEN 30 WHEN 7 THEN 3000000000 ELSE 0 END AS v FROM events))"""
 
 
 def encoded_links(spark: SparkSession, d: str) -> DataFrame:
@@ -256,6 +326,17 @@ def allocation_by_category(spark: SparkSession, d: str) -> DataFrame:
 CATEGORY_SQL = f"SELECT o_orderpriority, CAST(sum(a) AS DOUBLE) AS money_in, CAST(sum(operating) AS DOUBLE) AS operating, CAST(sum(direct) AS DOUBLE) AS direct, CAST(sum(secondary) AS DOUBLE) AS secondary, CAST(sum(a - operating - direct - secondary) AS DOUBLE) AS programme, count(*) AS n FROM {_SPLIT} GROUP BY 1"
 
 
+def totals_by_level(spark: SparkSession, d: str) -> DataFrame:
+    """Money by priority, month and status, by priority and month, by priority, and in all."""
+    o = read_table(spark, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    t = accounting.totals_by_level(o, "o_totalprice", "o_orderpriority", "month", "o_orderstatus")
+    return t.select("level", "o_orderpriority", "month", "o_orderstatus", *[F.col(c).cast("double").alias(c) for c in ("money_in", "operating", "direct", "secondary", "programme")], "n", "n_rejected")
+
+
+LEVELS_SQL = f"""SELECT CAST(3 - bit_count(CAST(grouping_id(o_orderpriority, month, o_orderstatus) AS BIGINT)) AS INTEGER) AS level, o_orderpriority, month, o_orderstatus, CAST(sum(a) AS DOUBLE) AS money_in, CAST(sum(operating) AS DOUBLE) AS operating, CAST(sum(direct) AS DOUBLE) AS direct, CAST(sum(secondary) AS DOUBLE) AS secondary,
+CAST(sum(a - operating - direct - secondary) AS DOUBLE) AS programme, count(*) AS n, CAST(0 AS BIGINT) AS n_rejected FROM (SELECT *, strftime(o_orderdate, '%Y-%m') AS month FROM {_SPLIT}) GROUP BY ROLLUP (o_orderpriority, month, o_orderstatus)"""
+
+
 def commissions(spark: SparkSession, d: str) -> DataFrame:
     """Order status plays the state: F received; priority 1 and 2 play the promoters."""
     o = read_table(spark, d, "orders").withColumns({
@@ -270,6 +351,19 @@ COMMISSIONS_SQL = f"""SELECT o_orderkey, CAST(d AS DECIMAL(18,2)) AS direct_comm
 FROM (SELECT *, CASE WHEN o_orderstatus = 'F' AND left(o_orderpriority, 1) IN ('1', '2') THEN direct ELSE 0 END AS d, CASE WHEN o_orderstatus = 'F' AND left(o_orderpriority, 1) = '2' AND o_orderkey % 2 = 0 THEN secondary ELSE 0 END AS s FROM {_SPLIT})"""
 
 
+def payout_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Users play payouts, event types their states."""
+    state = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "approved").when(F.col("event_type") == "purchase", "paid").when(F.col("event_type") == "signup", "held")
+    late = F.get(F.array(F.lit("reversed"), F.lit("disputed"), F.lit("lost")), F.col("event_id") % 3)
+    ev = read_table(spark, d, "events").withColumn("state", F.coalesce(state, late))
+    return accounting.payout_violations(ev, "user_id", "ts", "event_id", "state").select("user_id", "event_id", "from_state", "to_state", "rule")
+
+
+_ALLOWED = ", ".join(f"'{a}>{b}'" for a, following in accounting.NEXT_STATES.items() for b in following if a)
+PAYOUT_VIOLATIONS_SQL = f"""SELECT user_id, event_id, was AS from_state, now AS to_state, rule FROM (SELECT *, CASE WHEN now = 'lost' THEN 'unknown_state' WHEN was IS NULL AND now <> 'pending' THEN 'not_recorded' WHEN now = 'paid' AND was <> 'approved' THEN 'paid_unapproved'
+WHEN was IS NOT NULL AND was || '>' || now NOT IN ({_ALLOWED}) THEN 'not_allowed' END AS rule FROM (SELECT *, lag(now) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM (SELECT *, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'approved' WHEN 'purchase' THEN 'paid' WHEN 'signup' THEN 'held' ELSE ['reversed', 'disputed', 'lost'][1 + event_id % 3] END AS now FROM events))) WHERE rule IS NOT NULL"""
+
+
 def payouts_by_month(spark: SparkSession, d: str) -> DataFrame:
     p = accounting.payouts_by_month(read_table(spark, d, "orders"), "o_orderdate", "o_orderstatus", "o_totalprice")
     return p.select("month", "o_orderstatus", F.col("amount").cast("double").alias("amount"), "n")
@@ -311,6 +405,33 @@ def ledger_links(spark: SparkSession, d: str) -> DataFrame:
 LEDGER_LINKS_SQL = f"SELECT asset_id, 'idea.locked' AS event_type, CASE WHEN event_type <> 'error' THEN 'idea ' || event_type END AS idea_title, CASE WHEN event_type <> 'error' THEN event_type END AS idea_source FROM {_ACCEPTED}"
 
 
+def _history(spark: SparkSession, df: DataFrame, key: str, result) -> DataFrame:
+    """``result`` of a history that two batches were appended to; the table goes when the result is written."""
+    table = "history_" + new_path(spark, "x").split("/")[-2]
+    for batch in (0, 1):
+        constraints.append_history(df.filter(F.col(key) % 2 == batch), table, key, 8)
+    try:
+        return materialize(result(table), "across")
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
+def unreferenced_across(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as a batch against the history of orders that are not pending."""
+    orders = read_table(spark, d, "orders").filter("o_orderstatus <> 'P'")
+    lines = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    return _history(spark, orders.select("o_orderkey", "o_custkey"), "o_orderkey", lambda t: constraints.unreferenced_across(lines, t, "l_orderkey", "o_orderkey"))
+
+
+def repeated_across(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of lines as a batch of keys against the history of orders."""
+    batch = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return _history(spark, read_table(spark, d, "orders").select("o_orderkey"), "o_orderkey", lambda t: constraints.repeated_across(batch, t, "o_orderkey"))
+
+
+REPEATED_ACROSS_SQL = "SELECT l_orderkey AS o_orderkey, count(*) AS n_batch, coalesce(any_value(n), 0) AS n_history FROM lineitem LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM orders GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(*) > 1 OR any_value(n) > 0"
+
+
 def ideas_by_node(spark: SparkSession, d: str) -> DataFrame:
     """The node field of the form: the event type plays it, padded; ``error`` is no known node."""
     ev = read_table(spark, d, "events").withColumn("node", F.concat(F.lit(" "), "event_type"))
@@ -357,6 +478,17 @@ CONTRIBUTION_EVENTS_SQL = rf"""SELECT CAST(o_orderkey AS VARCHAR) AS asset_id, '
 'Hello,' || chr(10) || chr(10) || 'Thank you. We received your contribution of $' || m || '.' || chr(10) || chr(10) || 'Records' || chr(10) AS body FROM (SELECT *, regexp_replace(CAST(a AS VARCHAR), '\.?0+$', '') AS m FROM {_PAID})"""
 
 
+def payments_published(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger after a batch of payments was published, twice."""
+    root = new_path(spark, "payments")
+    for _ in range(2):
+        accounting.publish_payments(_payments(spark, d), root, "one")
+    return published.read_published(spark, root, "ledger", LEDGER)
+
+
+PAYMENTS_PUBLISHED_SQL = rf"""SELECT CAST(o_orderkey AS VARCHAR) AS asset_id, 'contribution.recorded' AS event_type, '{{"amount":"' || regexp_replace(CAST(a AS VARCHAR), '\.?0+$', '') || '","payment_path":"Square","attribution":"' || who || '"}}' AS event_payload, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS created_at, 'one' AS batch FROM {_PAID}"""
+
+
 def public_record(spark: SparkSession, d: str) -> DataFrame:
     t = accounting.public_record(accounting.contributions(_payments(spark, d)))
     return t.select("service_category", *[F.col(c).cast("double").alias(c) for c in ("money_in", "operating", "direct", "secondary", "programme")], "n", "n_outcomes")
@@ -378,7 +510,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     field = lambda label, v: F.concat(F.lit(f"{label}:\n"), v, F.lit("\n\n"))
     note = F.when(F.col("p_size") > 25, F.concat(F.lit("## Related Nodes\n\n- "), "p_type", F.lit("\n- Core "), "p_brand", F.lit("\n\n"))).otherwise("")
-    words = F.concat(F.lit("### "), "p_name", F.lit("\n\n**Expansion:** "), "p_type", F.lit("\n**Our Meaning:** of "), "p_brand", F.lit("\n\n### end\n\n**Status:** locked\n"))
+    words = F.concat(F.lit("### "), "p_name", F.lit("\n\n**Expansion:** "), "p_type", F.lit("\n**Our Meaning:** of "), "p_brand", F.lit("\n**Date Added:** 2024-01-02\n\n### end\n\n**Status:** locked\n"))
     text = F.concat(F.lit("# Record\n\n"), field("ASSET ID", F.concat(F.lit("X-"), k)), field("TITLE", F.col("p_name")), field("HISTORY", F.concat(F.lit("0.1 first\n0.2 "), "p_brand")), note, words)
     return read_table(spark, d, "part").select(k.alias("path"), text.alias("text"))
 
@@ -398,11 +530,11 @@ EDGES_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS src, unnest([replace(lower(p_t
 
 
 def markdown_glossary(spark: SparkSession, d: str) -> DataFrame:
-    return markdown.glossary(_files(spark, d)).select("path", "term", "expansion", "meaning", "status")
+    return markdown.glossary(_files(spark, d)).select("path", "term", "expansion", "meaning", "status", "date_added")
 
 
-GLOSSARY_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS term, p_type AS expansion, 'of ' || p_brand AS meaning, '' AS status FROM part
-UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'end', '', '', 'locked' FROM part"""
+GLOSSARY_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS path, p_name AS term, p_type AS expansion, 'of ' || p_brand AS meaning, '' AS status, '2024-01-02' AS date_added FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'end', '', '', 'locked', '' FROM part"""
 
 
 def record_body(spark: SparkSession, d: str) -> DataFrame:
@@ -446,6 +578,17 @@ def lifecycle(spark: SparkSession, d: str) -> DataFrame:
 LIFECYCLE_SQL = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 7 WHEN 2 THEN 0 WHEN 3 THEN 1 END AS stage, o_totalprice > 1000 AND o_orderstatus <> 'P' AND o_orderkey % 7 <> 0 AS open FROM orders"
 
 
+def stage_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Users play assets, event types the first stages and the last one; ``error`` is no stage."""
+    stage = F.when(F.col("event_type") == "view", "Idea").when(F.col("event_type") == "click", "Lock").when(F.col("event_type") == "purchase", "Asset").when(F.col("event_type") == "signup", "History").otherwise("lost")
+    ev = read_table(spark, d, "events").withColumn("stage", stage)
+    return records.stage_violations(ev, "user_id", "ts", "event_id", "stage", LIFECYCLE).select("user_id", "event_id", "from_stage", "to_stage", "rule")
+
+
+STAGE_VIOLATIONS_SQL = """SELECT user_id, event_id, was AS from_stage, stage AS to_stage, rule FROM (SELECT *, CASE WHEN n = 0 THEN 'unknown_stage' WHEN was IS NULL AND n > 1 THEN 'not_first' WHEN w > 0 AND n > w + 1 THEN 'skipped' WHEN w > 0 AND n < w THEN 'backwards' END AS rule
+FROM (SELECT *, lag(stage) OVER u AS was, lag(n) OVER u AS w FROM (SELECT *, CASE event_type WHEN 'view' THEN 'Idea' WHEN 'click' THEN 'Lock' WHEN 'purchase' THEN 'Asset' WHEN 'signup' THEN 'History' ELSE 'lost' END AS stage, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 7 ELSE 0 END AS n FROM events) WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))) WHERE rule IS NOT NULL"""
+
+
 def raw_kept(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned fields stand beside the text as it came."""
     out = validate.clean_submission(_submissions(spark, d))
@@ -487,6 +630,26 @@ def current_versions(spark: SparkSession, d: str) -> DataFrame:
 VERSIONS_SQL = "SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC, o_orderstatus DESC) = 1"
 
 
+def version_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Orders play the versions of their customer."""
+    o = read_table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    return records.validity(o, "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "valid_from", "valid_to")
+
+
+INTERVALS_SQL = "SELECT o_orderkey, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders"
+
+
+def version_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's supplier number names a customer: the customer's order that was current when the line was shipped."""
+    lines = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    history = read_table(spark, d, "orders").select(F.col("o_custkey").alias("l_suppkey"), "o_orderdate", "o_orderkey", "o_orderstatus")
+    found = records.as_of(lines, history, "l_suppkey", "l_shipdate", "o_orderdate", "o_orderkey")
+    return found.select("l_orderkey", "l_linenumber", "version.o_orderkey", "version.o_orderstatus")
+
+
+AS_OF_SQL = """SELECT l_orderkey, l_linenumber, o_orderkey, o_orderstatus FROM lineitem l ASOF LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) = 1) o ON l.l_suppkey = o.o_custkey AND l.l_shipdate >= o.o_orderdate"""
+
+
 def record_search(spark: SparkSession, d: str) -> DataFrame:
     return records.search(read_table(spark, d, "part"), "D WID", "p_name", "p_type").select("p_partkey", "p_name", "p_type")
 
@@ -494,6 +657,14 @@ def record_search(spark: SparkSession, d: str) -> DataFrame:
 SEARCH_SQL = "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'd wid') OR contains(lower(p_type), 'd wid')"
 
 
+def record_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same search by an index that two batches were appended to."""
+    root, part = new_path(spark, "terms"), read_table(spark, d, "part")
+    for batch in (0, 1):
+        text_index.append_index(part.filter(F.col("p_partkey") % 2 == batch), "p_partkey", root, "p_name", "p_type")
+    return text_index.search_indexed(part, "p_partkey", root, "D WID", "p_name", "p_type").select("p_partkey", "p_name", "p_type")
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Supplier to part stands in for the related-node edges, from every row."""
     return read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
@@ -508,10 +679,28 @@ DEGREE_SQL = f"SELECT dst AS node, count(*) AS in_degree FROM {_EDGES} GROUP BY
 
 
 def related_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.two_step_neighbours(_edges(spark, d))
+    """Customers to the suppliers of their orders, suppliers to their nation: what a customer is related to in two steps."""
+    lines, orders, supplier = (read_table(spark, d, t) for t in ("lineitem", "orders", "supplier"))
+    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.format_string("customer-%d", "o_custkey").alias("src"), F.format_string("supplier-%d", "l_suppkey").alias("dst")).distinct()
+    based = supplier.select(F.format_string("supplier-%d", "s_suppkey").alias("src"), F.format_string("nation-%d", "s_nationkey").alias("dst"))
+    return graph.two_step_neighbours(bought.unionByName(based))
+
+
+RELATED_SQL = "SELECT DISTINCT 'customer-' || o_custkey AS src, 'nation-' || s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey"
+
+
+def node_hops(spark: SparkSession, d: str) -> DataFrame:
+    """Steps from the first nation along nations, customers, orders, parts, suppliers and, in a circle, nations."""
+    edge = lambda df, a, ka, b, kb: df.select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("src"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("dst"))
+    lines, orders, customer, supplier = (read_table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    edges = edge(customer, "n", "c_nationkey", "c", "c_custkey").unionByName(edge(orders, "c", "o_custkey", "o", "o_orderkey")).unionByName(edge(lines, "o", "l_orderkey", "p", "l_partkey"))
+    edges = edges.unionByName(edge(lines, "p", "l_partkey", "s", "l_suppkey")).unionByName(edge(supplier, "s", "s_suppkey", "n", "s_nationkey"))
+    return graph.hops(edges, read_table(spark, d, "nation").filter("n_nationkey = 0").select(F.lit("n0").alias("node")))
 
 
-RELATED_SQL = f"SELECT DISTINCT a.src, b.dst FROM {_EDGES} a JOIN {_EDGES} b ON a.dst = b.src WHERE a.src <> b.dst"
+HOPS_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst FROM customer UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+r AS (SELECT 'n0' AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM r JOIN e ON node = src WHERE hops < 14)
+SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY 1"""
 
 
 def case_checklist(spark: SparkSession, d: str) -> DataFrame:
@@ -572,4 +761,18 @@ QUERIES = {
     "markdown_edges": (markdown_edges, EDGES_SQL),
     "markdown_glossary": (markdown_glossary, GLOSSARY_SQL),
     "case_checklist": (case_checklist, CHECKLIST_SQL),
+    "asset_id_one_second": (asset_id_one_second, ONE_SECOND_SQL),
+    "ideas_published": (ideas_published, IDEAS_PUBLISHED_SQL),
+    "mail_replies": (mail_replies, REPLIES_SQL),
+    "mails_undelivered": (mails_undelivered, UNDELIVERED_SQL),
+    "totals_by_level": (totals_by_level, LEVELS_SQL),
+    "payout_violations": (payout_violations, PAYOUT_VIOLATIONS_SQL),
+    "unreferenced_across": (unreferenced_across, REFERENCE_SQL),
+    "repeated_across": (repeated_across, REPEATED_ACROSS_SQL),
+    "payments_published": (payments_published, PAYMENTS_PUBLISHED_SQL),
+    "stage_violations": (stage_violations, STAGE_VIOLATIONS_SQL),
+    "version_intervals": (version_intervals, INTERVALS_SQL),
+    "version_as_of": (version_as_of, AS_OF_SQL),
+    "record_search_indexed": (record_search_indexed, SEARCH_SQL),
+    "node_hops": (node_hops, HOPS_SQL),
 }

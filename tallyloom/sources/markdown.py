@@ -13,8 +13,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def field(text: Column, label: str) -> Column:
-    """The paragraph below ``LABEL:``; '' when absent."""
-    return F.trim(F.regexp_extract(text, rf"(?ms)^{label}:[ \t]*\n(.*?)(?=\s*\z|\n[ \t]*\n)", 1))
+    """The paragraph below ``LABEL:``, up to the first blank line; '' when absent."""
+    below = F.regexp_extract(text, rf"(?ms)^{label}:[ \t]*\n(.*)", 1)
+    return F.btrim(F.element_at(F.split(below, r"\n[ \t]*\n", 2), 1), F.lit(" \t\n\r"))
 
 
 def asset_records(files: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def section(text: Column, heading: str) -> Column:
 
 def bullets(text: Column) -> Column:
     """Trimmed items of a ``- `` list."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[-*][ \t]+(.+?)[ \t]*$"), 1), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[-*][ \t]+(.+)$"), 1), lambda x: F.btrim(x, F.lit(" \t\r")))
 
 
 def slug(s: Column) -> Column:
@@ -41,21 +42,25 @@ def node_edges(files: DataFrame, node: Column) -> DataFrame:
 
 
 def glossary(files: DataFrame) -> DataFrame:
-    """A row per ``### term`` entry with its bold-labelled fields."""
+    """A row per ``### term`` entry with its eight bold-labelled fields; '' where an entry lacks one."""
     parts = F.split("text", r"(?m)^###[ \t]+")
     entry = F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("entry")
     one = lambda label: F.trim(F.regexp_extract("entry", rf"(?m)^\*\*(?:[^*\n]*?){label}:\*\*[ \t]*(.*)$", 1))
-    names = ("Expansion", "Source", "Category", "Meaning", "Usage", "Status", "Related Nodes")
+    names = ("Expansion", "Source", "Category", "Meaning", "Usage", "Status", "Related Nodes", "Date Added")
     return files.select("path", entry).select("path", F.trim(F.regexp_extract("entry", r"\A([^\n]*)", 1)).alias("term"), *[one(n).alias(n.lower().replace(" ", "_")) for n in names])
 
 
 def file_index(files: DataFrame) -> DataFrame:
-    """(name, type, tags array, suggested_path, path_parts array) per indexed file."""
-    entry = F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^- [^\n]+(?:\n[ \t]+- [^\n]+)+"), 0)).alias("entry")
+    """(name, type, tags array, suggested_path, path_parts array) per indexed file: a ``- name`` line with ``  - Field: value`` lines right
+    below it. The text is cut at ``- `` lines first, so no pattern repeats a group over it."""
+    pieces = F.split("text", r"(?m)^- ")
+    piece = files.select(F.explode(F.slice(pieces, F.lit(2), F.size(pieces))).alias("piece")).filter(F.col("piece").rlike(r"\A[^\n]+\n[ \t]+- [^\n]"))
+    # the entry ends before the first line that is none of its fields
+    entry = piece.select(F.element_at(F.split("piece", r"\n(?![ \t]+- [^\n])", 2), 1).alias("entry"))
     get = lambda p: F.trim(F.regexp_extract("entry", p, 1))
     path = get(r"Suggested path:[ \t]*`?([^`\n]*)`?")
-    return files.select(entry).select(
-        get(r"\A- ([^\n]+)").alias("name"),
+    return entry.select(
+        get(r"\A([^\n]+)").alias("name"),
         F.regexp_replace(get(r"Type:[ \t]*([^\n]*)"), r"\.$", "").alias("type"),
         F.split(F.regexp_replace(get(r"Tags:[ \t]*([^\n]*)"), r"\.$", ""), r",\s*").alias("tags"),
         path.alias("suggested_path"),

@@ -51,6 +51,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions for wide steps: the session's setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

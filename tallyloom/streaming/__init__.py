@@ -1,23 +1,21 @@
-"""Intake from a stream. There are no windows or stateful operators: the surveyed system
-handles requests one at a time, so only stateless validation and staged batches apply."""
+"""Intake from a stream, and delivery of its mails."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.operators.ingest import Config, publish, state_before
-from tallyloom.operators.sequence import next_state
+from tallyloom.operators.ingest import Config, publish
+from tallyloom.streaming.delivery import deliver, drain, undelivered
 
 
 def micro_batch_writer(spark: SparkSession, root: str, ts: str, tiebreak: str, config: Config = Config()) -> Callable[[DataFrame, int], None]:
-    """For ``writeStream.foreachBatch``: each micro-batch is staged and published under its number,
-    so a batch that is run again after a failure replaces itself. Counters go on from the batches before."""
+    """For ``writeStream.foreachBatch``: each micro-batch is staged and published under its number, so a batch that is run again after a
+    failure replaces itself with the same IDs. Counters go on from the batch before, which is the only one that is read."""
 
     def write(batch: DataFrame, number: int) -> None:
-        name = f"{number:012d}"
-        publish(batch, ts, tiebreak, root, name, state_before(spark, root, name), config)
+        publish(batch, ts, tiebreak, root, f"{number:012d}", config)
 
     return write
 
 
-__all__ = ["micro_batch_writer", "next_state"]
+__all__ = ["deliver", "drain", "micro_batch_writer", "undelivered"]

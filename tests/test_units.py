@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import money, text
 from tallyloom.operators import accounting, constraints, graph, ingest, records, sequence, validate
-from tallyloom.schemas import CONTRIBUTION, LEDGER
+from tallyloom.schemas import ASSETS, CONTRIBUTION, IDEAS, INTAKE, LEDGER
 from tallyloom.sources import intake, markdown, tables
+from tallyloom.sources.published import read_published
 from tallyloom.streaming import micro_batch_writer
 
 
@@ -57,7 +58,7 @@ def test_amount_choice_and_urls(spark):
     df = spark.createDataFrame([(0.0, 365.0), (None, None), (5.0, 365.0)], "c double, r double")
     assert [r[0] for r in df.select(money.choose_amount(F.col("c"), F.col("r"))).collect()] == [365.0, 1.0, 5.0]
     urls = spark.createDataFrame([("https://a.example/x", 7.0), ("https://a.example/x?amount=3&b=1", 7.5), ("https://a.example/x?b=1&amount=3", 12345678.9)], "u string, a double")
-    assert [r[0] for r in urls.select(money.payment_url(F.col("u"), F.col("a"))).collect()] == ["https://a.example/x?amount=7", "https://a.example/x?b=1&amount=7.5", "https://a.example/x?b=1&amount=12345678.9"]
+    assert [r[0] for r in urls.select(money.payment_url(F.col("u"), F.col("a"))).collect()] == ["https://a.example/x?amount=7", "https://a.example/x?amount=7.5&b=1", "https://a.example/x?b=1&amount=12345678.9"]
     assert [one(spark, money.live_url, u) for u in ("HTTPS://a", "", None, "https://PASTE_ME", "ftp://a")] == [True, False, False, False, False]
     assert [one(spark, money.parse_amount, x) for x in ("", None, " 2.5 ")] == [0.0, 0.0, 2.5]
 
@@ -95,11 +96,13 @@ def test_intake_to_published_tables(spark, tmp_path):
     out = ingest.ingest(raw, "ts", "k")
     ingest.publish(raw, "ts", "k", f"{tmp_path}/db", "001")
     ingest.publish(raw, "ts", "k", f"{tmp_path}/db", "001")
-    ideas = ingest.read_published(spark, f"{tmp_path}/db", "ideas").collect()
+    read = lambda name: read_published(spark, f"{tmp_path}/db", name, INTAKE[name])
+    ideas = read("ideas").collect()
     assert [(r.asset_id, r.title, r.status) for r in ideas] == [("IPM-20240101-000001", "A b", "draft")]
-    assert ingest.read_published(spark, f"{tmp_path}/db", "rejects").count() == 6
-    assert ingest.read_published(spark, f"{tmp_path}/db", "outbox").first().subject.endswith("IPM-20240101-000001")
-    assert ingest.read_published(spark, f"{tmp_path}/db", "replies").first().reply == '{"ok":true,"asset_id":"IPM-20240101-000001","mail_sent":false}'
+    assert {name: df.columns for name, df in ((n, read(n)) for n in INTAKE)} == {name: [*schema.names, "batch"] for name, schema in INTAKE.items()}
+    assert read("rejects").count() == 6 and all('"k":' in r.submitted for r in read("rejects").collect())
+    assert read("outbox").first().subject.endswith("IPM-20240101-000001")
+    assert out["replies"].first().reply == '{"ok":true,"asset_id":"IPM-20240101-000001","mail_sent":false}'
     tables.append(out["ledger"], f"{tmp_path}/ledger", LEDGER)
     assert spark.read.parquet(f"{tmp_path}/ledger").count() == 1
     wrong = raw.withColumn("method", F.lit("GET"))
@@ -114,14 +117,14 @@ def test_stream_publishes_batches(spark, tmp_path):
     stream = spark.readStream.schema(SUBMITTED).parquet(f"{tmp_path}/in")
     write = micro_batch_writer(spark, f"{tmp_path}/db", "ts", "k")
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    assert ingest.read_published(spark, f"{tmp_path}/db", "assets").first().version == "0.1"
+    assert read_published(spark, f"{tmp_path}/db", "assets", ASSETS).first().version == "0.1"
 
 
 def test_a_replayed_batch_keeps_its_ids(spark, tmp_path):
     """The marker was written, the stream's own commit was not: the batch comes again, even after a later one."""
     rows = lambda a, n: spark.createDataFrame([(i, f"t{i}", "a@b.co", "s", "d", dt.datetime(2024, 1, 1)) for i in range(a, a + n)], SUBMITTED)
     write = micro_batch_writer(spark, f"{tmp_path}/db", "ts", "k")
-    ids = lambda: {r.title: r.asset_id for r in ingest.read_published(spark, f"{tmp_path}/db", "ideas").collect()}
+    ids = lambda: {r.title: r.asset_id for r in read_published(spark, f"{tmp_path}/db", "ideas", IDEAS).collect()}
     write(rows(0, 3), 0)
     write(rows(10, 2), 1)
     first = ids()
@@ -136,8 +139,9 @@ def test_a_replayed_batch_keeps_its_ids(spark, tmp_path):
 def test_unpublished_batches_are_not_read(spark, tmp_path):
     raw = spark.createDataFrame([(1, "t", "a@b.co", "s", "d", dt.datetime(2024, 1, 1))], SUBMITTED)
     ingest.publish(raw, "ts", "k", f"{tmp_path}/db", "b1")
-    raw.write.parquet(f"{tmp_path}/db/ideas/batch=b-half")
-    assert [r.batch for r in ingest.read_published(spark, f"{tmp_path}/db", "ideas").collect()] == ["b1"]
+    raw.write.parquet(f"{tmp_path}/db/ideas/batch=b-half/attempt=x")
+    raw.write.parquet(f"{tmp_path}/db/ideas/batch=b-b1/attempt=x")
+    assert [r.batch for r in read_published(spark, f"{tmp_path}/db", "ideas", IDEAS).collect()] == ["b1"]
 
 
 def test_trims_take_linear_time(spark):
