@@ -1,60 +1,20 @@
-"""Shared helpers: the shared folder, written intermediate tables, Arrow row streams."""
+"""Shared helpers: written intermediate tables (see ``staging``), Arrow row streams."""
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.staging import clean, materialize, new_path, own_dir, partitions, shared_dir
+
+__all__ = ["SPACE", "WORD", "Sink", "arrow_schema", "clean", "materialize", "new_path", "own_dir", "partitions", "read", "rows", "shared_dir", "text_of"]
+
 #: Words are maximal runs of characters other than these six white-space characters.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder is made, on a local master only: a folder
-    of one machine is no place for tables that other machines read.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/tallyloom/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there,
-    and a lost executor costs no recomputation. (checkpoint() would run the plan twice.)
-    Results read these tables lazily; ``clean`` removes them when the results are stored."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete the tables that this application wrote to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,7 +61,3 @@ def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(n, kinds[k]) for n, k in (x.strip().split(" ", 1) for x in ddl.split(","))])
 
-
-def partitions(df: DataFrame) -> int:
-    """Partitions for wide steps: the session's setting."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

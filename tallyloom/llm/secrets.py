@@ -51,10 +51,10 @@ BASE = (
     Rule("hex", r"[0-9a-f]{32,}", base=True),
 )
 PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-#: Public key formats, in addition. A key's body goes with its first line: up to the END
-#: line (headers with dashes included), or where there is none as far as its Base64 lines go.
+#: Public key formats, in addition. A key's body goes with its first line: up to its END line, whatever lies between but
+#: another key's first line, or where there is none as far as its Base64 lines go, however many (possessive, so no step is taken back).
 MORE = (
-    Rule("pem", PEM, whole=PEM + r"(?:[^-]*+(?:-(?!-)[^-]*+){0,16}-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[\s\\]{0,4}[A-Za-z0-9+/=]{20,}+){0,400})"),
+    Rule("pem", PEM, whole=PEM + r"(?:[^-]*+(?:-(?!----(?:END|BEGIN) )[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[\s\\]{0,4}[A-Za-z0-9+/=]{20,}+)*+(?:[\s\\]{0,4}[A-Za-z0-9+/]{1,19}={1,2})?)"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
 )
@@ -168,6 +168,12 @@ def _total(c: Column) -> Column:
     return F.aggregate(c, F.lit(0), lambda a, x: a + x)
 
 
+def _once(make, *columns: str) -> Column:
+    """``make`` of a struct of the columns as a lambda's argument: they are found once a row. A column that a lambda names itself may be put in
+    its place by the optimizer, and is then found once an element."""
+    return F.get(F.transform(F.array(F.struct(*columns)), make), 0)
+
+
 def with_matches(df: DataFrame, i: int, rule: Rule, text: str) -> DataFrame:
     """Adds the arrays ``__full`` (matches), ``__value`` and ``__between`` (what lies around them) of one
     rule; a text that the rule need not see, or does not match, has none."""
@@ -185,15 +191,19 @@ def with_spans(df: DataFrame, i: int, rule: Rule) -> DataFrame:
     step = F.transform("__full", lambda f, k: F.length(F.get("__between", k)) + F.coalesce(F.length(F.get("__full", k - 1)), F.lit(0)))
     df = df.withColumn("__step", step)
     blocks = F.sequence(F.lit(0), F.floor(F.size("__step") / BLOCK).cast("int"))
-    df = df.withColumn("__base", F.transform(blocks, lambda b: _total(F.slice("__step", F.lit(1), b * BLOCK))))
+    df = df.withColumn("__sums", F.transform(blocks, lambda b: _total(F.slice("__step", b * BLOCK + 1, F.lit(BLOCK)))))
+    df = df.withColumn("__base", F.transform(blocks, lambda b: _total(F.slice("__sums", F.lit(1), b))))
+
+    def spans(z: Column) -> Column:
+        def span(f: Column, k: Column) -> Column:
+            b = F.floor(k / BLOCK).cast("int")
+            start = F.get(z["__base"], b) + _total(F.slice(z["__step"], b * BLOCK + 1, k - b * BLOCK + 1))
+            return F.struct(start.cast("long").alias("start"), F.lit(i).alias("kind"), (start + F.length(f)).cast("long").alias("end"), (F.length(F.get(z["__value"], k)) >= rule.least).alias("ok"))
 
-    def span(f: Column, k: Column) -> Column:
-        b = F.floor(k / BLOCK).cast("int")
-        start = F.get("__base", b) + _total(F.slice("__step", b * BLOCK + 1, k - b * BLOCK + 1))
-        return F.struct(start.cast("long").alias("start"), F.lit(i).alias("kind"), (start + F.length(f)).cast("long").alias("end"), (F.length(F.get("__value", k)) >= rule.least).alias("ok"))
+        kept = F.filter(F.transform(z["__full"], span), lambda x: x["ok"])
+        return F.transform(kept, lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
-    kept = F.filter(F.transform("__full", span), lambda x: x["ok"])
-    return df.withColumn(f"__s{i}", F.transform(kept, lambda x: F.struct(x["start"], x["kind"], x["end"]))).drop("__full", "__value", "__between", "__step", "__base")
+    return df.withColumn(f"__s{i}", _once(spans, "__full", "__value", "__step", "__base")).drop("__full", "__value", "__between", "__step", "__sums", "__base")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -210,27 +220,30 @@ def listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def _without_value(rule: Rule):
-    def cut(f: Column, k: Column) -> Column:
-        n = F.length(F.get("__value", k))
-        return F.when(n >= rule.least, F.concat(F.left(f, F.length(f) - n), F.lit(PLACE))).otherwise(f)
+def _without_values(rule: Rule):
+    """The text put together again: what lies between the matches, and the matches without the values that hold."""
+
+    def join(z: Column) -> Column:
+        def piece(b: Column, k: Column) -> Column:
+            f, n = F.get(z["__full"], k), F.length(F.get(z["__value"], k))
+            return F.concat(b, F.coalesce(F.when(n >= rule.least, F.concat(F.left(f, F.length(f) - n), F.lit(PLACE))).otherwise(f), F.lit("")))
+
+        return F.array_join(F.transform(z["__between"], piece), "")
 
-    return cut
+    return join
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the value of every match that holds replaced by ``[SECRET]``, rule after rule.
-    Rows, columns and null texts stay as they are. Matches are joined back from their pieces in
-    one pass a rule."""
+    Rows, columns and null texts stay as they are; repeated rows are redacted each. Matches are joined back from their pieces in
+    one pass a rule, in linear time, however long the text."""
     names = docs.columns
     slim = docs.withColumnsRenamed({c: f"__in_{k}" for k, c in enumerate(names) if c not in ("doc_id", "text")})
     df = with_candidates(slim, rules)
     for i, r in enumerate(rules):
         df = with_matches(df, i, replace(r, pattern=r.whole or r.pattern), "text")
-        held = F.transform("__full", _without_value(r))
-        df = df.withColumn("__held", held)
-        whole = F.array_join(F.transform("__between", lambda b, k: F.concat(b, F.coalesce(F.get("__held", k), F.lit("")))), "")
-        df = df.withColumn("text", F.when(F.size("__full") > 0, whole).otherwise(F.col("text"))).drop("__full", "__value", "__between", "__held")
+        whole = _once(_without_values(r), "__full", "__value", "__between")
+        df = df.withColumn("text", F.when(F.size("__full") > 0, whole).otherwise(F.col("text"))).drop("__full", "__value", "__between")
     return df.select(*[F.col(c if c in ("doc_id", "text") else f"__in_{k}").alias(c) for k, c in enumerate(names)])
 
 

@@ -13,30 +13,37 @@ Equal fingerprints are one row before any of this, so exact copies, however many
 At an anchor only links that join two so far unjoined groups are given out: fewer than its rows,
 however many pairs link; pairs inside a tree that is already joined are not compared (past ``LAGS``
 neighbours), so a family of near copies takes no square of its size. Anchors with over ``DENSE`` fingerprints are compared in passes over runs
-that agree in a piece of the half that is not anchored, where an anchor's rows are no more alike
-than any others: equal anchored halves leave one of four 8-bit pieces equal, halves that differ in
-one bit leave one of three 11-bit pieces equal. Links become classes by star rounds (graphs).
+that agree in pieces of the half that is not anchored, where an anchor's rows are no more alike
+than any others: of equal anchored halves the other ones leave one of four 8-bit pieces equal, or three of six with 16 bits or so
+together; halves that differ in one bit leave one of three 11-bit pieces equal, or three of five with 18 bits or more. The finer pieces, in 20 and
+10 passes, are for anchors with over ``FINE`` fingerprints. Links become classes by star rounds (graphs).
 
 ``one_of_each`` removes near-duplicates of five-word similarity. Its fingerprints are of two-word shingles
 and have 128 bits, so that the code covers four blocks: texts of similarity 0.8 to 0.85 agree but for 5 bits of
-64 and meet at an anchor of one block with probability 0.97 (0.99 and more above). Rows that meet are
-candidates when the word without the block differs in at most ``FAR`` bits. A class of candidates
-is compared exactly: a link is a Jaccard similarity of the sets of five-word shingles (64-bit hashes) of
+64 and meet at an anchor of one block with probability 0.97 (0.99 and more above). With a row goes a sketch of four 16-bit least hashes of its shingles.
+Rows that meet are candidates when the word without the block differs in at most ``FAR`` bits and one of the least hashes is equal (near texts
+have none with probability 0.0016 at most, strangers have one with 0.00006), so strangers do not chain classes together. At an anchor with over ``DENSE`` rows only rows with
+an equal least hash are compared, by passes over the four.
+
+A class of candidates is compared exactly: a link is a Jaccard similarity of the sets of five-word shingles (64-bit hashes) of
 at least 0.8. Texts of equal words are one row. A class is compared in one task, of over ``BLOCK``
-texts or ``BYTES`` in one task for each pair of its blocks: n distinct texts make n * n / BLOCK rows at most.
+texts or ``BYTES`` in one task for each pair of its blocks, each text at most ``BLOCKS`` times. A larger class is dealt by ``PASSES`` further least hashes of the
+five-word shingles: texts of similarity 0.8 share none of these with probability 4e-9. Texts that share one are compared in one task, or in
+blocks of BLOCK dealt at random in each pass, with some ``REFS`` of them in every block, which hold a dense family together. So a text of
+the largest class is written PASSES times, plus REFS / BLOCK.
 
 Results: a null or empty text has fingerprint 0 and links like any other. Repeated rows are of
 one class. A null doc_id counts for a class only where it has no other (component_id null). An
 empty table gives no rows. Extra columns are ignored, and kept by ``one_of_each``.
 """
 
-from collections.abc import Iterable, Iterator
-from itertools import groupby, repeat
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations, groupby, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Sink, arrow_schema, materialize, partitions, read, rows, text_of
@@ -46,6 +53,7 @@ SHINGLE = 3
 SEED = 42
 MOST = 3
 DENSE = 48
+FINE = 4096
 LAGS = 64
 #: Near-duplicates that are removed: words in a shingle, least similarity.
 WORDS = 5
@@ -53,9 +61,13 @@ LEAST = 0.8
 #: Their candidates: words in a fingerprint's shingle, most differing bits of the other 64.
 CLOSE_SHINGLE = 2
 FAR = 14
-#: Texts and bytes that are compared in one task.
+#: Texts and bytes that are compared in one task; blocks of a class that is compared in pairs of them.
 BLOCK = 1024
 BYTES = 32 << 20
+BLOCKS = 8
+#: Of larger classes: least hashes by which they are dealt, texts that are in every block.
+PASSES = 12
+REFS = 8
 
 
 def shingles(text: str, width: int = SHINGLE) -> list[bytes]:
@@ -97,19 +109,34 @@ def _more(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(texts: Iterable[str], width: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """Unsigned fingerprint of each text: (texts, words) of 64 bits."""
+#: Least hashes in a sketch, of 16 bits each.
+LEASTS = 4
+
+
+def least_hashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sketch of each text: the low 16 bits of the least of its hashes in four orders, in one word."""
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(LEASTS):
+        low = np.minimum.reduceat(_more(h, 16 + k), starts) & np.uint64(0xFFFF)
+        out |= low << np.uint64(16 * k)
+    return out
+
+
+def fingerprints(texts: Iterable[str], width: int = SHINGLE, words: int = 1, sketch: bool = False) -> np.ndarray:
+    """Unsigned fingerprint of each text: (texts, words) of 64 bits; with ``sketch`` a last word of least hashes."""
     out, held, sizes = [], [], []
 
     def close() -> None:
         n = np.array(sizes, np.int64)
-        fp = np.zeros((len(n), words), np.uint64)
+        fp = np.zeros((len(n), words + sketch), np.uint64)
         full = np.flatnonzero(n)
         if len(full):
             h = np.concatenate(held)
             for k in range(words):
                 on = (2 * bit_counts(_more(h, k), n[full]) > n[full, None]).astype(np.uint8)
                 fp[full, k] = np.packbits(on, axis=1, bitorder="little").view("<u8").ravel()
+            if sketch:
+                fp[full, words] = least_hashes(h, np.cumsum(n[full]) - n[full])
         out.append(fp)
         held.clear()
         sizes.clear()
@@ -226,8 +253,8 @@ class Forest:
                 self.links.append((a, b))
 
 
-def _compare(forest: Forest, order: np.ndarray, fps: np.ndarray, group: np.ndarray, most: int) -> int:
-    """Join all pairs of equal ``group`` (sorted along ``order``) that differ in at most ``most`` bits; how many pairs
+def _compare(forest: Forest, order: np.ndarray, group: np.ndarray, near: Callable) -> int:
+    """Join all pairs of equal ``group`` (sorted along ``order``) that ``near`` says are links; how many pairs
     were compared. Pairs at distances up to LAGS come first. By then a close family is one tree; in groups that go
     on, the rows outside of the largest tree are compared with all others, the tree's own pairs are not."""
     i, pairs = np.arange(len(order)), 0
@@ -238,43 +265,58 @@ def _compare(forest: Forest, order: np.ndarray, fps: np.ndarray, group: np.ndarr
             return pairs
         pairs += len(i)
         a, b = order[i], order[i + lag]
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= most
-        forest.join(a[near], b[near])
+        hit = near(a, b)
+        forest.join(a[hit], b[hit])
     for g in np.unique(group[i]).tolist():
         rows = order[np.searchsorted(group, g, "left") : np.searchsorted(group, g, "right")]
         roots = forest.roots(rows)
         trees, size = np.unique(roots, return_counts=True)
         inner = roots == trees[np.argmax(size)]
         rows = np.concatenate((rows[~inner], rows[inner]))
-        words, out = fps[rows], int((~inner).sum())
+        out = int((~inner).sum())
         for k in range(out):
-            near = np.flatnonzero(np.bitwise_count(words[k + 1 :] ^ words[k]) <= most) + k + 1
-            forest.join(np.full(len(near), rows[k]), rows[near])
+            hit = rows[k + 1 :][near(rows[k + 1 :], rows[k])]
+            forest.join(np.full(len(hit), rows[k]), hit)
         pairs += out * len(rows) - out * (out + 1) // 2
     return pairs
 
 
+def _within(fps: np.ndarray, most: int) -> Callable:
+    return lambda a, b: np.bitwise_count(fps[a] ^ fps[b]) <= most
+
+
+def _masks(pieces: int, equal: int) -> list[int]:
+    """Masks of 32 bits for all choices of ``equal`` of so many pieces."""
+    bounds = [32 * k // pieces for k in range(pieces + 1)]
+    piece = [(1 << b) - (1 << a) for a, b in pairwise(bounds)]
+    return [sum(c) for c in combinations(piece, equal)]
+
+
+#: Masks for equal anchored halves, and for halves that differ in a bit: for crowded anchors, for very crowded ones.
+_COARSE = _masks(4, 1), _masks(3, 1)
+_FINER = _masks(6, 3), _masks(5, 3)
+
+
 def links(keys: np.ndarray, fps: np.ndarray, most: int = MOST) -> tuple[list[tuple[int, int]], int]:
     """A spanning forest of the links among fingerprints that meet at anchors ``keys`` (sorted), and how many pairs
     were compared. Every link is found at an anchor of a half in which it differs in at most one bit."""
-    forest = Forest(len(keys))
+    forest, near = Forest(len(keys)), _within(fps, most)
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(edges)
-    dense = sizes > DENSE
-    small = np.repeat((sizes > 1) & ~dense, sizes)
-    at = np.flatnonzero(small)
-    pairs = _compare(forest, at, fps, keys[at], most)
-    part = np.flatnonzero(np.repeat(dense, sizes))
-    if len(part):
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= DENSE), sizes))
+    pairs = _compare(forest, at, keys[at], near)
+    for least, top, (alike, apart) in ((DENSE, FINE, _COARSE), (FINE, 2**62, _FINER)):
+        part = np.flatnonzero(np.repeat((sizes > least) & (sizes <= top), sizes))
+        if not len(part):
+            continue
         group = np.repeat(np.arange(len(sizes)), sizes)[part]
         upper = (keys[part] >> 40).astype(np.uint64)  # 1: the upper half is anchored
         own, rest = (fps[part] >> (np.uint64(32) * upper)) & HALF, (fps[part] >> (np.uint64(32) * (np.uint64(1) - upper))) & HALF
-        passes = [(own, 8 * q, 8) for q in range(4)] + [(np.zeros_like(own), b, w) for b, w in ((0, 11), (11, 11), (22, 10))]
-        for same, shift, width in passes:
-            piece = (rest >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        for same, mask in [(own, m) for m in alike] + [(np.zeros_like(own), m) for m in apart]:
+            piece = rest & np.uint64(mask)
             o = np.lexsort((piece, same, group))
             new = (group[o][1:] != group[o][:-1]) | (same[o][1:] != same[o][:-1]) | (piece[o][1:] != piece[o][:-1])
-            pairs += _compare(forest, part[o], fps, np.cumsum(np.concatenate(([False], new))), most)
+            pairs += _compare(forest, part[o], np.cumsum(np.concatenate(([False], new))), near)
     return forest.links, pairs
 
 
@@ -341,49 +383,73 @@ def _word_key(text: str) -> bytes:
 
 
 def _marks(width: int):
-    """A column function from texts to (w0, w1, key)."""
+    """A column function from texts to (w0, w1, sketch, key)."""
     import pandas as pd
 
-    @F.pandas_udf("w0 long, w1 long, key binary")
+    @F.pandas_udf("w0 long, w1 long, sketch long, key binary")
     def marks(texts: pd.Series) -> pd.DataFrame:
-        """SimHash of 128 bits and word key of each text."""
+        """SimHash of 128 bits, sketch and word key of each text."""
         given = texts.tolist()
-        fp = fingerprints(given, width, 2).view(np.int64)
-        return pd.DataFrame({"w0": fp[:, 0], "w1": fp[:, 1], "key": [_word_key(t) for t in given]})
+        fp = fingerprints(given, width, 2, True).view(np.int64)
+        return pd.DataFrame({"w0": fp[:, 0], "w1": fp[:, 1], "sketch": fp[:, 2], "key": [_word_key(t) for t in given]})
 
     return marks
 
 
-CLOSE = "anchor long, other long, row long"
+CLOSE = "anchor long, other long, sketch long, row long"
 
 
 def _close_replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w0, w1, row) to the anchors of the blocks of both words, each with the word that is not anchored."""
+    """Rows (w0, w1, sketch, row) to the anchors of the blocks of both words, each with the word that is not anchored."""
     schema = arrow_schema(CLOSE)
     for b in batches:
-        words, row = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], b.column(2).to_numpy(zero_copy_only=False)
-        for k in (0, 1):
-            keys, at = anchors(words[k].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys | k << 48), pa.array(words[1 - k][at]), pa.array(row[at])], schema=schema)
+        w0, w1, sketch, row = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        for k, (word, other) in enumerate(((w0, w1), (w1, w0))):
+            keys, at = anchors(word.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys | k << 48), pa.array(other[at]), pa.array(sketch[at]), pa.array(row[at])], schema=schema)
+
+
+def close_links(keys: np.ndarray, other: np.ndarray, sketch: np.ndarray, far: int = FAR) -> tuple[list[tuple[int, int]], int]:
+    """A spanning forest of the candidates among rows that meet at anchors ``keys`` (sorted), and how many pairs were compared."""
+    forest = Forest(len(keys))
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart = sketch[a] ^ sketch[b]
+        one = np.zeros(np.shape(apart), bool)
+        for k in range(LEASTS):
+            one |= (apart >> np.uint64(16 * k)) & np.uint64(0xFFFF) == 0
+        return one & (np.bitwise_count(other[a] ^ other[b]) <= far)
+
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    sizes = np.diff(edges)
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= DENSE), sizes))
+    pairs = _compare(forest, at, keys[at], near)
+    part = np.flatnonzero(np.repeat(sizes > DENSE, sizes))
+    group = np.repeat(np.arange(len(sizes)), sizes)[part]
+    for k in range(LEASTS if len(part) else 0):
+        low = (sketch[part] >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+        o = np.lexsort((low, group))
+        new = (group[o][1:] != group[o][:-1]) | (low[o][1:] != low[o][:-1])
+        pairs += _compare(forest, part[o], np.cumsum(np.concatenate(([False], new))), near)
+    return forest.links, pairs
 
 
 def _close_link(far: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of CLOSE sorted by anchor; gives a spanning forest of the candidates."""
         schema = arrow_schema("a long, b long")
-        for keys, other, row in _runs(batches):
-            forest = Forest(len(keys))
-            _compare(forest, np.arange(len(keys)), other.view(np.uint64), keys, far)
-            if forest.links:
-                i, j = np.array(forest.links).T
+        for keys, other, sketch, row in _runs(batches):
+            found, _ = close_links(keys, other.view(np.uint64), sketch.view(np.uint64), far)
+            if found:
+                i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(row[j])], schema=schema)
 
     return run
 
 
 def candidate_roots(best: DataFrame, far: int = FAR) -> DataFrame:
-    """(row, root): classes of candidates of the distinct texts (w0, w1, row), lone ones left out."""
-    rows = best.select("w0", "w1", "row").mapInArrow(_close_replicate, CLOSE)
+    """(row, root): classes of candidates of the distinct texts (w0, w1, sketch, row), lone ones left out."""
+    rows = best.select("w0", "w1", "sketch", "row").mapInArrow(_close_replicate, CLOSE)
     dealt = rows.repartition(partitions(best), "anchor").sortWithinPartitions("anchor", "row")
     return components(dealt.mapInArrow(_close_link(far), "a long, b long")).select(F.col("node").alias("row"), "root")
 
@@ -441,16 +507,49 @@ def _confirm(words: int, least: float):
     return run
 
 
-def _confirmed_roots(base: DataFrame, best: DataFrame, far: int, words: int, least: float) -> DataFrame:
-    """(row, root) of the distinct texts ``best`` (w0, w1, row, size) that are confirmed to be near others."""
-    rooted = best.join(candidate_roots(best, far), "row", "left").select("row", "size", F.coalesce("root", "row").alias("root"))
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BYTES)).cast("int")
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1").select("root", parts.alias("n"))
-    own = rooted.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("row"), "n").cast("int"))
+def _deal(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(root, pass, least, row, size) of rows (root, row, text): the least hash of each pass."""
+        sink = Sink(arrow_schema("root long, pass int, least long, row long, size long"))
+        for root, row, text in rows(batches):
+            h = np.fromiter(map(xxhash.xxh64_intdigest, s := shingles(text, words), repeat(SEED)), np.uint64, len(s))
+            for k in range(PASSES):
+                low = int(_more(h, 32 + k).min().view(np.int64)) if len(h) else 0
+                if sink.add((root, k, low, row, len(text))):
+                    yield from sink.flush()
+        yield from sink.flush()
+
+    return run
+
+
+def _blocks(n: str, size: str) -> Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BYTES)).cast("int")
+
+
+def comparisons(base: DataFrame, rooted: DataFrame, words: int) -> DataFrame:
+    """(root, i, j, row): which texts are compared with each other, those of equal (root, i, j). ``rooted``: (row, size, root)."""
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1").select("root", _blocks("n", "bytes").alias("n"))
+    own = materialize(rooted.join(sizes, "root"), "classes")
     # with several blocks, each pair of different ones: that compares the texts of a block too
+    small = own.filter(F.col("n") <= BLOCKS).withColumn("own", F.pmod(F.xxhash64("row"), "n").cast("int"))
     pair = F.explode(F.expr("filter(sequence(0, n - 1), x -> n = 1 or x <> own)")).alias("x")
-    dealt = own.select("root", "row", "own", pair).select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "row")
-    met = dealt.join(base.select(F.col("__row").alias("row"), "__text"), "row").select("root", "i", "j", "row", "__text")
+    out = small.select("root", "row", "own", pair).select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "row")
+    large = own.filter(F.col("n") > BLOCKS).select("root", "row")
+    if large.isEmpty():
+        return out
+    texts = large.join(base.select(F.col("__row").alias("row"), "__text"), "row").select("root", "row", "__text")
+    keys = materialize(texts.mapInArrow(_deal(words), "root long, pass int, least long, row long, size long").withColumn("g", F.xxhash64("root", "pass", "least")), "least_hashes")
+    groups = keys.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1").withColumn("blocks", _blocks("n", "bytes"))
+    hashed = keys.join(groups, "g").withColumn("hash", F.xxhash64("row", "g"))
+    every = F.shiftrightunsigned("hash", 1) / F.lit(2.0**63) < F.lit(REFS) / F.col("n")
+    block = F.when((F.col("blocks") > 1) & every, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod("hash", "blocks").cast("int")))
+    return out.unionByName(hashed.select(F.col("g").alias("root"), F.explode(block).alias("i"), F.lit(-1).alias("j"), "row"))
+
+
+def _confirmed_roots(base: DataFrame, best: DataFrame, far: int, words: int, least: float) -> DataFrame:
+    """(row, root) of the distinct texts ``best`` (w0, w1, sketch, row, size) that are confirmed to be near others."""
+    rooted = best.join(candidate_roots(best, far), "row", "left").select("row", "size", F.coalesce("root", "row").alias("root"))
+    met = comparisons(base, rooted, words).join(base.select(F.col("__row").alias("row"), "__text"), "row").select("root", "i", "j", "row", "__text")
     met = met.repartition(partitions(base), "root", "i", "j").sortWithinPartitions("root", "i", "j")
     return components(met.mapInArrow(_confirm(words, least), "a long, b long")).select(F.col("node").alias("row"), "root")
 
@@ -460,10 +559,10 @@ def one_of_each(docs: DataFrame, width: int = CLOSE_SHINGLE, far: int = FAR, wor
     smallest doc_id (of repeated rows one; null ids last)."""
     names = docs.columns
     taken = docs.select(*[F.col(c).alias(f"__in_{k}") for k, c in enumerate(names)], F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__id"), F.monotonically_increasing_id().alias("__row"), _marks(width)(text_of()).alias("__marks"))
-    base = materialize(taken.select("*", "__marks.w0", "__marks.w1", "__marks.key").drop("__marks"), "with_fingerprints")
+    base = materialize(taken.select("*", "__marks.w0", "__marks.w1", "__marks.sketch", "__marks.key").drop("__marks"), "with_fingerprints")
     text = base.withColumn("__text", text_of(f"__in_{[c.lower() for c in names].index('text')}"))
-    firsts = text.groupBy("w0", "w1", "key").agg(F.min(F.struct("__id", "__row")).alias("best"), F.max(F.octet_length("__text")).alias("size"))
-    best = materialize(firsts.select("w0", "w1", "best", "size", F.col("best.__row").alias("row")), "distinct")
+    firsts = text.groupBy("w0", "w1", "sketch", "key").agg(F.min(F.struct("__id", "__row")).alias("best"), F.max(F.octet_length("__text")).alias("size"))
+    best = materialize(firsts.select("w0", "w1", "sketch", "best", "size", F.col("best.__row").alias("row")), "distinct")
     rooted = best.join(_confirmed_roots(text, best, far, words, least), "row", "left").select("best", F.coalesce("root", "row").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row"))
     return base.join(stay, "__row", "left_semi").select(*[F.col(f"__in_{k}").alias(c) for k, c in enumerate(names)])

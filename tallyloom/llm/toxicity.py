@@ -24,6 +24,7 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -122,9 +123,14 @@ def hits(automaton, folded: str) -> tuple[dict[int, float], int]:
             safe.append((start, end))
         elif w > found.get(start, 0.0):
             found[start] = w
-    for a, b in safe:
-        for k in [k for k in found if a <= k < b]:
-            del found[k]
+    if safe and found:
+        bounds: list[int] = []  # of the safe stretches, begin and end in turn
+        for a, b in sorted(safe):
+            if bounds and a <= bounds[-1]:
+                bounds[-1] = max(b, bounds[-1])
+            else:
+                bounds += [a, b]
+        found = {k: w for k, w in found.items() if bisect_right(bounds, k) % 2 == 0}
     return found, folded.count(" ") - 1
 
 

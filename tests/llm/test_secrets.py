@@ -1,3 +1,4 @@
+import time
 import hashlib
 import re
 
@@ -80,10 +81,24 @@ def test_redaction_takes_the_whole_key(spark):
         (f"{begin}\n{head}{body}\n{end}", "[SECRET]"),
         (f"x {begin}\\n{lines[0]}\\n{end} y {begin}\n{lines[0]}\n{end} z", "x [SECRET] y [SECRET] z"),
         (f"{begin}\n" + "\n".join(lines[-40:]) + "\n\nplain words follow", "[SECRET]\n\nplain words follow"),
+        (f"{begin}\n" + "\n".join(lines[:-1] * 6) + f"\n{lines[-1][:10]}==\nend", "[SECRET]\nend"),  # 5,400 lines, no END line
+        (f"{begin}\n{'-' * 30} and --- {lines[0]} ---- - \n{end} z", "[SECRET] z"),
+        (f"{begin}\n{lines[0]}\n{begin}\n{lines[0]}\n{end} z", "[SECRET]\n[SECRET] z"),
+        (f"{begin}-" * 20_000, "[SECRET]-" * 20_000),
         (f"{begin} is a first line -- and no more", "[SECRET] is a first line -- and no more"),
     ]
+    began = time.perf_counter()
     out = s.redact(spark.createDataFrame(list(enumerate(t for t, _ in texts)), "doc_id long, text string"))
     assert {r.doc_id: r.text for r in out.collect()} == dict(enumerate(w for _, w in texts))
+    assert time.perf_counter() - began < 30
+
+
+def test_very_many_matches(spark):
+    """100,000 matches in one text, in their places."""
+    df = spark.createDataFrame([(1, "token=abcdefgh " * 100_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    spans = s.scan(df, s.BASE).first().spans
+    assert [tuple(x) for x in spans] == [(15 * i, 0, 15 * i + 14) for i in range(100_000)] and time.perf_counter() - began < 30
 
 
 @pytest.mark.parametrize("pattern, want", [("abc+d", [{"abc"}]), ("(foo|bar)x?baz", [{"foo", "oob", "oba", "baz"}, {"foo", "oox", "oxb", "xba", "baz"}, {"bar", "arb", "rba", "baz"}, {"bar", "arx", "rxb", "xba", "baz"}]), ("[0-9a-f]{32,}", None), ("(abcd)?x", None), ("ABC[xy]DEF", [{"abc", "def"}])])

@@ -2,6 +2,7 @@ import functools
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,11 +86,12 @@ def test_anchors_give_the_classes_of_all_pairs(n, seed, dense, most):
     f = np.unique(base)
     keys, at = s.anchors(f)
     o = np.argsort(keys, kind="stable")
-    keep, s.DENSE = s.DENSE, 4 if dense else s.DENSE
+    keep = s.DENSE, s.FINE
+    s.DENSE, s.FINE = (4, 12) if dense else keep
     try:
         found, _ = s.links(keys[o], f[at[o]], most)
     finally:
-        s.DENSE = keep
+        s.DENSE, s.FINE = keep
     assert len(found) < len(o)
     one, two = s.Forest(len(f)), s.Forest(len(f))
     for i, j in found:
@@ -103,14 +105,45 @@ def test_anchors_give_the_classes_of_all_pairs(n, seed, dense, most):
 
 
 def test_crowded_anchors_do_not_take_all_pairs():
-    """One anchored half for all, whose other halves are random: below 2 % of the pairs."""
+    """One anchored half for all, whose other halves are random: below 2 % of the pairs, and far below where there are many."""
     rng = np.random.default_rng(5)
-    for n in (2000, 8000):
+    for n, share in ((2000, 0.02), (8000, 0.001), (32_000, 0.0008)):
         f = rng.integers(0, 2**32, n, dtype=np.uint64) << np.uint64(32) | np.uint64(12345)
         near = f ^ np.where(rng.random(n) < 0.5, np.uint64(1) << rng.integers(0, 31, n).astype(np.uint64), np.uint64(0))
         for x in (f, near):
             _, pairs = s.links(np.zeros(n, np.int64), x)
-            assert pairs < 0.02 * n * (n - 1) / 2
+            assert pairs < share * n * (n - 1) / 2
+
+
+def test_crowded_anchors_of_candidates_do_not_take_all_pairs():
+    """All rows at one anchor: the share of pairs that are compared falls; strangers give no candidates, near ones are found."""
+    rng = np.random.default_rng(9)
+    shares = []
+    for n in (2000, 8000, 32_000):
+        other, sketch = (rng.integers(0, 2**64, n, dtype=np.uint64) for _ in range(2))
+        sketch[1::50], other[1::50] = sketch[0::50] ^ np.uint64(0xFFFFFFFF0000), other[0::50] ^ np.uint64(7)  # two of four hashes left
+        found, pairs = s.close_links(np.zeros(n, np.int64), other, sketch)
+        assert sorted(tuple(sorted(x)) for x in found) == [(i, i + 1) for i in range(0, n, 50)]
+        shares.append(pairs / (n * (n - 1) / 2))
+    assert shares[0] < 0.02 and shares == sorted(shares, reverse=True) and shares[2] < 0.0002
+
+
+@pytest.mark.parametrize("dense", [3, 48])
+def test_candidates_are_the_same_in_passes(dense):
+    rng = np.random.default_rng(dense)
+    n = 400
+    keys = np.sort(rng.integers(0, 6, n))
+    base = rng.integers(0, 2**64, (2, 5), dtype=np.uint64)[:, rng.integers(0, 5, n)]
+    other = base[0] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) * np.uint64(3)
+    sketch = base[1] ^ np.where(rng.random(n) < 0.5, rng.integers(0, 2**64, n, dtype=np.uint64), np.uint64(0))
+    keep, s.DENSE = s.DENSE, dense
+    try:
+        found, _ = s.close_links(keys, other, sketch, 3)
+    finally:
+        s.DENSE = keep
+    lane = lambda a, b: any((int(sketch[a]) ^ int(sketch[b])) >> 16 * k & 0xFFFF == 0 for k in range(4))
+    want = [(i, j) for i in range(n) for j in range(i + 1, n) if keys[i] == keys[j] and (int(other[i]) ^ int(other[j])).bit_count() <= 3 and lane(i, j)]
+    assert components_of(n, found) == components_of(n, want) and want
 
 
 def test_a_close_family_does_not_take_all_pairs():
@@ -120,7 +153,7 @@ def test_a_close_family_does_not_take_all_pairs():
     f = np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel() ^ np.uint64(987654321)
     f[:40] = rng.integers(0, 2**64, 40, dtype=np.uint64)  # strangers at the same anchor
     one, two = s.Forest(n), s.Forest(n)
-    pairs = s._compare(one, np.arange(n), f, np.zeros(n, np.int64), s.FAR)
+    pairs = s._compare(one, np.arange(n), np.zeros(n, np.int64), s._within(f, s.FAR))
     for i in range(n):
         j = np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= s.FAR) + i + 1
         two.join(np.full(len(j), i), j)
@@ -167,12 +200,12 @@ def jaccard(a, b):
 
 
 def fp2(text):
-    """128 bits of the text's two-word shingles, as two words."""
+    """128 bits of the text's two-word shingles, as two words, and the low ends of its four least hashes."""
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     sh = [" ".join(w[i : i + 2]) for i in range(len(w) - 1)] if len(w) >= 2 else w
     h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in sh], np.uint64)
     words = [h, s._more(h, 1)]
-    return [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in k) > len(h)) if len(h) else 0 for k in words]
+    return [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in k) > len(h)) if len(h) else 0 for k in words] + [[int(s._more(h, 16 + k).min()) & 0xFFFF if len(h) else 0 for k in range(4)]]
 
 
 def components_of(n, pairs):
@@ -191,7 +224,7 @@ def components_of(n, pairs):
 
 def confirmed_brute(docs):
     """Ids that stay. Candidates: an anchor in common, found by its definition (code words within 2 bits of
-    a 31-bit block), and the other word within FAR bits; links: similarity 0.8 inside a class of candidates."""
+    a 31-bit block), the other word within FAR bits, and an equal least hash; links: similarity 0.8 inside a class of candidates."""
     docs = sorted(docs)
     n = len(docs)
     fps = [fp2(t) for _, t in docs]
@@ -207,7 +240,7 @@ def confirmed_brute(docs):
                 flips = {0} if not syndrome else {1 << syndrome - 1} | {1 << a - 1 | 1 << (a ^ syndrome) - 1 for a in range(1, 32) if a ^ syndrome and a != syndrome}
                 for x in flips:
                     met.setdefault((k, half, block ^ x), []).append(i)
-    close = {(i, j) for (k, _, _), at in met.items() for a, i in enumerate(at) for j in at[a + 1 :] if (fps[i][1 - k] ^ fps[j][1 - k]).bit_count() <= s.FAR}
+    close = {(i, j) for (k, _, _), at in met.items() for a, i in enumerate(at) for j in at[a + 1 :] if (fps[i][1 - k] ^ fps[j][1 - k]).bit_count() <= s.FAR and any(map(int.__eq__, fps[i][2], fps[j][2]))}
     same = components_of(n, close)
     classes = {}
     for i, r in enumerate(same):
@@ -270,3 +303,24 @@ def test_hot_family(spark):
     links = s.similar_links(texts)
     exact = {i for i, r in enumerate(components_of(len(texts), links)) if r == i}
     assert exact <= got and len(got) <= len(exact) + 0.05 * (len(texts) - len(exact))
+
+
+def test_a_very_large_family_writes_few_rows(spark, monkeypatch):
+    """Beyond BLOCKS blocks texts are dealt by least hashes: the same classes as from all pairs, and a bounded number of rows a text."""
+    monkeypatch.setattr(s, "BLOCK", 64)
+    texts = near_family(1500, 9)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    links = s.similar_links(texts)
+    exact = components_of(len(texts), links)
+    base = df.select(s.F.col("doc_id").alias("__row"), s.F.col("text").alias("__text"))
+    rooted = df.select(s.F.col("doc_id").alias("row"), s.F.length("text").cast("long").alias("size"), s.F.lit(0).cast("long").alias("root"))
+    dealt = s.comparisons(base, rooted, s.WORDS)
+    rows = dealt.groupBy("row").count().agg(s.F.sum("count"), s.F.count("*")).first()
+    groups = dealt.groupBy("root", "i", "j").count().agg(s.F.max("count")).first()[0]
+    assert rows[0] <= (s.PASSES * (1 + 2 * s.REFS / s.BLOCK) + 1) * rows[1] and groups < 3 * s.BLOCK
+    met = dealt.join(base.withColumnRenamed("__row", "row"), "row").select("root", "i", "j", "row", "__text").sortWithinPartitions("root", "i", "j")
+    found = [(r.a, r.b) for r in met.repartition(4, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(s._confirm(s.WORDS, s.LEAST), "a long, b long").collect()]
+    assert set(map(tuple, map(sorted, found))) <= {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if exact[i] == exact[j]}
+    got = components_of(len(texts), found)
+    apart = sum(r == i for i, r in enumerate(got)) - sum(r == i for i, r in enumerate(exact))
+    assert 0 <= apart <= 0.01 * len(texts)

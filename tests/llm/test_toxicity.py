@@ -78,6 +78,17 @@ def test_junk_takes_linear_time():
     assert time.perf_counter() - began < 5
 
 
+def test_exceptions_take_linear_time():
+    """Many exception phrases beside many hits; stretches that touch and overlap."""
+    m = t.Model({" trash ": 2.0, " moron ": 3.0, " idiot ": 3.0})
+    began = time.perf_counter()
+    found, n = t.hits(m.automaton(), t.fold("trash can moron idiot " * 50_000))
+    assert (len(found), n) == (100_000, 200_000) and set(found.values()) == {3.0}
+    assert time.perf_counter() - began < 3
+    m = t.Model({" trash ": 2.0, " can ": 1.0, " bin ": 1.5}, exceptions=("trash can", "can bin"))
+    assert list(t.hits(m.automaton(), t.fold("trash can bin bin trash trash can"))[0].values()) == [1.5, 2.0]
+
+
 def test_exceptions_win_over_terms_of_the_same_text():
     m = t.Model({" clownfish ": 2.0, " clown": 1.0})
     assert list(t.hits(m.automaton(), t.fold("a clownfish and a clown"))[0].values()) == [1.0]
