@@ -8,7 +8,7 @@ all other words). Words are lower-cased runs of letters and digits here, so mark
 The references are measured on the whole corpus, for each ``lang``: its ``COMMON`` words that most of its
 texts of 50 words or more have (document counts, in partial sums), then the counts of classes and of
 these words, added up over all documents that pass the base rules. A language has a reference when a
-word of it is in ``LEAST_TEXTS`` texts; there are at most ``LANGUAGES``, those of the most texts. A text
+word of it is in ``LEAST_TEXTS`` texts; there are at most ``LANGUAGES``, those of the most texts; both are parameters of ``quality``. A text
 is held against the reference of its ``lang``. One whose lang is null or has no reference is judged by
 classes alone, against the whole corpus. It fails when the class distance exceeds ``MAX_CHARS``, or the word distance
 exceeds ``MAX_WORDS``. Guards: texts with fewer than ``MIN_CHARS`` word characters are not judged by
@@ -69,9 +69,9 @@ def repeated_positions(pairs: str) -> Column:
 
 
 def class_count(name: str) -> Column:
-    """Characters of a class in ``text``. Lower-case letters come in runs: those are counted by what is left without them."""
-    c = f"[{CLASSES[name]}]"
-    return (F.length("text") - F.length(F.regexp_replace("text", c + "+", "")) if name == "lower" else F.regexp_count("text", F.lit(c))).cast("long")
+    """Characters of a class in ``text``. Most are lower-case letters: those go in one pass, and what is left (``rest``) is looked through for
+    the other classes."""
+    return (F.length("text") - F.length("rest") if name == "lower" else F.regexp_count("rest", F.lit(f"[{CLASSES[name]}]"))).cast("long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -84,27 +84,34 @@ def plain_words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LETTERS), 0)
 
 
-def common_words(docs: DataFrame) -> DataFrame:
-    """(lang, common): the words that are in most texts of each language with a reference, in falling order."""
+def common_words(docs: DataFrame, least_texts: int = LEAST_TEXTS, languages: int | None = LANGUAGES) -> DataFrame:
+    """(lang, common): the words that are in most texts of each language with a reference, in falling order. Without a limit of
+    ``languages`` all are kept."""
     long = _texts(docs).filter(F.col("lang").isNotNull() & (F.regexp_count("text", F.lit(WORD)) >= MIN_WORDS_BASE))
     seen = long.select("lang", F.explode(F.array_distinct(plain_words("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # COMMON rows a task and language
     top = seen.withColumn("k", rank).filter(F.col("k") <= COMMON)
     listed = top.groupBy("lang").agg(F.max("n").alias("most"), F.sort_array(F.collect_list(F.struct("k", "word")))["word"].alias("common"))
-    return listed.filter(F.col("most") >= LEAST_TEXTS).orderBy(F.desc("most"), "lang").limit(LANGUAGES).select("lang", "common")
+    enough = listed.filter(F.col("most") >= least_texts)
+    return (enough if languages is None else enough.orderBy(F.desc("most"), "lang").limit(languages)).select("lang", "common")
 
 
-def base_columns(docs: DataFrame, common: DataFrame) -> DataFrame:
+def _side(df: DataFrame, languages: int | None) -> DataFrame:
+    """A table of a row a language: broadcast where their number is bounded, else joined as Spark sees fit."""
+    return df if languages is None else F.broadcast(df)
+
+
+def base_columns(docs: DataFrame, common: DataFrame, languages: int | None = LANGUAGES) -> DataFrame:
     """doc_id, lang, the base columns, and the histograms ``chars`` (CLASSES, other) and ``hits`` (the common
     words of the text's language, other; null without a reference).
 
     Each select names what the next one uses several times, so nothing is computed twice; an
     array that a lambda looks into is always a column, else it would be built for each element."""
     lists = common.withColumn("longest", F.array_max(F.transform("common", lambda w: F.length(w))))
-    a = _texts(docs).join(F.broadcast(lists), "lang", "left")
+    a = _texts(docs).withColumn("rest", F.regexp_replace("text", f"[{CLASSES['lower']}]+", "")).join(_side(lists, languages), "lang", "left")
     b = a.select(
         "doc_id", "lang", "common", "longest", F.length("text").cast("long").alias("n_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("rest", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"),
         F.array(*map(class_count, CLASSES)).alias("classes"),
@@ -165,10 +172,10 @@ def js_distance(counts: str, shares: str) -> Column:
     return F.when((n > 0) & F.col(shares).isNotNull(), F.sqrt(F.greatest(F.aggregate(F.zip_with(counts, shares, term), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
 
 
-def judged(counts: DataFrame, refs: DataFrame) -> DataFrame:
+def judged(counts: DataFrame, refs: DataFrame, languages: int | None = LANGUAGES) -> DataFrame:
     """Adds char_distance, word_distance (null without a reference), base_failed and kept."""
     key = F.when(F.col("hits").isNotNull(), F.col("lang"))
-    known = F.broadcast(refs.withColumnRenamed("lang", "__lang"))
+    known = _side(refs.withColumnRenamed("lang", "__lang"), languages)
     df = counts.withColumn("__key", key).join(known, F.col("__key").eqNullSafe(F.col("__lang")), "left")
     df = df.withColumns({"chars_n": total(F.col("chars")), "hits_n": total(F.col("hits"))})
     df = df.withColumns({"char_distance": js_distance("chars", "chars_share"), "word_distance": js_distance("hits", "hits_share")})
@@ -178,12 +185,12 @@ def judged(counts: DataFrame, refs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad_chars & ~bad_words)
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, least_texts: int = LEAST_TEXTS, languages: int | None = LANGUAGES) -> DataFrame:
     """All counts, distances and verdicts, a row per document. Counts are written, then summed into
-    references and judged."""
-    common = materialize(common_words(docs), "common_words")
-    counts = materialize(base_columns(docs, common), "quality_counts")
-    return judged(counts, materialize(references(counts), "references"))
+    references and judged. ``languages=None`` gives every language a reference whose words are in ``least_texts`` texts, 1 for all."""
+    common = materialize(common_words(docs, least_texts, languages), "common_words")
+    counts = materialize(base_columns(docs, common, languages), "quality_counts")
+    return judged(counts, materialize(references(counts), "references"), languages)
 
 
 def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

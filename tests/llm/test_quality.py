@@ -112,3 +112,16 @@ def test_junk_goes_and_prose_stays(spark):
     refs = spark.createDataFrame([("en", [0.5] * 7, [0.5, 0.5])], "lang string, chars_share array<double>, hits_share array<double>")
     plan = q.judged(q.base_columns(df, common), refs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
+def test_every_language_may_have_a_reference(spark):
+    """With the limits open a language of two texts is judged by its own words; a limit of one leaves the largest."""
+    rng = random.Random(1)
+    say = lambda c: " ".join(rng.choice([f"{c}{chr(97 + k)}" for k in range(20)]) for _ in range(160))
+    rows = [(i, say("a"), "aa") for i in range(3)] + [(10 + i, say("b"), "bb") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert q.common_words(df).count() == 0 and [r.lang for r in q.common_words(df, 1, 1).collect()] == ["aa"]
+    assert sorted(r.lang for r in q.common_words(df, 1, None).collect()) == ["aa", "bb"]
+    out = q.quality(df, 1, None).collect()
+    assert len(out) == 5 and all(r.word_distance is not None and r.word_distance < 0.3 for r in out)
+    assert all(r.word_distance is None for r in q.quality(df).collect())
