@@ -91,13 +91,14 @@ def ingest(submissions: DataFrame, ts: str, tiebreak: str, state: DataFrame | No
 
 
 def publish(submissions: DataFrame, ts: str, tiebreak: str, root: str, batch: str, config: Config = Config(), clock: Column | None = None) -> None:
-    """Write the tables of INTAKE and publish them. Writing the same batch again replaces it.
+    """Write the tables of INTAKE and publish them. Writing the same batch again replaces it; rows without a time keep the one they got
+    from the first publishing.
 
     Raises ValueError where a batch that others follow would leave other counters than it did, as these have been numbered from them."""
     spark = submissions.sparkSession
     attempt = Attempt(spark, root, batch)
     state = attempt.previous and read_batch(spark, root, "asset_sequences", attempt.previous, ASSET_SEQUENCES)
-    cleaned = clean_submission(_timed(submissions, ts, clock))
+    cleaned = clean_submission(_timed(submissions, ts, F.lit(attempt.clock).cast("timestamp") if clock is None else clock))
     coded = attempt.put(cleaned.withColumn("status_code", status_code(cleaned)), "coded")
     good, bad = coded.filter("status_code = 200"), coded.filter("status_code <> 200")
     numbered = attempt.put(_numbered(good, ts, tiebreak, state, config), "numbered")

@@ -33,8 +33,8 @@ def validity(history: DataFrame, key: str, since: str, tiebreak: str) -> DataFra
     return timed.withColumn("valid_from", F.col(since)).select(*history.columns, "valid_from", "valid_to")
 
 
-def as_of(refs: DataFrame, history: DataFrame, key: str, at: str, since: str, tiebreak: str) -> DataFrame:
-    """Every reference with the version of its key that held at its time, as the struct ``version`` (the history's columns but the key); null
+def as_of(refs: DataFrame, history: DataFrame, key: str, at: str, since: str, tiebreak: str, name: str = "version") -> DataFrame:
+    """Every reference with the version of its key that held at its time, as the struct ``name`` (the history's columns but the key); null
     where there was none yet, or where key or time is null. A version holds from its own time on; of several with one time the last by ``tiebreak`` does. Versions that
     come late count from their own time, not from their arrival.
 
@@ -48,7 +48,7 @@ def as_of(refs: DataFrame, history: DataFrame, key: str, at: str, since: str, ti
     order = ["__at", "__kind", "__tie", "__spread"]
     carried = with_previous(both.unionByName(asked, allowMissingColumns=True), ["__key"], order, F.col("version"), "__version", F.col("version").isNotNull())
     known = F.when(F.col("__key").isNotNull() & F.col("__at").isNotNull(), F.col("__version"))
-    return carried.filter("__kind = 1").select("__ref.*", known.alias("version"))
+    return carried.filter("__kind = 1").select("__ref.*", known.alias(name))
 
 
 def stage_violations(events: DataFrame, entity: str, ts: str, tiebreak: str, stage: str, order: tuple[str, ...]) -> DataFrame:

@@ -157,6 +157,10 @@ def test_rows_without_a_time_take_the_clock(spark, tmp_path):
     ingest.publish(df, "ts", "k", f"{tmp_path}/db", "1", clock=F.lit(dt.datetime(2024, 5, 6)))
     rows = read_published(spark, f"{tmp_path}/db", "ideas", IDEAS).collect()
     assert sorted((r.asset_id, r.created_at) for r in rows) == [("IPM-20240101-000001", DAY), ("IPM-20240506-000001", dt.datetime(2024, 5, 6))]
+    ingest.publish(df, "ts", "k", f"{tmp_path}/own", "1")
+    first = sorted(map(tuple, read_published(spark, f"{tmp_path}/own", "ideas", IDEAS).collect()))
+    ingest.publish(df, "ts", "k", f"{tmp_path}/own", "1")  # later, with the clock of the first time
+    assert sorted(map(tuple, read_published(spark, f"{tmp_path}/own", "ideas", IDEAS).collect())) == first
     out = ingest.ingest(df.drop("ts"), "ts", "k")["ideas"]
     assert out.filter("created_at IS NULL OR asset_id IS NULL").count() == 0 and out.count() == 2
 
