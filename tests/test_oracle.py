@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tallyloom.operators import graph
 from tallyloom.plans.queries import QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -42,4 +43,8 @@ def test_edges_of_every_row(spark, tmp_path):
     got = lambda name: sorted(tuple(r) for r in QUERIES[name][0](spark, str(tmp_path)).collect())
     assert got("node_degree") == [(2, 2), (5, 1), (102, 1), (202, 1)]
     edges = set(pairs)
-    assert got("related_nodes") == sorted({(a, d) for a, b in edges for c, d in edges if b == c and a != d})
+    df = spark.createDataFrame(pairs, "src long, dst long").distinct()
+    assert sorted(map(tuple, graph.two_step_neighbours(df).collect())) == sorted({(a, d) for a, b in edges for c, d in edges if b == c and a != d})
+    spark.createDataFrame([(1, 7), (2, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 3), (2, 4), (102, 4), (103, 5)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert got("related_nodes") == [("customer-7", "nation-3"), ("customer-7", "nation-4")]
