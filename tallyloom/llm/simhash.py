@@ -28,9 +28,12 @@ an equal least hash are compared, by passes over the four.
 A class of candidates is compared exactly: a link is a Jaccard similarity of the sets of five-word shingles (64-bit hashes) of
 at least 0.8. Texts of equal words are one row. A class is compared in one task, of over ``BLOCK``
 texts or ``BYTES`` in one task for each pair of its blocks, each text at most ``BLOCKS`` times. A larger class is dealt by ``PASSES`` further least hashes of the
-five-word shingles: texts of similarity 0.8 share none of these with probability 4e-9. Texts that share one are compared in one task, or in
-blocks of BLOCK dealt at random in each pass, with some ``REFS`` of them in every block, which hold a dense family together. So a text of
-the largest class is written PASSES times, plus REFS / BLOCK.
+five-word shingles. Texts that share one are compared in one task, or in
+blocks of BLOCK dealt at random in each pass, with some ``REFS`` of them in every block, which hold a dense family together. That is no cut, only
+what makes the rest small: the links so far make trees, and every text outside of the class's largest tree is then compared with every
+text of the class, by blocks of the ones and of the others (``outside``). Two texts of the largest tree are of one class already, so no link is lost
+whatever the size of a class. A text of the largest tree is written PASSES times, plus REFS / BLOCK, and once for each block of
+texts outside; where most texts of a class link to nothing the pairs are quadratic, in tasks of two blocks each.
 
 Results: a null or empty text has fingerprint 0 and links like any other. Repeated rows are of
 one class. A null doc_id counts for a class only where it has no other (component_id null). An
@@ -460,10 +463,10 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s)))
 
 
-def similar_links(texts: list[str], words: int = WORDS, least: float = LEAST) -> list[tuple[int, int]]:
+def similar_links(texts: list[str], words: int = WORDS, least: float = LEAST, first: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links of all pairs of texts whose shingle sets have at least this Jaccard
     similarity; two empty ones do. A text's shared shingles are counted for all others at once, by postings;
-    texts of which too few shingles are in any other are passed over."""
+    texts of which too few shingles are in any other are passed over. With ``first``, of the pairs that have one of so many first texts."""
     sets = [shingle_set(t, words) for t in texts]
     n, sizes = len(sets), np.array([len(x) for x in sets])
     forest = Forest(n)
@@ -477,7 +480,7 @@ def similar_links(texts: list[str], words: int = WORDS, least: float = LEAST) ->
     begin = np.cumsum(many) - many
     ends = np.cumsum(sizes)
     left = n - len(forest.links)
-    for i in range(n):
+    for i in range(n if first is None else first):
         own = ids[ends[i] - sizes[i] : ends[i]]
         own = own[many[own] > 1]
         if left == 1 or not len(own) or len(own) < least * sizes[i]:
@@ -495,11 +498,12 @@ def similar_links(texts: list[str], words: int = WORDS, least: float = LEAST) ->
 
 def _confirm(words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (root, i, j, row, text) sorted by (root, i, j), the texts of one comparison."""
+        """Rows (root, i, j, row, text) sorted by (root, i, j), the texts of one comparison. With a further column ``rest``, sorted by it too,
+        no two texts that have it are compared."""
         sink = Sink(arrow_schema("a long, b long"))
         for _, group in groupby(rows(batches), key=lambda r: r[:3]):
-            at, texts = zip(*[r[3:] for r in group], strict=True)
-            for i, j in similar_links(list(texts), words, least):
+            at, texts, *rest = zip(*[r[3:] for r in group], strict=True)
+            for i, j in similar_links(list(texts), words, least, rest[0].count(False) if rest else None):
                 if sink.add((at[i], at[j])):
                     yield from sink.flush()
         yield from sink.flush()
@@ -546,12 +550,42 @@ def comparisons(base: DataFrame, rooted: DataFrame, words: int) -> DataFrame:
     return out.unionByName(hashed.select(F.col("g").alias("root"), F.explode(block).alias("i"), F.lit(-1).alias("j"), "row"))
 
 
+def outside(rooted: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(root, i, j, row, rest): the comparisons that are left in classes of over BLOCKS blocks when ``found`` (row, root) is linked; None if there are none.
+    Texts outside of a class's largest tree meet each other and, as ``rest``, all texts of that tree."""
+    large = rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter(_blocks("n", "bytes") > BLOCKS).select("root")
+    large = materialize(rooted.join(large, "root"), "large_classes")
+    if large.isEmpty():
+        return None
+    trees = large.join(found.select("row", F.col("root").alias("tree")), "row", "left").withColumn("tree", F.coalesce("tree", "row"))
+    totals = trees.groupBy("root", "tree").agg(F.count("*").alias("n"))
+    top = totals.groupBy("root").agg(F.max_by("tree", F.struct("n", "tree")).alias("top"), F.count("*").alias("trees")).filter("trees > 1").select("root", "top")
+    whole = trees.join(top, "root").select("root", "row", "size", (F.col("tree") == F.col("top")).alias("rest"))
+    part = whole.groupBy("root", "rest").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("root", "rest", _blocks("n", "bytes").alias("n"))
+    both = part.groupBy("root").agg(F.sum(F.when(~F.col("rest"), F.col("n"))).alias("outer"), F.sum(F.when(F.col("rest"), F.col("n"))).alias("inner"))
+    dealt = whole.join(both, "root").withColumn("own", F.pmod(F.xxhash64("row"), F.when(F.col("rest"), F.col("inner")).otherwise(F.col("outer"))) + F.when(F.col("rest"), F.col("outer")).otherwise(0))
+    # an outer block meets all other blocks, an inner one the outer ones
+    met = F.explode(F.expr("filter(sequence(CAST(0 AS BIGINT), IF(rest, outer, outer + inner) - 1), x -> x <> own)")).alias("x")
+    pairs = dealt.select("root", "row", "rest", "own", met)
+    return pairs.select("root", F.least("own", "x").cast("int").alias("i"), F.greatest("own", "x").cast("int").alias("j"), "row", "rest")
+
+
+def _links(base: DataFrame, met: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): the links among the texts that ``met`` brings together."""
+    met = met.join(base.select(F.col("__row").alias("row"), "__text"), "row").select("root", "i", "j", "row", "__text", *[c for c in met.columns if c == "rest"])
+    met = met.repartition(partitions(base), "root", "i", "j").sortWithinPartitions("root", "i", "j", *met.columns[5:])
+    return met.mapInArrow(_confirm(words, least), "a long, b long")
+
+
 def _confirmed_roots(base: DataFrame, best: DataFrame, far: int, words: int, least: float) -> DataFrame:
     """(row, root) of the distinct texts ``best`` (w0, w1, sketch, row, size) that are confirmed to be near others."""
     rooted = best.join(candidate_roots(best, far), "row", "left").select("row", "size", F.coalesce("root", "row").alias("root"))
-    met = comparisons(base, rooted, words).join(base.select(F.col("__row").alias("row"), "__text"), "row").select("root", "i", "j", "row", "__text")
-    met = met.repartition(partitions(base), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return components(met.mapInArrow(_confirm(words, least), "a long, b long")).select(F.col("node").alias("row"), "root")
+    found = components(_links(base, comparisons(base, rooted, words), words, least)).select(F.col("node").alias("row"), "root")
+    left = outside(rooted, found)
+    if left is None:
+        return found
+    linked = _links(base, left, words, least).unionByName(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
+    return components(linked).select(F.col("node").alias("row"), "root")
 
 
 def one_of_each(docs: DataFrame, width: int = CLOSE_SHINGLE, far: int = FAR, words: int = WORDS, least: float = LEAST) -> DataFrame:

@@ -324,3 +324,26 @@ def test_a_very_large_family_writes_few_rows(spark, monkeypatch):
     got = components_of(len(texts), found)
     apart = sum(r == i for i, r in enumerate(got)) - sum(r == i for i, r in enumerate(exact))
     assert 0 <= apart <= 0.01 * len(texts)
+
+
+def test_a_very_large_class_loses_no_link(spark, monkeypatch):
+    """Blocks of two texts, one pass, none in every block: most pairs do not meet, and still the classes are those of all pairs, also of texts outside
+    of the largest tree that link to each other only."""
+    monkeypatch.setattr(s, "BLOCK", 2)
+    monkeypatch.setattr(s, "PASSES", 1)
+    monkeypatch.setattr(s, "REFS", 0)
+    texts = near_family(60, 12) + near_family(25, 13) + [f"lone{i} " + " ".join(f"z{i}x{k}" for k in range(40)) for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    base = s.materialize(df.select(s.F.col("doc_id").alias("__row"), s.F.col("text").alias("__text")), "texts")
+    monkeypatch.setattr(s, "candidate_roots", lambda best, far: best.select("row", s.F.lit(0).cast("long").alias("root")))
+    best = base.select(s.F.col("__row").alias("row"), s.F.length("__text").cast("long").alias("size"))
+    got = {r.row: r.root for r in s._confirmed_roots(base, best, s.FAR, s.WORDS, s.LEAST).collect()}
+    links = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert [got.get(i, i) for i in range(len(texts))] == components_of(len(texts), links)
+
+
+def test_similar_links_of_the_first_texts():
+    texts = near_family(30, 14)
+    got = s.similar_links(texts, first=4)
+    want = [(i, j) for i in range(4) for j in range(i + 1, 30) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert components_of(30, got) == components_of(30, want) and want
