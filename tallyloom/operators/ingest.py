@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.sequence import PREFIX, assign_ids, next_state
-from tallyloom.operators.validate import clean_submission, split_valid, status_code
+from tallyloom.operators.validate import clean_submission, status_code
 from tallyloom.schemas import ASSET_SEQUENCES, INTAKE
 from tallyloom.sources.published import Attempt, head, published, read_batch
+from tallyloom.sources.staging import materialize
 
 
 @dataclass(frozen=True)
@@ -83,9 +84,14 @@ def _numbered(good: DataFrame, ts: str, tiebreak: str, state: DataFrame | None,
 
 
 def ingest(submissions: DataFrame, ts: str, tiebreak: str, state: DataFrame | None = None, config: Config = Config(), clock: Column | None = None) -> dict[str, DataFrame]:
-    """Clean, validate, number and fan out one batch; the numbered rows are written on the way. Keys: those of INTAKE, and ``replies``. Rejects keep
-    all columns. ``publish`` does it in steps that become visible at once."""
-    good, bad = split_valid(clean_submission(_timed(submissions, ts, clock)))
+    """Clean, validate, number and fan out one batch; the coded and the numbered rows are written on the way. Keys: those of INTAKE, and ``replies``. Rejects keep
+    all columns. ``publish`` does it in steps that become visible at once.
+
+    Coded rows are written before they are split: a filter on the code, moved below the cleaning, would clean a field anew at each place
+    where the code's rules name it, and dealing by ranges would do all that twice."""
+    cleaned = clean_submission(_timed(submissions, ts, clock))
+    coded = materialize(cleaned.withColumn("status_code", status_code(cleaned)), "coded")
+    good, bad = coded.filter("status_code = 200"), coded.filter("status_code <> 200")
     numbered = _numbered(good, ts, tiebreak, state, config)
     return fan_out(numbered, config) | {"replies": replies(numbered), "rejects": bad, "asset_sequences": next_state(numbered, ts, state)}
 

@@ -76,12 +76,6 @@ def status_code(df: DataFrame) -> Column:
     return F.when(F.coalesce(df["method"], F.lit("")) != "POST", 405).otherwise(out) if "method" in df.columns else out
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of a cleaned batch."""
-    coded = df.withColumn("status_code", status_code(df))
-    return coded.filter("status_code = 200"), coded.filter("status_code <> 200")
-
-
 def gate(*conditions: Column) -> Column:
     """All conditions hold; null counts as not held."""
     return reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in conditions])
