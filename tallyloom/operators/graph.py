@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.sources.staging import materialize, new_path
+from tallyloom.sources.staging import new_path, partitions
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -20,20 +20,33 @@ def hops(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataF
     """(node, hops): every node that the sources reach along the edges (src, dst), with the fewest edges from any of them; the sources
     themselves have 0. ``most`` stops after so many edges. Null ends are no nodes; cycles end where nothing new is found.
 
-    A round joins the last round's new nodes to the edges, and keeps what no round has seen before. Rounds are written, each in a folder
-    of its own, and all are read back as one table, so the plan does not grow with the rounds; the driver sees one yes or no a round."""
-    spark = edges.sparkSession
-    links = materialize(edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst").distinct(), "edges")
+    Edges are dealt once by src, nodes by node, into as many buckets as there are shuffle partitions, so a round moves nothing but the ends of
+    its own edges: each edge moves twice in all, whatever the number of rounds. A node's edges lie in one bucket and are read as a stream. Each round's nodes
+    are a folder of their own, and all are read back as one table, so the plan does not grow with the rounds; the driver sees one yes or no a round."""
+    spark, n = edges.sparkSession, partitions(edges)
     path = new_path(spark, "hops")
+    links, nodes = (f"{name}_{path.split('/')[-2]}" for name in ("links", "nodes"))
+    ends = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
     new = sources.select(F.col(sources.columns[0]).alias("node")).filter("node IS NOT NULL").distinct()
     schema = new.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    done = 0
-    while True:
-        new.write.parquet(f"{path}/hops={done}")
-        frontier = spark.read.schema(schema).parquet(f"{path}/hops={done}")
-        if done == most or frontier.isEmpty():
-            break
-        seen = spark.read.schema(f"{schema}, hops int").parquet(path)
-        done += 1
-        new = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+    try:
+        ends.repartition(n, "src").write.bucketBy(n, "src").option("path", new_path(spark, "links")).saveAsTable(links)
+        done = 0
+        while True:
+            new.withColumn("hops", F.lit(done)).write.partitionBy("hops").bucketBy(n, "node").option("path", path).mode("append").saveAsTable(nodes)
+            seen = spark.table(nodes)
+            frontier = seen.filter(F.col("hops") == done).select("node")
+            if done == most or frontier.isEmpty():
+                break
+            new = _next_nodes(frontier, spark.table(links), seen.select("node"))
+            done += 1
+    finally:
+        for table in (links, nodes):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")  # its files stay
     return spark.read.schema(f"{schema}, hops int").parquet(path)
+
+
+def _next_nodes(frontier: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
+    """The nodes one edge from ``frontier`` that are not ``seen``."""
+    reached = links.join(frontier.hint("shuffle_hash"), F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
+    return reached.join(seen, "node", "left_anti")

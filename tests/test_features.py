@@ -230,6 +230,26 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+def test_a_round_of_hops_moves_only_its_ends(spark, monkeypatch):
+    """Neither the edges nor the nodes seen so far are moved again, in any round; nothing is left in the catalog."""
+    plans, step = [], graph._next_nodes
+
+    def watched(*tables):
+        out = step(*tables)
+        plans.append(plan_of(out))
+        return out
+
+    monkeypatch.setattr(graph, "_next_nodes", watched)
+    monkeypatch.setattr(graph, "partitions", lambda df: 4)
+    before = len(spark.catalog.listTables())
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(3, 0)], "src int, dst int")
+    got = graph.hops(edges, spark.createDataFrame([(0,)], "s int"))
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(6)] and len(spark.catalog.listTables()) == before
+    assert len(plans) == 6
+    for plan in plans:
+        assert plan.count("Bucketed: true") >= 2 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_fields_are_cleaned_once(spark):
     """What is taken from a batch reads the coded rows as they were written; no field is cleaned or matched again."""
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), " a ", "a@b.co", "s", "d"), (2, None, "", "a@b", "s", None)], "k long, ts timestamp, title string, email string, source string, description string")
